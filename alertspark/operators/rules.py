@@ -41,7 +41,7 @@ def asteroid_flag(
     star = (_c(sgscore1) > F.lit(STAR_SGSCORE)) & (_c(distpsnr1) < F.lit(STAR_DISTPSNR))
     not_star = ~star
     det = detection_times(cjd, cmagpsf)
-    gap = F.when(F.size(det) >= 2, F.element_at(det, -1) - F.element_at(det, -2))
+    gap = F.when(F.size(det) >= 2, F.try_element_at(det, F.lit(-1)) - F.try_element_at(det, F.lit(-2)))
     nd = _c(ndethist)
     sd = _c(ssdistnr)
     return (

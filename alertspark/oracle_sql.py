@@ -86,4 +86,124 @@ SELECT candid,
     ELSE 0 END AS INTEGER) AS roid
 FROM (SELECT *, list_filter(cjd, lambda x, i: cmagpsf[i] IS NOT NULL) AS dj FROM lc)
 """
+    _sources(q)
+    _lightcurves(q)
+    _xmatch(q)
     return q
+
+
+RUBIN = FLAT + f""",
+rflat AS (
+  SELECT *, jd - 2400000.5{D} AS midPointTai,
+    value * 100.0{D} - 500.0{D} AS psFlux,
+    10.0{D} + CAST(candid % 50 AS DOUBLE) AS psFluxErr,
+    substr('ugrizY', CAST(candid % 6 + 1 AS INTEGER), 1) AS filterName,
+    CAST(user_id % 100 AS DOUBLE) / 100.0{D} AS hostgal_zphot,
+    0.01{D} + CAST(user_id % 10 AS DOUBLE) / 100.0{D} AS hostgal_zphot_err,
+    CAST(candid % 20 AS DOUBLE) / 10.0{D} AS hostgal_snsep,
+    CAST(user_id % 30 AS DOUBLE) / 100.0{D} AS mwebv
+  FROM flat
+),
+rubin AS (
+  SELECT r.*,
+    list_sort(coalesce(list(struct_pack(midPointTai := midPointTai, candid := candid, psFlux := psFlux,
+        psFluxErr := psFluxErr, filterName := filterName)) OVER hw, [])) AS prv
+  FROM rflat r
+  WINDOW hw AS (PARTITION BY objectId ORDER BY us RANGE BETWEEN 2592000000000 PRECEDING AND 1 PRECEDING)
+),
+rlc AS (
+  SELECT candid AS alertId, *,
+    list_concat(list_transform(prv, lambda x: x.midPointTai), [midPointTai]) AS cmidPointTai,
+    list_concat(list_transform(prv, lambda x: x.psFlux), [psFlux]) AS cpsFlux,
+    list_concat(list_transform(prv, lambda x: x.psFluxErr), [psFluxErr]) AS cpsFluxErr,
+    list_concat(list_transform(prv, lambda x: x.filterName), [filterName]) AS cfilterName
+  FROM rubin
+)"""
+
+
+def catalog_cte(name: str) -> str:
+    pos = f"""p_partkey AS source_id,
+    fmod(CAST(p_partkey AS DOUBLE) * 137.50776405{D}, 360.0{D}) AS ra,
+    fmod(CAST(p_partkey AS DOUBLE) * 0.618034{D}, 1.0{D}) * 120.0{D} - 60.0{D} AS dec"""
+    extra = {
+        "simbad": "p_type AS main_type",
+        "gaia": f"p_name AS DR3Name, p_retailprice / 1000.0{D} AS Plx, CAST(p_size AS DOUBLE) / 100.0{D} AS e_Plx",
+        "gcvs": "p_brand AS type",
+    }[name]
+    return f"cat AS (SELECT {pos}, {extra} FROM part)"
+
+
+def haversine_arcsec(ra1, dec1, ra2, dec2) -> str:
+    return (f"degrees(2.0{D} * asin(least(1.0{D}, sqrt(pow(sin(radians({dec2} - {dec1}) / 2), 2) "
+            f"+ cos(radians({dec1})) * cos(radians({dec2})) * pow(sin(radians({ra2} - {ra1}) / 2), 2))))) * 3600.0{D}")
+
+
+def best_match_cte(radius: float) -> str:
+    r_deg = radius / 3600.0
+    sep = haversine_arcsec("f.ra", "f.dec", "c.ra", "c.dec")
+    return f"""pairs AS (
+  SELECT f.candid, c.*, {sep} AS sep
+  FROM flat f JOIN cat c ON c.dec BETWEEN f.dec - {r_deg * 1.01!r} AND f.dec + {r_deg * 1.01!r}
+),
+best AS (
+  SELECT * FROM pairs WHERE sep <= {radius!r}
+  QUALIFY row_number() OVER (PARTITION BY candid ORDER BY sep, source_id) = 1
+)"""
+
+
+def _sources(q):
+    q["scan_alerts"] = w(ALERTS) + """
+SELECT candid, objectId, jd, magpsf, CAST(len(prv) AS INTEGER) AS n_prv, year, month, day FROM alerts"""
+    q["scan_night"] = w(FLAT) + """
+SELECT candid, objectId, jd, year, month, day FROM flat WHERE year = 2024 AND month = 1 AND day = 7"""
+    q["scan_class"] = w(FLAT) + """
+SELECT candid, objectId, jd, event_type AS alertclass FROM flat WHERE event_type = 'purchase'"""
+    q["scan_sso"] = w(FLAT) + """
+SELECT objectId AS ssnamenr, CAST(count(*) AS INTEGER) AS n_obs,
+  arg_min(jd, struct_pack(a := jd, b := candid)) AS jd_first,
+  arg_max(jd, struct_pack(a := jd, b := candid)) AS jd_last
+FROM flat WHERE magpsf IS NOT NULL GROUP BY objectId"""
+    q["runs_roundtrip"] = f"""
+SELECT event_type AS module, CAST(event_id % 2 AS INTEGER) AS loop,
+  CASE WHEN user_id % 2 = 0 THEN 'spark' ELSE 'pandas' END AS engine,
+  count(*) AS total_alerts, sum(value) / 1000.0{D} AS t_lapse, 8.0{D} AS n_cpu
+FROM events GROUP BY ALL"""
+    q["scan_catalog"] = w(catalog_cte("gaia")) + """
+SELECT source_id, ra, dec, DR3Name, Plx, e_Plx FROM cat"""
+    q["project_nested"] = w(FLAT) + """
+SELECT objectId, candid, ra, dec, magpsf AS mag FROM flat"""
+    q["project_literals"] = w(FLAT) + f"""
+SELECT candid, 1.0{D} AS radius, 'simbad' AS simbad, 'main_type' AS main_type,
+  CAST(1000 AS INTEGER) AS N, CAST(NULL AS BIGINT) AS seed FROM flat"""
+    q["count_alerts"] = w(FLAT) + """
+SELECT year, month, day, count(*) AS n_alerts FROM flat GROUP BY ALL"""
+
+
+def _lightcurves(q):
+    q["lightcurve_lengths"] = w(ALERTS) + """
+SELECT candid, CAST(len(cjd) AS INTEGER) AS n_points,
+  CAST(len(list_filter(cmagpsf, lambda x: x IS NOT NULL)) AS INTEGER) AS n_det, ndethist, jdstarthist
+FROM lc"""
+    names = ["cjd", "cmagpsf", "csigmapsf", "cfid", "cmagnr", "csigmagnr", "cisdiffpos", "cdiffmaglim", "cdistnr"]
+    q["lightcurve_ztf"] = w(ALERTS) + f"""
+SELECT candid, CAST(i AS INTEGER) AS pos, {", ".join(f"{n}[i + 1] AS {n}" for n in names)}
+FROM (SELECT *, unnest(range(len(cjd))) AS i FROM lc)"""
+    rn = ["cmidPointTai", "cpsFlux", "cpsFluxErr", "cfilterName"]
+    q["lightcurve_rubin"] = w(RUBIN) + f"""
+SELECT alertId, CAST(i AS INTEGER) AS pos, {", ".join(f"{n}[i + 1] AS {n}" for n in rn)}
+FROM (SELECT *, unnest(range(len(cmidPointTai))) AS i FROM rlc)"""
+    q["history_window"] = w(ALERTS) + """
+SELECT candid, CAST(len(prv) AS INTEGER) AS n_prv, prv[1].jd AS prv_first_jd, prv[-1].jd AS prv_last_jd,
+  ndethist, jdstarthist FROM alerts"""
+
+
+def _xmatch(q):
+    q["xmatch_simbad"] = w(FLAT, catalog_cte("simbad"), best_match_cte(1.0)) + """
+SELECT f.candid, coalesce(b.main_type, 'Unknown') AS cdsxmatch, b.source_id
+FROM flat f LEFT JOIN best b ON f.candid = b.candid"""
+    q["xmatch_gaia"] = w(FLAT, catalog_cte("gaia"), best_match_cte(1.0)) + """
+SELECT f.candid, b.DR3Name, b.Plx, b.e_Plx, b.source_id
+FROM flat f LEFT JOIN best b ON f.candid = b.candid"""
+    q["xmatch_local"] = w(FLAT, catalog_cte("gcvs"), best_match_cte(1.5)) + """
+SELECT f.candid, coalesce(b.type, 'Unknown') AS gcvs, b.source_id
+FROM flat f LEFT JOIN best b ON f.candid = b.candid"""

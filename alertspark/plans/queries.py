@@ -43,3 +43,167 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scan events -> alerts -> history -> light curve -> asteroid code -> count by code."""
     df = q_asteroid_flag(spark, sf_dir)
     return df.groupBy("roid").agg(F.count(F.lit(1)).alias("n_alerts"))
+
+
+# ---------------------------------------------------------------- A: sources and sinks
+
+from alertspark.sources import alerts as src  # noqa: E402
+from alertspark.session import shared_path  # noqa: E402
+from alertspark.operators import skymatch as sky  # noqa: E402
+
+
+def project(df: DataFrame, cols) -> DataFrame:
+    """Projection from a list mixing names and Column objects, order kept."""
+    return df.select([F.col(c) if isinstance(c, str) else c for c in cols])
+
+
+@query("scan_alerts")
+def q_scan_alerts(spark, sf_dir):
+    df = src.read_alerts(spark, fx.alert_archive(spark, sf_dir))
+    return df.select(
+        "candid", "objectId",
+        F.col("candidate.jd").alias("jd"), F.col("candidate.magpsf").alias("magpsf"),
+        F.size("prv_candidates").alias("n_prv"), "year", "month", "day",
+    )
+
+
+@query("scan_night")
+def q_scan_night(spark, sf_dir):
+    df = src.read_night(spark, fx.alert_archive(spark, sf_dir), "20240107")
+    return df.select("candid", "objectId", F.col("candidate.jd").alias("jd"), "year", "month", "day")
+
+
+@query("scan_class")
+def q_scan_class(spark, sf_dir):
+    path = shared_path(spark, "by-class")
+    alerts = fx.ztf_alerts(spark, sf_dir).select("candid", "objectId", F.col("candidate.jd").alias("jd"), "alertclass")
+    src.write_by_class(alerts, path)
+    return src.read_class(spark, path, "purchase").select("candid", "objectId", "jd", "alertclass")
+
+
+@query("scan_sso")
+def q_scan_sso(spark, sf_dir):
+    path = shared_path(spark, "sso-aggregated")
+    fx.sso_aggregated(spark, sf_dir).write.mode("overwrite").parquet(path)
+    df = src.read_alerts(spark, path)
+    return df.select(
+        "ssnamenr", F.size("cjd").alias("n_obs"),
+        F.try_element_at("cjd", F.lit(1)).alias("jd_first"), F.try_element_at("cjd", F.lit(-1)).alias("jd_last"),
+    )
+
+
+@query("runs_roundtrip")
+def q_runs_roundtrip(spark, sf_dir):
+    path = shared_path(spark, "module-runs")
+    src.save_runs(fx.module_runs(spark, sf_dir), path)
+    return src.load_runs(spark, path).select("module", "loop", "engine", "total_alerts", "t_lapse", "n_cpu")
+
+
+@query("scan_catalog")
+def q_scan_catalog(spark, sf_dir):
+    root = shared_path(spark, "catalogs")
+    src.write_catalog(fx.catalog(spark, sf_dir, "gaia"), "vizier:I/355/gaiadr3", root)
+    return src.read_catalog(spark, "vizier:I/355/gaiadr3", root).select(
+        "source_id", "ra", "dec", "DR3Name", "Plx", "e_Plx")
+
+
+# ---------------------------------------------------------------- B: projection
+
+
+@query("project_nested")
+def q_project_nested(spark, sf_dir):
+    df = fx.ztf_alerts(spark, sf_dir)
+    return project(df, ["objectId", "candidate.candid", "candidate.ra", F.col("candidate.dec"),
+                        F.col("candidate.magpsf").alias("mag")])
+
+
+@query("project_literals")
+def q_project_literals(spark, sf_dir):
+    df = fx.ztf_alerts(spark, sf_dir)
+    return project(df, ["candid", F.lit(1.0).alias("radius"), F.lit("simbad"), F.lit("main_type"),
+                        F.lit(1000).alias("N"), F.lit(None).cast("bigint").alias("seed")])
+
+
+# ---------------------------------------------------------------- C: light curves
+
+
+@query("lightcurve_lengths")
+def q_lightcurve_lengths(spark, sf_dir):
+    df = ztf_lightcurves(spark, sf_dir)
+    return df.select(
+        "candid", F.size("cjd").alias("n_points"),
+        F.size(F.filter("cmagpsf", lambda x: x.isNotNull())).alias("n_det"),
+        F.col("candidate.ndethist").alias("ndethist"), F.col("candidate.jdstarthist").alias("jdstarthist"),
+    )
+
+
+@query("lightcurve_ztf")
+def q_lightcurve_ztf(spark, sf_dir):
+    df = ztf_lightcurves(spark, sf_dir)
+    names = ["c" + f for f in lcv.ZTF_FIELDS]
+    return df.select("candid", F.posexplode(F.arrays_zip(*names)).alias("pos", "e")).select(
+        "candid", "pos", *[F.col(f"e.{n}").alias(n) for n in names])
+
+
+@query("lightcurve_rubin")
+def q_lightcurve_rubin(spark, sf_dir):
+    df = lcv.lightcurve_rubin(fx.rubin_alerts(spark, sf_dir))
+    names = ["c" + f for f in lcv.RUBIN_FIELDS]
+    return df.select("alertId", F.posexplode(F.arrays_zip(*names)).alias("pos", "e")).select(
+        "alertId", "pos", *[F.col(f"e.{n}").alias(n) for n in names])
+
+
+@query("history_window")
+def q_history_window(spark, sf_dir):
+    df = fx.ztf_alerts(spark, sf_dir)
+    return df.select(
+        "candid", F.size("prv_candidates").alias("n_prv"),
+        F.try_element_at("prv_candidates", F.lit(1))["jd"].alias("prv_first_jd"),
+        F.try_element_at("prv_candidates", F.lit(-1))["jd"].alias("prv_last_jd"),
+        F.col("candidate.ndethist").alias("ndethist"), F.col("candidate.jdstarthist").alias("jdstarthist"),
+    )
+
+
+# ---------------------------------------------------------------- D: data movement
+
+
+@query("repartition_balance")
+def q_repartition_balance(spark, sf_dir):
+    df = fx.ztf_alerts(spark, sf_dir).select("candid", "candidate.jd").repartition(8)
+    return df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count(F.lit(1)).alias("n_alerts"))
+
+
+@query("count_alerts")
+def q_count_alerts(spark, sf_dir):
+    df = src.read_alerts(spark, fx.alert_archive(spark, sf_dir))
+    return df.groupBy("year", "month", "day").agg(F.count(F.lit(1)).alias("n_alerts"))
+
+
+# ---------------------------------------------------------------- E2-E4: cross-match
+
+
+def _xmatch_input(spark, sf_dir):
+    return fx.ztf_alerts(spark, sf_dir).select("candid", "candidate.ra", "candidate.dec")
+
+
+@query("xmatch_simbad")
+def q_xmatch_simbad(spark, sf_dir):
+    m = sky.cone_match(_xmatch_input(spark, sf_dir), fx.catalog(spark, sf_dir, "simbad"), 1.0,
+                       ["main_type"], "cdsxmatch", unknown="Unknown")
+    return m.select("candid", "cdsxmatch", F.col("cdsxmatch_source_id").alias("source_id"))
+
+
+@query("xmatch_gaia")
+def q_xmatch_gaia(spark, sf_dir):
+    cols = sky.parse_columns("DR3Name,Plx,e_Plx")
+    m = sky.cone_match(_xmatch_input(spark, sf_dir), fx.catalog(spark, sf_dir, "vizier:I/355/gaiadr3"), 1.0,
+                       cols, "gaia")
+    return m.select("candid", *[F.col(f"gaia.{c}").alias(c) for c in cols],
+                    F.col("gaia_source_id").alias("source_id"))
+
+
+@query("xmatch_local")
+def q_xmatch_local(spark, sf_dir):
+    m = sky.cone_match(_xmatch_input(spark, sf_dir), fx.catalog(spark, sf_dir, "gcvs"), 1.5,
+                       ["type"], "gcvs", unknown="Unknown", strategy="shuffle")
+    return m.select("candid", "gcvs", F.col("gcvs_source_id").alias("source_id"))

@@ -233,3 +233,50 @@ def line_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("func"),
         (F.col("event_id") % 17 + 31).cast("int").alias("line"),
     ).agg(F.count(F.lit(1)).alias("hits"), F.sum("value").alias("time"))
+
+
+_ARCHIVES: dict[tuple[str, str, str], str] = {}
+
+
+def _memo_write(spark: SparkSession, sf_dir: str, kind: str, build, writer) -> str:
+    """Write a derived table once per application into the shared folder."""
+    from alertspark.session import shared_path
+
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _ARCHIVES:
+        path = shared_path(spark, kind)
+        writer(build(), path)
+        _ARCHIVES[key] = path
+    return _ARCHIVES[key]
+
+
+def alert_archive(spark: SparkSession, sf_dir: str) -> str:
+    """ZTF-style alerts written as ``year=/month=/day=`` parquet; returns the root."""
+    from alertspark.sources.alerts import write_archive
+
+    return _memo_write(spark, sf_dir, "archive-science", lambda: ztf_alerts(spark, sf_dir), write_archive)
+
+
+def sso_aggregated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The solar-system input format: one row per object, arrays ordered by time."""
+    obs = sso_observations(spark, sf_dir)
+    g = obs.groupBy("ssnamenr").agg(
+        F.array_sort(F.collect_list(F.struct("jd", "candid", "magpsf", "sigmapsf", "fid", "ra", "dec"))).alias("_o"))
+    return g.select(
+        "ssnamenr",
+        F.col("_o.magpsf").alias("cmagpsf"),
+        F.col("_o.sigmapsf").alias("csigmapsf"),
+        F.col("_o.jd").alias("cjd"),
+        F.col("_o.fid").alias("cfid"),
+        F.col("_o.ra").alias("cra"),
+        F.col("_o.dec").alias("cdec"),
+    )
+
+
+def explode_sso(agg: DataFrame) -> DataFrame:
+    """Aggregated arrays back to one row per observation (row-local, no shuffle)."""
+    z = F.arrays_zip("cjd", "cmagpsf", "csigmapsf", "cfid", "cra", "cdec")
+    return agg.select("ssnamenr", F.inline(z)).select(
+        "ssnamenr", F.col("cjd").alias("jd"), F.col("cmagpsf").alias("magpsf"),
+        F.col("csigmapsf").alias("sigmapsf"), F.col("cfid").alias("fid"),
+        F.col("cra").alias("ra"), F.col("cdec").alias("dec"))
