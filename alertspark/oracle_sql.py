@@ -89,6 +89,7 @@ FROM (SELECT *, list_filter(cjd, lambda x, i: cmagpsf[i] IS NOT NULL) AS dj FROM
     _sources(q)
     _lightcurves(q)
     _xmatch(q)
+    _features(q)
     return q
 
 
@@ -207,3 +208,103 @@ FROM flat f LEFT JOIN best b ON f.candid = b.candid"""
     q["xmatch_local"] = w(FLAT, catalog_cte("gcvs"), best_match_cte(1.5)) + """
 SELECT f.candid, coalesce(b.type, 'Unknown') AS gcvs, b.source_id
 FROM flat f LEFT JOIN best b ON f.candid = b.candid"""
+
+
+# ------------------------------------------------------------------ light-curve features (SQL mirror)
+
+
+def _div(a: str, b: str) -> str:
+    return f"(CASE WHEN ({b}) <> 0 THEN ({a}) / ({b}) END)"
+
+
+def _fold(arr: str, body: str, var: str = "x") -> str:
+    return f"list_reduce({arr}, lambda acc, {var}: acc + ({body}), 0.0{D})"
+
+
+def _q(a: str, p: float) -> str:
+    pos = f"({p!r}{D} * CAST(n - 1 AS DOUBLE))"
+    lo = f"CAST(floor({pos}) AS INTEGER)"
+    frac = f"({pos} - CAST({lo} AS DOUBLE))"
+    hi = f"least({lo} + 1, n - 1)"
+    return f"({a}[{lo} + 1] + {frac} * ({a}[{hi} + 1] - {a}[{lo} + 1]))"
+
+
+FEATURES = ALERTS + f""",
+bp0 AS (
+  SELECT candid, band,
+    list_filter(list_transform(range(1, len(cjd) + 1), lambda i: struct_pack(t := cjd[i], m := cmagpsf[i],
+        s := csigmapsf[i], f := cfid[i], d := cdistnr[i])), lambda x: x.f = band AND x.m IS NOT NULL) AS raw
+  FROM lc CROSS JOIN (VALUES (1), (2)) v(band)
+),
+bp AS MATERIALIZED (
+  SELECT candid, band,
+    list_transform(raw, lambda x: struct_pack(t := x.t - raw[1].t, m := x.m, s := x.s, d := x.d)) AS p
+  FROM bp0
+),
+ba AS MATERIALIZED (
+  SELECT *, CAST(len(p) AS INTEGER) AS n,
+    {_div(_fold("list_transform(p, lambda y: y.m)", "x"), "CAST(len(p) AS DOUBLE)")} AS mean,
+    list_sort(list_transform(p, lambda y: y.m)) AS sorted,
+    {_fold("p", _div(f"1.0{D}", "x.s * x.s"))} AS w,
+    {_fold("p", _div("x.m", "x.s * x.s"))} AS wm,
+    {_div(_fold("p", "x.t"), "CAST(len(p) AS DOUBLE)")} AS tmean
+  FROM bp
+),
+bb AS MATERIALIZED (
+  SELECT *,
+    {_div(_fold("p", "(x.m - mean) * (x.m - mean)"), "CAST(n - 1 AS DOUBLE)")} AS var,
+    {_div("wm", "w")} AS wmean,
+    {_q("sorted", 0.5)} AS median,
+    {_fold("p", "(x.t - tmean) * (x.t - tmean)")} AS stt,
+    {_fold("p", "(x.t - tmean) * (x.m - mean)")} AS stm,
+    {_div(_fold("p", "x.d"), "CAST(n AS DOUBLE)")} AS mean_distnr
+  FROM ba
+),
+bc AS MATERIALIZED (
+  SELECT *, list_sort(list_transform(p, lambda x: abs(x.m - median))) AS absdev,
+    sqrt(var) AS std,
+    list_transform(range(2, n + 1), lambda i: struct_pack(dm := p[i].m - p[i - 1].m, dt := p[i].t - p[i - 1].t)) AS succ,
+    {_div("stm", "stt")} AS slope
+  FROM bb
+),
+bd AS MATERIALIZED (
+  SELECT *, mean - slope * tmean AS intercept FROM bc
+),
+feat AS (
+  SELECT candid, band, n,
+    {{g}}mean{{e}} AS mean,
+    {{g}}wmean{{e}} AS weighted_mean,
+    {{g}}std{{e}} AS std,
+    {{g}}(list_max(sorted) - list_min(sorted)) / 2{{e}} AS amplitude,
+    {{g}}CASE WHEN n >= 2 AND var > 0 THEN {_div("CAST(len(list_filter(p, lambda x: abs(x.m - mean) > std)) AS DOUBLE)", "CAST(n AS DOUBLE)")} END{{e}} AS beyond_1_std,
+    {{g}}{_div(_fold("p", _div("x.m - wmean", "x.s") + " * " + _div("x.m - wmean", "x.s")), "CAST(n - 1 AS DOUBLE)")}{{e}} AS chi2,
+    {{g}}mean_distnr{{e}} AS mean_distnr,
+    {{g}}slope{{e}} AS linear_trend,
+    {{g}}CASE WHEN n >= 3 AND stt > 0 THEN sqrt({_div(_div(_fold("p", "(x.m - (intercept + slope * x.t)) * (x.m - (intercept + slope * x.t))"), "CAST(n - 2 AS DOUBLE)"), "stt")}) END{{e}} AS linear_trend_sigma,
+    {{g}}list_max(list_transform(list_filter(succ, lambda d: d.dt > 0), lambda d: abs({_div("d.dm", "d.dt")}))){{e}} AS max_slope,
+    {{g}}CASE WHEN n >= 2 AND var > 0 THEN {_div(_div(_fold("succ", "d.dm * d.dm", "d"), "CAST(n - 1 AS DOUBLE)"), "var")} END{{e}} AS eta,
+    {{g}}median{{e}} AS median,
+    {{g}}{_q("absdev", 0.5)}{{e}} AS mad,
+    {{g}}greatest(abs(list_max(sorted) - median), abs(list_min(sorted) - median)){{e}} AS percent_amplitude,
+    {{g}}{_q("sorted", 0.9)} - {_q("sorted", 0.1)}{{e}} AS q10_q90,
+    {{g}}{_q("sorted", 0.75)} - {_q("sorted", 0.25)}{{e}} AS iqr,
+    {{g}}CASE WHEN n >= 2 AND var > 0 AND n >= 3 THEN {_div("CAST(n AS DOUBLE)", "CAST((n - 1) * (n - 2) AS DOUBLE)")} * {_fold("p", "ZS * ZS * ZS")} END{{e}} AS skew,
+    {{g}}CASE WHEN n >= 2 AND var > 0 AND n >= 4 THEN {_div("CAST(n AS DOUBLE) * CAST(n + 1 AS DOUBLE)", "CAST((n - 1) * (n - 2) * (n - 3) AS DOUBLE)")} * {_fold("p", "ZS * ZS * ZS * ZS")} - {_div(f"3.0{D} * CAST((n - 1) * (n - 1) AS DOUBLE)", "CAST((n - 2) * (n - 3) AS DOUBLE)")} END{{e}} AS kurtosis,
+    {{g}}CASE WHEN SKDEN > 0 THEN {_div(_div(_fold("p", "abs(DK)"), "CAST(n AS DOUBLE)"), "SKDEN")} END{{e}} AS stetson_K
+  FROM bd
+)""".replace("{g}", "CASE WHEN n >= 2 THEN CAST(").replace("{e}", " AS DOUBLE) END").replace(
+    "ZS", _div("x.m - mean", "std")).replace(
+    "SKDEN", "sqrt(" + _div(_fold("p", "DK * DK"), "CAST(n AS DOUBLE)") + ")").replace(
+    "DK", _div(f"sqrt({_div('CAST(n AS DOUBLE)', 'CAST(n - 1 AS DOUBLE)')}) * (x.m - wmean)", "x.s"))
+
+
+def _features(q):
+    groups = {
+        "lc_features_basic": ["n", "mean", "weighted_mean", "std", "amplitude", "beyond_1_std", "chi2", "mean_distnr"],
+        "lc_features_trend": ["linear_trend", "linear_trend_sigma", "max_slope", "eta"],
+        "lc_features_quantile": ["median", "mad", "percent_amplitude", "q10_q90", "iqr"],
+        "lc_features_pairs": ["skew", "kurtosis", "stetson_K"],
+    }
+    for key, cols in groups.items():
+        q[key] = w(FEATURES) + f"""
+SELECT candid, band, {", ".join(cols)} FROM feat"""

@@ -207,3 +207,32 @@ def q_xmatch_local(spark, sf_dir):
     m = sky.cone_match(_xmatch_input(spark, sf_dir), fx.catalog(spark, sf_dir, "gcvs"), 1.5,
                        ["type"], "gcvs", unknown="Unknown", strategy="shuffle")
     return m.select("candid", "gcvs", F.col("gcvs_source_id").alias("source_id"))
+
+
+# ---------------------------------------------------------------- E8: light-curve features
+
+from alertspark.operators import features as feats  # noqa: E402
+
+
+def _features(spark, sf_dir, names):
+    return feats.lc_features_long(ztf_lightcurves(spark, sf_dir), ["candid"], names)
+
+
+@query("lc_features_basic")
+def q_lc_features_basic(spark, sf_dir):
+    return _features(spark, sf_dir, feats.FEATURES_BASIC)
+
+
+@query("lc_features_trend")
+def q_lc_features_trend(spark, sf_dir):
+    return _features(spark, sf_dir, feats.FEATURES_TREND)
+
+
+@query("lc_features_quantile")
+def q_lc_features_quantile(spark, sf_dir):
+    return _features(spark, sf_dir, feats.FEATURES_QUANTILE)
+
+
+@query("lc_features_pairs")
+def q_lc_features_pairs(spark, sf_dir):
+    return _features(spark, sf_dir, feats.FEATURES_SHAPE)
