@@ -90,6 +90,7 @@ FROM (SELECT *, list_filter(cjd, lambda x, i: cmagpsf[i] IS NOT NULL) AS dj FROM
     _lightcurves(q)
     _xmatch(q)
     _features(q)
+    _rates_reports(q)
     return q
 
 
@@ -308,3 +309,128 @@ def _features(q):
     for key, cols in groups.items():
         q[key] = w(FEATURES) + f"""
 SELECT candid, band, {", ".join(cols)} FROM feat"""
+
+
+# ------------------------------------------------------------------ rates, D-mag, reports
+
+RUNS = f"""runs AS (
+  SELECT event_type AS module, CAST(event_id % 2 AS INTEGER) AS loop,
+    CASE WHEN user_id % 2 = 0 THEN 'spark' ELSE 'pandas' END AS engine,
+    count(*) AS total_alerts, sum(value) / 1000.0{D} AS t_lapse, 8.0{D} AS n_cpu
+  FROM events GROUP BY ALL
+),
+tp AS (
+  SELECT *, CASE WHEN engine = 'spark' THEN total_alerts / t_lapse / n_cpu ELSE total_alerts / t_lapse END AS throughput
+  FROM runs
+),
+summ AS (
+  SELECT module, engine, round(avg(throughput), 6) AS mean_tp, round(stddev_pop(throughput), 6) AS std_tp,
+    count(*) AS n_loops
+  FROM tp GROUP BY ALL
+)"""
+
+
+def _rates_reports(q):
+    q["mag_rate"] = w(ALERTS) + f""",
+pts AS (
+  SELECT candid, magpsf, sigmapsf, jd,
+    list_filter(list_transform(range(1, len(cjd)), lambda i: struct_pack(t := cjd[i], m := cmagpsf[i],
+      s := csigmapsf[i], f := cfid[i], u := cdiffmaglim[i])),
+      lambda p: p.f = fid AND p.t < jd AND p.t >= coalesce(jdstarthist, p.t)) AS earlier
+  FROM lc
+),
+ref AS (
+  SELECT *, list_filter(earlier, lambda p: p.m IS NOT NULL)[-1] AS det,
+    list_filter(earlier, lambda p: p.u IS NOT NULL)[-1] AS ul FROM pts
+),
+ref2 AS (
+  SELECT candid, magpsf, sigmapsf,
+    CASE WHEN det IS NOT NULL THEN det.m WHEN ul IS NOT NULL THEN ul.u END AS pm,
+    CASE WHEN det IS NOT NULL THEN det.s WHEN ul IS NOT NULL THEN 0.0{D} END AS ps,
+    jd - CASE WHEN det IS NOT NULL THEN det.t WHEN ul IS NOT NULL THEN ul.t END AS dt,
+    (det IS NULL AND ul IS NOT NULL) AS from_upper
+  FROM ref
+),
+r3 AS (
+  SELECT *, CASE WHEN dt > 0 THEN (magpsf - pm) / dt END AS rate,
+    CASE WHEN dt > 0 THEN sqrt(sigmapsf * sigmapsf + ps * ps) / dt END AS sigma FROM ref2
+)
+SELECT candid, rate, sigma, rate - 1.6448536{D} * sigma AS lower, rate + 1.6448536{D} * sigma AS upper, dt, from_upper
+FROM r3"""
+
+    q["dc_mag"] = w(ALERTS) + f""",
+e AS (
+  SELECT candid, CAST(i AS INTEGER) AS pos, cmagpsf[i + 1] AS m, csigmapsf[i + 1] AS s, cmagnr[i + 1] AS mr,
+    csigmagnr[i + 1] AS sr, cisdiffpos[i + 1] AS dp
+  FROM (SELECT *, unnest(range(len(cjd))) AS i FROM lc)
+),
+f AS (
+  SELECT *, pow(10.0{D}, -0.4{D} * mr) AS fr, pow(10.0{D}, -0.4{D} * m) AS fd,
+    CASE WHEN dp IN ('t', '1') THEN 1.0{D} ELSE -1.0{D} END AS sg FROM e
+)
+SELECT candid, pos,
+  round(CASE WHEN fr + sg * fd > 0 THEN -2.5{D} * log10(fr + sg * fd) END, 6) AS dcmag,
+  round(CASE WHEN fr + sg * fd > 0 THEN sqrt((fr * sr) * (fr * sr) + (fd * s) * (fd * s)) / (fr + sg * fd) END, 6) AS dcmag_err
+FROM f"""
+
+    q["throughput_runs"] = w(RUNS) + """
+SELECT module, loop, engine, round(throughput, 6) AS throughput FROM tp"""
+    q["throughput_summary"] = w(RUNS) + """
+SELECT * FROM summ"""
+    q["throughput_targets"] = w(RUNS) + f"""
+SELECT module, engine, mean_tp,
+  mean_tp >= 75.0{D} AS meets_ztf_1s, mean_tp >= 37.5{D} AS meets_ztf_2s,
+  mean_tp >= 62.5{D} AS meets_lsst_1s, mean_tp >= 31.25{D} AS meets_lsst_2s,
+  CASE WHEN mean_tp >= 75.0{D} THEN 'ztf_1s' WHEN mean_tp >= 62.5{D} THEN 'lsst_1s'
+       WHEN mean_tp >= 37.5{D} THEN 'ztf_2s' WHEN mean_tp >= 31.25{D} THEN 'lsst_2s' END AS best_target
+FROM summ"""
+    mods = ["click", "error", "purchase", "signup", "view"]
+    piv = ", ".join(f"round(first(throughput) FILTER (WHERE module = '{m}'), 6) AS {m}" for m in mods)
+    q["runs_wide"] = w(RUNS) + f"""
+SELECT loop, {piv},
+  format('total_memory={{}}, gb_per_executor={{}}, core_per_executor={{}}, night={{}}, total_alerts={{}}',
+         16, 2, 1, '20240716', sum(total_alerts)) AS config
+FROM tp WHERE engine = 'spark' GROUP BY loop"""
+    q["runs_long"] = w(RUNS) + """
+SELECT loop, module, round(throughput, 6) AS throughput FROM tp WHERE engine = 'spark'"""
+    q["emission_report"] = f"""
+WITH er AS (
+  SELECT event_type AS module, CAST(event_id % 2 AS INTEGER) AS loop,
+    avg(value) * 1e-9{D} AS raw_rate, min(value) * 1e-9{D} AS baseline_rate
+  FROM events GROUP BY ALL
+),
+e AS (
+  SELECT module, raw_rate * 10512000.0{D} AS raw, baseline_rate * 10512000.0{D} AS base,
+    (raw_rate - baseline_rate) * 10512000.0{D} AS diff FROM er
+)
+SELECT module, round(avg(raw), 6) AS raw_mean, round(stddev_pop(raw), 6) AS raw_std,
+  round(avg(base), 6) AS base_mean, round(stddev_pop(base), 6) AS base_std,
+  round(avg(diff), 6) AS diff_mean, round(stddev_pop(diff), 6) AS diff_std
+FROM e GROUP BY module"""
+    q["line_cost"] = """
+WITH lp AS (
+  SELECT event_type AS func, CAST(event_id % 17 + 31 AS INTEGER) AS line, count(*) AS hits, sum(value) AS time
+  FROM events GROUP BY ALL
+)
+SELECT func, line, hits, round(time / hits, 6) AS per_hit,
+  round(100.0 * time / sum(time) OVER (PARTITION BY func), 6) AS pct_time,
+  round(hits / max(hits) OVER (PARTITION BY func), 6) AS hit_share,
+  row_number() OVER (PARTITION BY func ORDER BY time DESC, line) = 1 AS is_top
+FROM lp"""
+    q["effective_share"] = w(ALERTS) + """,
+s AS (
+  SELECT event_type AS alertclass,
+    CASE
+      WHEN ssdistnr >= 0.0 AND ssdistnr < 5.0 THEN 3
+      WHEN ndethist = 2 AND NOT (sgscore1 > 0.76 AND distpsnr1 < 1.0)
+           AND (CASE WHEN len(dj) >= 2 THEN dj[-1] - dj[-2] END) <= 1.0 THEN 2
+      WHEN ndethist = 1 AND NOT (sgscore1 > 0.76 AND distpsnr1 < 1.0) THEN 1
+      ELSE 0 END AS roid
+  FROM (SELECT *, list_filter(cjd, lambda x, i: cmagpsf[i] IS NOT NULL) AS dj FROM lc)
+)
+SELECT alertclass, count(*) AS n_alerts, CAST(sum(CASE WHEN roid > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_positive,
+  round(avg(CASE WHEN roid > 0 THEN 1.0 ELSE 0.0 END), 6) AS share
+FROM s GROUP BY alertclass"""
+    q["engine_ratio"] = w(RUNS) + """
+SELECT a.module, a.mean_tp AS pandas_mean, b.mean_tp AS spark_mean, round(a.mean_tp / b.mean_tp, 6) AS ratio
+FROM summ a JOIN summ b ON a.module = b.module AND a.engine = 'pandas' AND b.engine = 'spark'"""

@@ -236,3 +236,90 @@ def q_lc_features_quantile(spark, sf_dir):
 @query("lc_features_pairs")
 def q_lc_features_pairs(spark, sf_dir):
     return _features(spark, sf_dir, feats.FEATURES_SHAPE)
+
+
+# ---------------------------------------------------------------- E7: fast transient rate; E9 step: D-mag
+
+from alertspark.operators import rates  # noqa: E402
+
+
+def _rated(spark, sf_dir):
+    return ztf_lightcurves(spark, sf_dir).withColumn("fast_transient", rates.magnitude_rate())
+
+
+@query("mag_rate")
+def q_mag_rate(spark, sf_dir):
+    r = F.col("fast_transient")
+    return _rated(spark, sf_dir).select(
+        "candid", r["rate"].alias("rate"), r["sigma"].alias("sigma"), r["lower"].alias("lower"),
+        r["upper"].alias("upper"), r["dt"].alias("dt"), r["from_upper"].alias("from_upper"))
+
+
+@query("mag_rate_mc")
+def q_mag_rate_mc(spark, sf_dir):
+    df = rates.magnitude_rate_mc(_rated(spark, sf_dir), n=1000, seed=42)
+    return df.select("candid", F.col("fast_transient_mc.lower_mc").alias("lower_mc"),
+                     F.col("fast_transient_mc.upper_mc").alias("upper_mc"))
+
+
+@query("dc_mag")
+def q_dc_mag(spark, sf_dir):
+    df = feats.dc_mag_arrays(ztf_lightcurves(spark, sf_dir))
+    z = F.arrays_zip("cdcmag", "cdcmag_err")
+    return df.select("candid", F.posexplode(z).alias("pos", "e")).select(
+        "candid", "pos", F.round("e.cdcmag", 6).alias("dcmag"), F.round("e.cdcmag_err", 6).alias("dcmag_err"))
+
+
+# ---------------------------------------------------------------- G: reports
+
+from alertspark.plans import reports as rep  # noqa: E402
+
+DRIVER_MODULES = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("throughput_runs")
+def q_throughput_runs(spark, sf_dir):
+    return rep.throughput(fx.module_runs(spark, sf_dir)).select(
+        "module", "loop", "engine", F.round("throughput", 6).alias("throughput"))
+
+
+@query("throughput_summary")
+def q_throughput_summary(spark, sf_dir):
+    return rep.throughput_summary(fx.module_runs(spark, sf_dir))
+
+
+@query("throughput_targets")
+def q_throughput_targets(spark, sf_dir):
+    return rep.throughput_targets(rep.throughput_summary(fx.module_runs(spark, sf_dir)))
+
+
+@query("runs_wide")
+def q_runs_wide(spark, sf_dir):
+    return rep.runs_wide(fx.module_runs(spark, sf_dir), DRIVER_MODULES)
+
+
+@query("runs_long")
+def q_runs_long(spark, sf_dir):
+    return rep.runs_long(rep.runs_wide(fx.module_runs(spark, sf_dir), DRIVER_MODULES))
+
+
+@query("emission_report")
+def q_emission_report(spark, sf_dir):
+    return rep.emission_report(fx.emission_runs(spark, sf_dir))
+
+
+@query("line_cost")
+def q_line_cost(spark, sf_dir):
+    return rep.line_cost(fx.line_profile(spark, sf_dir))
+
+
+@query("effective_share")
+def q_effective_share(spark, sf_dir):
+    df = ztf_lightcurves(spark, sf_dir)
+    scored = df.select("alertclass", rules.asteroid_flag(max_gap_days=1.0).alias("roid"))
+    return rep.effective_share(scored, "roid", ["alertclass"])
+
+
+@query("engine_ratio")
+def q_engine_ratio(spark, sf_dir):
+    return rep.engine_ratio(rep.throughput_summary(fx.module_runs(spark, sf_dir)))
