@@ -91,6 +91,7 @@ FROM (SELECT *, list_filter(cjd, lambda x, i: cmagpsf[i] IS NOT NULL) AS dj FROM
     _xmatch(q)
     _features(q)
     _rates_reports(q)
+    _stamps(q)
     return q
 
 
@@ -434,3 +435,54 @@ FROM s GROUP BY alertclass"""
     q["engine_ratio"] = w(RUNS) + """
 SELECT a.module, a.mean_tp AS pandas_mean, b.mean_tp AS spark_mean, round(a.mean_tp / b.mean_tp, 6) AS ratio
 FROM summ a JOIN summ b ON a.module = b.module AND a.engine = 'pandas' AND b.engine = 'spark'"""
+
+
+# ------------------------------------------------------------------ stamps
+
+STAMPS = """st AS (
+  SELECT a.vec_id, CAST(a.embedding AS DOUBLE[]) AS sci, CAST(b.embedding AS DOUBLE[]) AS tpl
+  FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1
+)"""
+
+
+def _clip_cols(a: str, k: str) -> str:
+    n = f"CAST(len({a}) AS DOUBLE)"
+    mean = f"(CASE WHEN {n} > 0 THEN {_fold(a, 'x')} / {n} END)"
+    sd = f"(CASE WHEN {n} > 0 THEN sqrt({_fold(a, f'(x - {mean}) * (x - {mean})')} / {n}) END)"
+    srt = f"list_sort({a})"
+    nn = f"len({a})"
+    pos = f"(0.5{D} * CAST({nn} - 1 AS DOUBLE))"
+    lo = f"CAST(floor({pos}) AS INTEGER)"
+    hi = f"least({lo} + 1, {nn} - 1)"
+    med = f"({srt}[{lo} + 1] + ({pos} - CAST({lo} AS DOUBLE)) * ({srt}[{hi} + 1] - {srt}[{lo} + 1]))"
+    return f"list_filter({a}, lambda x: abs(x - {med}) <= 3.0{D} * {sd}) AS {k}_c"
+
+
+def _stamps(q):
+    q["stamp_shape"] = w(STAMPS) + """
+SELECT vec_id, CAST(len(sci) AS INTEGER) AS n_sci, CAST(len(tpl) AS INTEGER) AS n_tpl,
+  coalesce(len(sci) = 64 AND len(tpl) = 64, false) AS shape_ok FROM st"""
+    stats = []
+    for k in ("sci", "tpl"):
+        c = f"{k}_c"
+        n = f"CAST(len({c}) AS DOUBLE)"
+        mean = f"(CASE WHEN {n} > 0 THEN {_fold(c, 'x')} / {n} END)"
+        stats += [f"CAST(len({c}) AS INTEGER) AS n_kept_{k}", f"{mean} AS mean_{k}",
+                  f"(CASE WHEN {n} > 0 THEN sqrt({_fold(c, f'(x - {mean}) * (x - {mean})')} / {n}) END) AS std_{k}"]
+    q["stamp_sigma_clip"] = w(STAMPS) + f""",
+cl AS MATERIALIZED (SELECT vec_id, {_clip_cols("sci", "sci")}, {_clip_cols("tpl", "tpl")} FROM st)
+SELECT vec_id, {", ".join(stats)} FROM cl"""
+    q["stamp_ks"] = w(STAMPS) + """,
+px AS (
+  SELECT vec_id, unnest(sci) AS v, 1 AS fa, len(sci) AS na, len(tpl) AS nb FROM st WHERE tpl IS NOT NULL
+  UNION ALL
+  SELECT vec_id, unnest(tpl) AS v, 0 AS fa, len(sci) AS na, len(tpl) AS nb FROM st WHERE tpl IS NOT NULL
+),
+cdf AS (
+  SELECT vec_id,
+    CAST(sum(fa) OVER cw AS DOUBLE) / na - CAST(sum(1 - fa) OVER cw AS DOUBLE) / nb AS d
+  FROM px
+  WINDOW cw AS (PARTITION BY vec_id ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+),
+ks AS (SELECT vec_id, max(abs(d)) AS ks FROM cdf GROUP BY vec_id)
+SELECT st.vec_id, ks.ks FROM st LEFT JOIN ks ON st.vec_id = ks.vec_id"""

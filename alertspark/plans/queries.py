@@ -323,3 +323,46 @@ def q_effective_share(spark, sf_dir):
 @query("engine_ratio")
 def q_engine_ratio(spark, sf_dir):
     return rep.engine_ratio(rep.throughput_summary(fx.module_runs(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- E1: stamps
+
+from alertspark.operators import stamps as stp  # noqa: E402
+
+DRIVER_STAMP_SIDE = 8
+
+
+@query("stamp_shape")
+def q_stamp_shape(spark, sf_dir):
+    s = fx.stamps(spark, sf_dir)
+    npx = DRIVER_STAMP_SIDE * DRIVER_STAMP_SIDE
+    sci, tpl = F.col("cutoutScience.stampData"), F.col("cutoutTemplate.stampData")
+    return s.select("vec_id", F.size(sci).alias("n_sci"), F.size(tpl).alias("n_tpl"),
+                    F.coalesce((F.size(sci) == npx) & (F.size(tpl) == npx), F.lit(False)).alias("shape_ok"))
+
+
+@query("stamp_sigma_clip")
+def q_stamp_sigma_clip(spark, sf_dir):
+    s = fx.stamps(spark, sf_dir).select("vec_id", F.col("cutoutScience.stampData").alias("sci"),
+                                        F.col("cutoutTemplate.stampData").alias("tpl"))
+    s = stp.sigma_clip(s, "sci", "sci_c", 3.0, rounds=1)
+    s = stp.sigma_clip(s, "tpl", "tpl_c", 3.0, rounds=1)
+    out = ["vec_id"]
+    for k in ("sci", "tpl"):
+        c = F.col(f"{k}_c")
+        m = stp.array_mean(c)
+        out += [F.size(c).alias(f"n_kept_{k}"), m.alias(f"mean_{k}"), stp.array_std_pop(c, m).alias(f"std_{k}")]
+    return s.select(*out)
+
+
+@query("stamp_ks")
+def q_stamp_ks(spark, sf_dir):
+    s = fx.stamps(spark, sf_dir)
+    return s.select("vec_id", stp.ks_distance(F.col("cutoutScience.stampData"),
+                                              F.col("cutoutTemplate.stampData")).alias("ks"))
+
+
+@query("hostless")
+def q_hostless(spark, sf_dir):
+    s = fx.stamps(spark, sf_dir)
+    return stp.hostless_score(s, side=DRIVER_STAMP_SIDE, detect_sigma=1.5, min_pixels=3).select("vec_id", "hostless")
