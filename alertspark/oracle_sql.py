@@ -92,6 +92,7 @@ FROM (SELECT *, list_filter(cjd, lambda x, i: cmagpsf[i] IS NOT NULL) AS dj FROM
     _features(q)
     _rates_reports(q)
     _stamps(q)
+    _supervised(q)
     return q
 
 
@@ -486,3 +487,92 @@ cdf AS (
 ),
 ks AS (SELECT vec_id, max(abs(d)) AS ks FROM cdf GROUP BY vec_id)
 SELECT st.vec_id, ks.ks FROM st LEFT JOIN ks ON st.vec_id = ks.vec_id"""
+
+
+# ------------------------------------------------------------------ supervised modules: cuts and features
+
+CURVE = ["n", "peak", "last", "mean", "slope", "rise_frac", "span", "err_mean"]
+
+
+def _curve_sql(src: str, key: str, t: str, y: str, e: str, b: str, bands: list, brighter: str,
+               since: str | None = None, extra: tuple = ()) -> str:
+    """CTE text computing the curve summary per (key, band) from list columns of ``src``."""
+    vals = ", ".join(f"({v!r})" for v in bands)
+    cond = "x.b = band AND x.y IS NOT NULL" + (f" AND x.t >= {since}" if since else "")
+    peak = "list_min(ys)" if brighter == "lower" else "list_max(ys)"
+    up = "d < 0" if brighter == "lower" else "d > 0"
+    ex = "".join(f", {c}" for c in extra)
+    return f"""cp0 AS (
+  SELECT {key}{ex}, band,
+    list_filter(list_transform(range(1, len({t}) + 1), lambda i: struct_pack(t := {t}[i], y := {y}[i], e := {e}[i],
+      b := {b}[i])), lambda x: {cond}) AS raw
+  FROM {src} CROSS JOIN (VALUES {vals}) v(band)
+),
+cp AS MATERIALIZED (
+  SELECT {key}{ex}, band, list_transform(raw, lambda x: struct_pack(t := x.t - raw[1].t, y := x.y, e := x.e)) AS q
+  FROM cp0
+),
+cq AS MATERIALIZED (
+  SELECT *, CAST(len(q) AS INTEGER) AS n, list_transform(q, lambda x: x.y) AS ys FROM cp
+),
+cr AS MATERIALIZED (
+  SELECT *, {_div(_fold("ys", "x"), "CAST(n AS DOUBLE)")} AS my, {_div(_fold("q", "x.t"), "CAST(n AS DOUBLE)")} AS mt
+  FROM cq
+),
+curve AS (
+  SELECT {key}{ex}, band, n,
+    CAST({peak} AS DOUBLE) AS peak, CAST(ys[-1] AS DOUBLE) AS last, my AS mean,
+    CASE WHEN n >= 2 THEN {_div(_fold("q", "(x.t - mt) * (x.y - my)"), _fold("q", "(x.t - mt) * (x.t - mt)"))} END AS slope,
+    CASE WHEN n >= 2 THEN {_div("CAST(len(list_filter(list_transform(range(2, n + 1), lambda i: q[i].y - q[i - 1].y), lambda d: " + up + ")) AS DOUBLE)", "CAST(n - 1 AS DOUBLE)")} END AS rise_frac,
+    q[-1].t AS span,
+    {_div(_fold("q", "x.e"), "CAST(n AS DOUBLE)")} AS err_mean
+  FROM cr
+)"""
+
+
+KN_CUTS = """(coalesce(ndethist < 20 AND (jd - jdstarthist) < 20
+   AND cdsxmatch IN ('Unknown', 'Candidate_SN*', 'SN', 'Transient', 'Fail')
+   AND len(list_filter(cmagpsf, lambda x: x IS NOT NULL)) >= 2, false))"""
+
+
+def _supervised(q):
+    xm = w(ALERTS, catalog_cte("simbad"), best_match_cte(1.0)) + """,
+xlc AS (
+  SELECT lc.*, coalesce(b.main_type, 'Unknown') AS cdsxmatch FROM lc LEFT JOIN best b ON lc.candid = b.candid
+)"""
+    q["kn_cuts"] = xm + f"""
+SELECT candid, cdsxmatch, {KN_CUTS} AS pass_cuts FROM xlc"""
+    q["kn_features"] = w(ALERTS, _curve_sql("lc", "candid", "cjd", "cmagpsf", "csigmapsf", "cfid", [1, 2], "lower")) + f"""
+SELECT candid, CAST(band AS VARCHAR) AS band, {", ".join(CURVE)} FROM curve"""
+    snia = _curve_sql("xlc", "candid", "cjd", "cmagpsf", "csigmapsf", "cfid", [1, 2], "lower",
+                      since=f"jd - 10.0{D}", extra=("ndethist", "cdsxmatch"))
+    q["snia_cuts"] = xm + ",\n" + snia + """,
+per AS (
+  SELECT candid, ndethist, cdsxmatch,
+    bool_or(n >= 3) AS enough, bool_or(n >= 3 AND slope < 0) AS rising
+  FROM curve GROUP BY ALL
+)
+SELECT candid, coalesce(ndethist <= 20 AND enough AND rising
+  AND cdsxmatch IN ('Unknown', 'Candidate_SN*', 'SN', 'Transient', 'Fail'), false) AS pass_cuts FROM per"""
+    q["snia_features"] = w(ALERTS, _curve_sql("lc", "candid", "cjd", "cmagpsf", "csigmapsf", "cfid", [1, 2],
+                                              "lower", since=f"jd - 10.0{D}")) + f"""
+SELECT candid, CAST(band AS VARCHAR) AS band, {", ".join(CURVE)} FROM curve"""
+    q["snn_vector"] = w(ALERTS) + """,
+v AS (
+  SELECT candid, band, list_reverse(list_transform(list_filter(list_transform(range(1, len(cjd) + 1),
+      lambda i: struct_pack(y := cmagpsf[i], b := cfid[i])), lambda p: p.b = band AND p.y IS NOT NULL),
+      lambda p: p.y)) AS r
+  FROM lc CROSS JOIN (VALUES (1), (2)) t(band)
+)
+SELECT candid, band, CAST(slot AS INTEGER) AS slot, r[slot + 1] AS mag
+FROM v CROSS JOIN range(8) s(slot)"""
+    slsn_md = ("hostgal_zphot", "hostgal_zphot_err", "hostgal_snsep")
+    q["slsn_features_md"] = w(RUBIN, _curve_sql("rlc", "alertId", "cmidPointTai", "cpsFlux", "cpsFluxErr",
+                                                "cfilterName", ["g", "r", "i"], "higher", extra=slsn_md)) + f"""
+SELECT alertId, {", ".join(slsn_md)}, band, {", ".join(CURVE)} FROM curve"""
+    cats_md = ("mwebv", "z_final", "z_final_err", "hostgal_zphot", "hostgal_zphot_err")
+    rl = RUBIN + """,
+rlc2 AS (SELECT *, hostgal_zphot AS z_final, hostgal_zphot_err AS z_final_err FROM rlc)"""
+    q["cats_features_md"] = w(rl, _curve_sql("rlc2", "alertId", "cmidPointTai", "cpsFlux", "cpsFluxErr",
+                                             "cfilterName", ["u", "z", "Y"], "higher", extra=cats_md)) + f"""
+SELECT alertId, {", ".join(cats_md)}, band, {", ".join(CURVE)} FROM curve"""

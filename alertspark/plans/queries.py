@@ -366,3 +366,207 @@ def q_stamp_ks(spark, sf_dir):
 def q_hostless(spark, sf_dir):
     s = fx.stamps(spark, sf_dir)
     return stp.hostless_score(s, side=DRIVER_STAMP_SIDE, detect_sigma=1.5, min_pixels=3).select("vec_id", "hostless")
+
+
+# ---------------------------------------------------------------- E5, E9, E11, E12: supervised ZTF modules
+
+from alertspark.operators import learn  # noqa: E402
+
+ZTF_BANDS = [1, 2]
+RUBIN_MD_BANDS = ["g", "r", "i"]
+CATS_BANDS = ["u", "z", "Y"]
+
+
+def _ztf_curve_features(df, prefix="cf", since=None):
+    return learn.add_curve_features(df, ZTF_BANDS, prefix, "cjd", "cmagpsf", "csigmapsf", "cfid", "lower", since)
+
+
+def _long_curve_features(df, key, bands, prefix, extra=()):
+    arr = F.array(*[F.struct(F.lit(str(b)).alias("band"), *[F.col(f"{prefix}{b}.{k}").alias(k)
+                                                          for k in learn.CURVE_FEATURES]) for b in bands])
+    return df.select(key, *extra, F.inline(arr))
+
+
+def ztf_science_input(spark, sf_dir):
+    """Light curves + cross-match label + asteroid code + training label (upstream modules)."""
+    df = ztf_lightcurves(spark, sf_dir)
+    df = sky.cone_match(df, fx.catalog(spark, sf_dir, "simbad"), 1.0, ["main_type"], "cdsxmatch",
+                        ra="candidate.ra", dec="candidate.dec", unknown="Unknown")
+    df = df.withColumn("roid", rules.asteroid_flag(max_gap_days=1.0))
+    return df.withColumn("label", (F.col("alertclass") == "purchase").cast("double"))
+
+
+def kn_cuts() -> Column:
+    c = F.col("candidate")
+    ndet = F.size(F.filter("cmagpsf", lambda x: x.isNotNull()))
+    return (F.coalesce((c["ndethist"] < 20) & ((c["jd"] - c["jdstarthist"]) < 20)
+                       & F.col("cdsxmatch").isin(learn.ALLOWED_XMATCH) & (ndet >= 2), F.lit(False)))
+
+
+def snia_cuts() -> Column:
+    c = F.col("candidate")
+    rising = F.lit(False)
+    enough = F.lit(False)
+    for b in ZTF_BANDS:
+        f = F.col(f"sf{b}")
+        enough = enough | (f["n"] >= 3)
+        rising = rising | ((f["n"] >= 3) & (f["slope"] < 0))
+    return F.coalesce((c["ndethist"] <= 20) & enough & rising & F.col("cdsxmatch").isin(learn.ALLOWED_XMATCH),
+                      F.lit(False))
+
+
+def snn_cuts() -> Column:
+    ndet = F.size(F.filter("cmagpsf", lambda x: x.isNotNull()))
+    return F.coalesce((ndet >= 2) & (F.col("roid") < 3) & F.col("cdsxmatch").isin(learn.ALLOWED_XMATCH), F.lit(False))
+
+
+def mulens_cuts() -> Column:
+    ok = F.lit(True)
+    for b in ZTF_BANDS:
+        ok = ok & (F.col(f"mf{b}.n") >= 4)
+    return F.coalesce(ok, F.lit(False))
+
+
+def _snia_frame(df):
+    return _ztf_curve_features(df, "sf", since=F.col("candidate.jd") - F.lit(10.0))
+
+
+def _mulens_frame(df):
+    df = feats.dc_mag_arrays(df)
+    return learn.add_curve_features(df, ZTF_BANDS, "mf", "cjd", "cdcmag", "cdcmag_err", "cfid", "lower")
+
+
+@query("kn_cuts")
+def q_kn_cuts(spark, sf_dir):
+    df = ztf_science_input(spark, sf_dir)
+    return df.select("candid", "cdsxmatch", kn_cuts().alias("pass_cuts"))
+
+
+@query("kn_features")
+def q_kn_features(spark, sf_dir):
+    df = _ztf_curve_features(ztf_lightcurves(spark, sf_dir))
+    return _long_curve_features(df, "candid", ZTF_BANDS, "cf")
+
+
+@query("kn_score")
+def q_kn_score(spark, sf_dir):
+    df = _ztf_curve_features(ztf_science_input(spark, sf_dir))
+    spec = learn.MLSpec(feature_cols=[f"cf{b}_{k}" for b in ZTF_BANDS for k in learn.CURVE_FEATURES], kind="rf")
+    df = df.select("*", *learn.flatten_curve_features(ZTF_BANDS, "cf"))
+    out = learn.fit_and_score(df, spec, kn_cuts(), F.col("objectId"), "rf_kn_vs_nonkn")
+    return out.select("candid", "rf_kn_vs_nonkn")
+
+
+@query("snia_cuts")
+def q_snia_cuts(spark, sf_dir):
+    df = _snia_frame(ztf_science_input(spark, sf_dir))
+    return df.select("candid", snia_cuts().alias("pass_cuts"))
+
+
+@query("snia_features")
+def q_snia_features(spark, sf_dir):
+    df = _snia_frame(ztf_lightcurves(spark, sf_dir))
+    return _long_curve_features(df, "candid", ZTF_BANDS, "sf")
+
+
+@query("snia_score")
+def q_snia_score(spark, sf_dir):
+    df = _snia_frame(ztf_science_input(spark, sf_dir))
+    df = df.select("*", *learn.flatten_curve_features(ZTF_BANDS, "sf"))
+    spec = learn.MLSpec(feature_cols=[f"sf{b}_{k}" for b in ZTF_BANDS for k in learn.CURVE_FEATURES], kind="rf")
+    return learn.fit_and_score(df, spec, snia_cuts(), F.col("objectId"), "rf_snia_vs_nonia").select(
+        "candid", "rf_snia_vs_nonia")
+
+
+@query("snn_vector")
+def q_snn_vector(spark, sf_dir):
+    df = ztf_lightcurves(spark, sf_dir)
+    arr = F.array(*[F.struct(F.lit(b).alias("band"), learn.last_detections("cjd", "cmagpsf", "cfid", b).alias("v"))
+                    for b in ZTF_BANDS])
+    return df.select("candid", F.inline(arr)).select("candid", "band", F.posexplode("v").alias("slot", "mag"))
+
+
+@query("snn_score")
+def q_snn_score(spark, sf_dir):
+    df = ztf_science_input(spark, sf_dir)
+    cols = []
+    for b in ZTF_BANDS:
+        v = learn.last_detections("cjd", "cmagpsf", "cfid", b)
+        cols += [F.get(v, i).alias(f"snn{b}_{i}") for i in range(learn.SNN_SLOTS)]
+    df = df.select("*", *cols)
+    spec = learn.MLSpec(feature_cols=[f"snn{b}_{i}" for b in ZTF_BANDS for i in range(learn.SNN_SLOTS)], kind="mlp")
+    return learn.fit_and_score(df, spec, snn_cuts(), F.col("objectId"), "snn_snia_vs_nonia").select(
+        "candid", "snn_snia_vs_nonia")
+
+
+@query("mulens_score")
+def q_mulens_score(spark, sf_dir):
+    df = _mulens_frame(ztf_science_input(spark, sf_dir))
+    df = df.select("*", *learn.flatten_curve_features(ZTF_BANDS, "mf"))
+    spec = learn.MLSpec(feature_cols=[f"mf{b}_{k}" for b in ZTF_BANDS for k in learn.CURVE_FEATURES], kind="rf")
+    return learn.fit_and_score(df, spec, mulens_cuts(), F.col("objectId"), "mulens").select("candid", "mulens")
+
+
+# ---------------------------------------------------------------- E14-E17: Rubin modules
+
+SLSN_MD = ["hostgal_zphot", "hostgal_zphot_err", "hostgal_snsep"]
+CATS_MD = ["mwebv", "z_final", "z_final_err", "hostgal_zphot", "hostgal_zphot_err"]
+
+
+def _rubin_frame(spark, sf_dir, bands, prefix):
+    df = lcv.lightcurve_rubin(fx.rubin_alerts(spark, sf_dir))
+    df = learn.add_curve_features(df, bands, prefix, "cmidPointTai", "cpsFlux", "cpsFluxErr", "cfilterName", "higher")
+    return df.select("*", *[F.col(f"diaObject.{m}").alias(m) for m in sorted(set(SLSN_MD + CATS_MD))])
+
+
+@query("slsn_features_md")
+def q_slsn_features_md(spark, sf_dir):
+    df = _rubin_frame(spark, sf_dir, RUBIN_MD_BANDS, "rf")
+    return _long_curve_features(df, "alertId", RUBIN_MD_BANDS, "rf", SLSN_MD)
+
+
+def _slsn(spark, sf_dir, with_md: bool, out: str):
+    df = _rubin_frame(spark, sf_dir, RUBIN_MD_BANDS, "rf")
+    df = df.select("*", *learn.flatten_curve_features(RUBIN_MD_BANDS, "rf"),
+                   (F.col("event_type") == "purchase").cast("double").alias("label"))
+    cols = [f"rf{b}_{k}" for b in RUBIN_MD_BANDS for k in learn.CURVE_FEATURES] + (SLSN_MD if with_md else [])
+    cuts = F.coalesce(F.size(F.filter("cpsFlux", lambda x: x.isNotNull())) >= 2, F.lit(False))
+    spec = learn.MLSpec(feature_cols=cols, kind="gbt")
+    return learn.fit_and_score(df, spec, cuts, F.col("diaObject.diaObjectId"), out).select("alertId", out)
+
+
+@query("slsn_score_md")
+def q_slsn_score_md(spark, sf_dir):
+    return _slsn(spark, sf_dir, True, "slsn_with_md")
+
+
+@query("slsn_score_nomd")
+def q_slsn_score_nomd(spark, sf_dir):
+    return _slsn(spark, sf_dir, False, "slsn_no_md")
+
+
+@query("cats_features_md")
+def q_cats_features_md(spark, sf_dir):
+    df = _rubin_frame(spark, sf_dir, CATS_BANDS, "cb")
+    return _long_curve_features(df, "alertId", CATS_BANDS, "cb", CATS_MD)
+
+
+def _cats(spark, sf_dir, with_md: bool, out: str):
+    df = _rubin_frame(spark, sf_dir, CATS_BANDS, "cb")
+    label = F.array_position(F.array(*[F.lit(m) for m in DRIVER_MODULES]), F.col("event_type")) - 1
+    df = df.select("*", *learn.flatten_curve_features(CATS_BANDS, "cb"), label.cast("double").alias("label"))
+    cols = [f"cb{b}_{k}" for b in CATS_BANDS for k in learn.CURVE_FEATURES] + (CATS_MD if with_md else [])
+    spec = learn.MLSpec(feature_cols=cols, kind="lr", n_classes=len(DRIVER_MODULES))
+    out_df = learn.fit_and_score(df, spec, F.lit(True), F.col("diaObject.diaObjectId"), out)
+    return out_df.select("alertId", F.col(f"{out}.best").alias(f"{out}_class"),
+                         F.array_max(f"{out}.probabilities").alias(f"{out}_prob"))
+
+
+@query("cats_score_md")
+def q_cats_score_md(spark, sf_dir):
+    return _cats(spark, sf_dir, True, "cats_preds_md")
+
+
+@query("cats_score_nomd")
+def q_cats_score_nomd(spark, sf_dir):
+    return _cats(spark, sf_dir, False, "cats_preds_nomd")
