@@ -570,3 +570,98 @@ def q_cats_score_md(spark, sf_dir):
 @query("cats_score_nomd")
 def q_cats_score_nomd(spark, sf_dir):
     return _cats(spark, sf_dir, False, "cats_preds_nomd")
+
+
+# ---------------------------------------------------------------- E13: solar-system phase curves
+
+from alertspark.operators import sso  # noqa: E402
+
+
+def _sso_obs(spark, sf_dir):
+    obs = fx.sso_observations(spark, sf_dir)
+    return sso.reduced_mag(sso.attach_ephemerides(obs, fx.ephemerides(spark, sf_dir)))
+
+
+@query("sso_phase_linear")
+def q_sso_phase_linear(spark, sf_dir):
+    return sso.phase_linear(_sso_obs(spark, sf_dir))
+
+
+@query("sso_hg1g2")
+def q_sso_hg1g2(spark, sf_dir):
+    r = sso.hg1g2(_sso_obs(spark, sf_dir))
+    return r.select("ssnamenr", "fid", "n_obs", F.col("fit.H").alias("H"), F.col("fit.G1").alias("G1"),
+                    F.col("fit.G2").alias("G2"), "status", "chi2")
+
+
+@query("sso_spin")
+def q_sso_spin(spark, sf_dir):
+    r = sso.spin(_sso_obs(spark, sf_dir))
+    return r.select("ssnamenr", "n_obs", F.col("fit.ra0").alias("ra0"), F.col("fit.dec0").alias("dec0"),
+                    F.col("fit.R").alias("R"), "chi2", "status")
+
+
+# ---------------------------------------------------------------- E6: anomaly
+
+from alertspark.operators import anomaly  # noqa: E402
+from alertspark.plans import modules as mods  # noqa: E402
+
+
+@query("anomaly_score")
+def q_anomaly_score(spark, sf_dir):
+    df = mods.apply_modules(ztf_lightcurves(spark, sf_dir), ["Anomaly"])
+    return df.select("candid", "anomaly_score")
+
+
+# ---------------------------------------------------------------- F: user functions and module selection
+
+from alertspark.functions import udfs  # noqa: E402
+
+
+@query("udf_scalar")
+def q_udf_scalar(spark, sf_dir):
+    u = udfs.scalar_udf(udfs.detection_summary, udfs.DETECTION_SUMMARY_TYPE)
+    df = ztf_lightcurves(spark, sf_dir).select("candid", u(F.col("cmagpsf")).alias("s"))
+    return df.select("candid", F.col("s.n_det").alias("n_det"), F.col("s.mean_mag").alias("mean_mag"))
+
+
+@query("udf_vectorised")
+def q_udf_vectorised(spark, sf_dir):
+    u = udfs.vectorised_udf(udfs.snr_from_sigma, "double")
+    df = fx.ztf_alerts(spark, sf_dir)
+    return df.select("candid", u(F.col("candidate.sigmapsf")).alias("snr"))
+
+
+@query("udf_grouped")
+def q_udf_grouped(spark, sf_dir):
+    flat = fx.ztf_alerts(spark, sf_dir).select("objectId", "candid", F.col("candidate.magpsf").alias("magpsf"))
+    parts = udfs.grouped_apply(flat.select("objectId", "candid", "magpsf"), ["objectId"],
+                               lambda pdf: udfs.partial_mag_sums(pdf.drop(columns=["candid"])),
+                               "n_det long, mag_sum double", {"n_det": "sum", "mag_sum": "sum"}, salt_col="candid")
+    return parts.select("objectId", "n_det",
+                        F.round(F.when(F.col("n_det") > 0, F.col("mag_sum") / F.col("n_det")), 6).alias("mean_mag"))
+
+
+def _module_ctx(spark, sf_dir):
+    return {
+        "catalogs": {n: fx.catalog(spark, sf_dir, n) for n in ("simbad", "vizier:I/355/gaiadr3", "gcvs")},
+        "max_gap_days": 1.0,
+    }
+
+
+@query("apply_all_modules")
+def q_apply_all_modules(spark, sf_dir):
+    df = ztf_lightcurves(spark, sf_dir).withColumn("label", (F.col("alertclass") == "purchase").cast("double"))
+    out = mods.apply_modules(df, "", _module_ctx(spark, sf_dir), skip_missing_inputs=True)
+    return out.select(
+        "candid", "cdsxmatch", F.col("gaia.DR3Name").alias("gaia_DR3Name"), "gcvs", "rf_kn_vs_nonkn",
+        "anomaly_score", F.col("fast_transient.rate").alias("fast_transient_rate"),
+        F.col("lc_features")[1]["mean"].alias("lc_mean_1"), "mulens", "roid", "snn_snia_vs_nonia",
+        "rf_snia_vs_nonia")
+
+
+@query("module_chain")
+def q_module_chain(spark, sf_dir):
+    df = ztf_lightcurves(spark, sf_dir).withColumn("label", (F.col("alertclass") == "purchase").cast("double"))
+    out = mods.apply_modules(df, ["Early SN Ia", "SuperNNova"], _module_ctx(spark, sf_dir))
+    return out.select("candid", "cdsxmatch", "roid", "rf_snia_vs_nonia", "snn_snia_vs_nonia")
