@@ -93,6 +93,7 @@ FROM (SELECT *, list_filter(cjd, lambda x, i: cmagpsf[i] IS NOT NULL) AS dj FROM
     _rates_reports(q)
     _stamps(q)
     _supervised(q)
+    _sso_user(q)
     return q
 
 
@@ -576,3 +577,37 @@ rlc2 AS (SELECT *, hostgal_zphot AS z_final, hostgal_zphot_err AS z_final_err FR
     q["cats_features_md"] = w(rl, _curve_sql("rlc2", "alertId", "cmidPointTai", "cpsFlux", "cpsFluxErr",
                                              "cfilterName", ["u", "z", "Y"], "higher", extra=cats_md)) + f"""
 SELECT alertId, {", ".join(cats_md)}, band, {", ".join(CURVE)} FROM curve"""
+
+
+# ------------------------------------------------------------------ solar-system and user functions
+
+
+def _sso_user(q):
+    tol = 1.0 / 1440.0
+    q["sso_phase_linear"] = w(FLAT) + f""",
+obs AS (SELECT objectId AS ssnamenr, candid, jd, fid, magpsf FROM flat WHERE magpsf IS NOT NULL),
+eph AS (
+  SELECT objectId AS ssnamenr,
+    jd + CAST((candid % 7) - 3 AS DOUBLE) * 10.0{D} / 86400.0{D} AS ejd,
+    CAST(candid % 25 + 1 AS DOUBLE) AS phase_deg,
+    2.0{D} + CAST(user_id % 10 AS DOUBLE) / 10.0{D} AS r_au
+  FROM flat WHERE magpsf IS NOT NULL
+),
+m AS (
+  SELECT o.*, e.phase_deg, e.r_au, e.r_au - 1.0{D} AS delta_au
+  FROM obs o JOIN eph e ON o.ssnamenr = e.ssnamenr AND abs(o.jd - e.ejd) <= {tol!r}
+  QUALIFY row_number() OVER (PARTITION BY o.candid ORDER BY abs(o.jd - e.ejd), e.ejd) = 1
+),
+r AS (SELECT *, magpsf - 5.0{D} * log10(r_au * delta_au) AS mred FROM m)
+SELECT ssnamenr, fid, count(*) AS n_obs, round(regr_intercept(mred, phase_deg), 5) AS H,
+  round(regr_slope(mred, phase_deg), 5) AS beta
+FROM r GROUP BY ALL"""
+    q["udf_scalar"] = w(ALERTS) + f"""
+SELECT candid, CAST(len(d) AS INTEGER) AS n_det,
+  CASE WHEN len(d) > 0 THEN {_fold("d", "x")} / len(d) END AS mean_mag
+FROM (SELECT candid, list_filter(cmagpsf, lambda x: x IS NOT NULL) AS d FROM lc)"""
+    q["udf_vectorised"] = w(FLAT) + f"""
+SELECT candid, 1.0857{D} / sigmapsf AS snr FROM flat"""
+    q["udf_grouped"] = w(FLAT) + """
+SELECT objectId, count(magpsf) AS n_det, round(coalesce(sum(magpsf), 0.0::DOUBLE), 4) AS mag_sum
+FROM flat GROUP BY objectId"""
