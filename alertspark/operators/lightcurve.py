@@ -85,15 +85,15 @@ def build_history(
         raise ValueError("chunk_us must be at least window_us")
     running_count = dict(running_count or {})
     running_min = dict(running_min or {})
-    base = flat.withColumn("_chunk", F.floor(F.col(time_us) / F.lit(chunk_us)).cast("long"))
-
-    own = base.withColumn("_own", F.lit(True))
-    halo = (
-        base.where(F.col(time_us) >= (F.col("_chunk") + 1) * F.lit(chunk_us) - F.lit(window_us))
-        .withColumn("_chunk", F.col("_chunk") + 1)
-        .withColumn("_own", F.lit(False))
-    )
-    rows = own.unionByName(halo)
+    t = F.col(time_us)
+    chunk0 = F.floor(t / F.lit(chunk_us)).cast("long")
+    base = flat.withColumn("_chunk", chunk0)
+    # one scan: a row near the end of its chunk is emitted twice (own + halo of the next chunk)
+    in_halo = t >= (chunk0 + 1) * F.lit(chunk_us) - F.lit(window_us)
+    rows = flat.select(
+        "*", chunk0.alias("_chunk0"),
+        F.explode(F.when(in_halo, F.array(chunk0, chunk0 + 1)).otherwise(F.array(chunk0))).alias("_chunk"),
+    ).withColumn("_own", F.col("_chunk") == F.col("_chunk0")).drop("_chunk0")
 
     if running_count or running_min:
         aggs = [F.count(e).alias(f"_n_{k}") for k, e in running_count.items()]
