@@ -154,8 +154,20 @@ def score(model: PipelineModel, df: DataFrame, spec: MLSpec, cuts: Column, out:
 
 
 def fit_and_score(df: DataFrame, spec: MLSpec, cuts: Column, key: Column, out: str,
-                  model: PipelineModel | None = None) -> DataFrame:
-    """Fit on the training side of the object split (rows passing the cuts), score every row."""
+                  model: PipelineModel | None = None, keep: list[str] | None = None,
+                  materialize: bool = True) -> DataFrame:
+    """Fit on the training side of the object split (rows passing the cuts), score every row.
+
+    The frame the model sees (``keep`` + label + flags + features, or every
+    column when ``keep`` is None) is checkpointed once to the shared folder:
+    tree learners make several passes over their input, which would otherwise
+    recompute the whole upstream plan (history window, cross-match) each time.
+    """
+    d = df.withColumn("_cuts", F.coalesce(cuts, F.lit(False))).withColumn("_train", split_flag(key))
+    if keep is not None:
+        d = d.select(*keep, spec.label_col, "_cuts", "_train", *spec.feature_cols)
+    if materialize:
+        d = d.checkpoint(eager=True)
     if model is None:
-        model = fit(df.where(split_flag(key) & cuts), spec)
-    return score(model, df, spec, cuts, out)
+        model = fit(d.where(F.col("_train") & F.col("_cuts")), spec)
+    return score(model, d, spec, F.col("_cuts"), out).drop("_cuts", "_train")

@@ -453,7 +453,7 @@ def q_kn_score(spark, sf_dir):
     df = _ztf_curve_features(ztf_science_input(spark, sf_dir))
     spec = learn.MLSpec(feature_cols=[f"cf{b}_{k}" for b in ZTF_BANDS for k in learn.CURVE_FEATURES], kind="rf")
     df = df.select("*", *learn.flatten_curve_features(ZTF_BANDS, "cf"))
-    out = learn.fit_and_score(df, spec, kn_cuts(), F.col("objectId"), "rf_kn_vs_nonkn")
+    out = learn.fit_and_score(df, spec, kn_cuts(), F.col("objectId"), "rf_kn_vs_nonkn", keep=["candid"])
     return out.select("candid", "rf_kn_vs_nonkn")
 
 
@@ -474,7 +474,7 @@ def q_snia_score(spark, sf_dir):
     df = _snia_frame(ztf_science_input(spark, sf_dir))
     df = df.select("*", *learn.flatten_curve_features(ZTF_BANDS, "sf"))
     spec = learn.MLSpec(feature_cols=[f"sf{b}_{k}" for b in ZTF_BANDS for k in learn.CURVE_FEATURES], kind="rf")
-    return learn.fit_and_score(df, spec, snia_cuts(), F.col("objectId"), "rf_snia_vs_nonia").select(
+    return learn.fit_and_score(df, spec, snia_cuts(), F.col("objectId"), "rf_snia_vs_nonia", keep=["candid"]).select(
         "candid", "rf_snia_vs_nonia")
 
 
@@ -495,7 +495,7 @@ def q_snn_score(spark, sf_dir):
         cols += [F.get(v, i).alias(f"snn{b}_{i}") for i in range(learn.SNN_SLOTS)]
     df = df.select("*", *cols)
     spec = learn.MLSpec(feature_cols=[f"snn{b}_{i}" for b in ZTF_BANDS for i in range(learn.SNN_SLOTS)], kind="mlp")
-    return learn.fit_and_score(df, spec, snn_cuts(), F.col("objectId"), "snn_snia_vs_nonia").select(
+    return learn.fit_and_score(df, spec, snn_cuts(), F.col("objectId"), "snn_snia_vs_nonia", keep=["candid"]).select(
         "candid", "snn_snia_vs_nonia")
 
 
@@ -504,7 +504,7 @@ def q_mulens_score(spark, sf_dir):
     df = _mulens_frame(ztf_science_input(spark, sf_dir))
     df = df.select("*", *learn.flatten_curve_features(ZTF_BANDS, "mf"))
     spec = learn.MLSpec(feature_cols=[f"mf{b}_{k}" for b in ZTF_BANDS for k in learn.CURVE_FEATURES], kind="rf")
-    return learn.fit_and_score(df, spec, mulens_cuts(), F.col("objectId"), "mulens").select("candid", "mulens")
+    return learn.fit_and_score(df, spec, mulens_cuts(), F.col("objectId"), "mulens", keep=["candid"]).select("candid", "mulens")
 
 
 # ---------------------------------------------------------------- E14-E17: Rubin modules
@@ -532,7 +532,7 @@ def _slsn(spark, sf_dir, with_md: bool, out: str):
     cols = [f"rf{b}_{k}" for b in RUBIN_MD_BANDS for k in learn.CURVE_FEATURES] + (SLSN_MD if with_md else [])
     cuts = F.coalesce(F.size(F.filter("cpsFlux", lambda x: x.isNotNull())) >= 2, F.lit(False))
     spec = learn.MLSpec(feature_cols=cols, kind="gbt")
-    return learn.fit_and_score(df, spec, cuts, F.col("diaObject.diaObjectId"), out).select("alertId", out)
+    return learn.fit_and_score(df, spec, cuts, F.col("diaObject.diaObjectId"), out, keep=["alertId"]).select("alertId", out)
 
 
 @query("slsn_score_md")
@@ -557,7 +557,7 @@ def _cats(spark, sf_dir, with_md: bool, out: str):
     df = df.select("*", *learn.flatten_curve_features(CATS_BANDS, "cb"), label.cast("double").alias("label"))
     cols = [f"cb{b}_{k}" for b in CATS_BANDS for k in learn.CURVE_FEATURES] + (CATS_MD if with_md else [])
     spec = learn.MLSpec(feature_cols=cols, kind="lr", n_classes=len(DRIVER_MODULES))
-    out_df = learn.fit_and_score(df, spec, F.lit(True), F.col("diaObject.diaObjectId"), out)
+    out_df = learn.fit_and_score(df, spec, F.lit(True), F.col("diaObject.diaObjectId"), out, keep=["alertId"])
     return out_df.select("alertId", F.col(f"{out}.best").alias(f"{out}_class"),
                          F.array_max(f"{out}.probabilities").alias(f"{out}_prob"))
 
