@@ -86,9 +86,11 @@ def q_scan_sso(spark, sf_dir):
     path = shared_path(spark, "sso-aggregated")
     fx.sso_aggregated(spark, sf_dir).write.mode("overwrite").parquet(path)
     df = src.read_alerts(spark, path)
-    return df.select(
-        "ssnamenr", F.size("cjd").alias("n_obs"),
-        F.try_element_at("cjd", F.lit(1)).alias("jd_first"), F.try_element_at("cjd", F.lit(-1)).alias("jd_last"),
+    # per object over its chunk rows: partial aggregates, no per-object array
+    return df.groupBy("ssnamenr").agg(
+        F.sum(F.size("cjd")).cast("int").alias("n_obs"),
+        F.min(F.try_element_at("cjd", F.lit(1))).alias("jd_first"),
+        F.max(F.try_element_at("cjd", F.lit(-1))).alias("jd_last"),
     )
 
 

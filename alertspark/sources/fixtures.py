@@ -257,13 +257,19 @@ def alert_archive(spark: SparkSession, sf_dir: str) -> str:
     return _memo_write(spark, sf_dir, "archive-science", lambda: ztf_alerts(spark, sf_dir), write_archive)
 
 
-def sso_aggregated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The solar-system input format: one row per object, arrays ordered by time."""
+def sso_aggregated(spark: SparkSession, sf_dir: str, chunk_days: float = 1.0) -> DataFrame:
+    """The solar-system array format: one row per object and time chunk (default one
+    night), arrays ordered by time.
+
+    Arrays are bounded by one chunk of one object, so a very busy object never
+    becomes one giant row; the fits run on the exploded long form anyway.
+    """
     obs = sso_observations(spark, sf_dir)
-    g = obs.groupBy("ssnamenr").agg(
+    g = obs.groupBy("ssnamenr", F.floor(F.col("jd") / F.lit(float(chunk_days))).cast("long").alias("chunk")).agg(
         F.array_sort(F.collect_list(F.struct("jd", "candid", "magpsf", "sigmapsf", "fid", "ra", "dec"))).alias("_o"))
     return g.select(
         "ssnamenr",
+        "chunk",
         F.col("_o.magpsf").alias("cmagpsf"),
         F.col("_o.sigmapsf").alias("csigmapsf"),
         F.col("_o.jd").alias("cjd"),
