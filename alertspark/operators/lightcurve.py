@@ -76,23 +76,24 @@ def build_history(
     ``running_count`` / ``running_min``: output -> expression counted / minimised
     over all rows of the object up to and including ``t``.
 
-    Plan: rows are keyed by ``(key, chunk)``; rows in the last ``window_us`` of
-    a chunk are copied once into the next chunk as halo. Per-chunk totals are
+    Plan: rows are keyed by ``(key, chunk)``; rows within ``window_us`` of a
+    later chunk are copied into it as halo (once when ``chunk_us >= window_us``). Per-chunk totals are
     prefix-summed over the (few) chunks of an object, so the running
     aggregates need no window over a whole object either.
     """
-    if chunk_us < window_us:
-        raise ValueError("chunk_us must be at least window_us")
+    if chunk_us <= 0 or window_us < 0:
+        raise ValueError("chunk_us must be positive and window_us non-negative")
     running_count = dict(running_count or {})
     running_min = dict(running_min or {})
     t = F.col(time_us)
     chunk0 = F.floor(t / F.lit(chunk_us)).cast("long")
     base = flat.withColumn("_chunk", chunk0)
-    # one scan: a row near the end of its chunk is emitted twice (own + halo of the next chunk)
-    in_halo = t >= (chunk0 + 1) * F.lit(chunk_us) - F.lit(window_us)
+    # one scan: a row is emitted for its own chunk and, as halo, for every later
+    # chunk whose rows can still see it (one extra copy at most when chunk >= window;
+    # smaller chunks split a busy object finer at the price of more copies)
+    last = F.floor((t + F.lit(window_us)) / F.lit(chunk_us)).cast("long")
     rows = flat.select(
-        "*", chunk0.alias("_chunk0"),
-        F.explode(F.when(in_halo, F.array(chunk0, chunk0 + 1)).otherwise(F.array(chunk0))).alias("_chunk"),
+        "*", chunk0.alias("_chunk0"), F.explode(F.sequence(chunk0, last)).alias("_chunk"),
     ).withColumn("_own", F.col("_chunk") == F.col("_chunk0")).drop("_chunk0")
 
     if running_count or running_min:

@@ -1,5 +1,6 @@
 """Light-curve assembly edge cases and the chunked history window."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -25,12 +26,13 @@ def test_concat_null_and_empty_history(spark):
     assert out[3].cmagpsf == [None, 18.5, None]  # NULLs kept, arrays aligned
 
 
-def test_chunked_history_equals_plain_window(spark):
+@pytest.mark.parametrize("chunk_days", [3, 1])
+def test_chunked_history_equals_plain_window(spark, chunk_days):
     flat = fx.flat_alerts(spark, SF_SMALL)
     day = lcv.DAY_US
-    # chunk = window: every chunk border is crossed by histories
+    # chunk <= window: every chunk border is crossed by histories (1 day: three halo copies)
     chunked = lcv.build_history(flat, "objectId", "us", {"h": F.struct("jd", "candid")}, window_us=3 * day,
-                                chunk_us=3 * day, running_count={"nd": F.col("magpsf")})
+                                chunk_us=chunk_days * day, running_count={"nd": F.col("magpsf")})
     w = Window.partitionBy("objectId").orderBy("us")
     plain = flat.select(
         "candid",
