@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertspark.functions.arrays import let
+from alertspark.session import reliable_checkpoint
 
 # Cross-match labels that do not rule out an extragalactic transient (fixed list).
 ALLOWED_XMATCH = ["Unknown", "Candidate_SN*", "SN", "Transient", "Fail"]
@@ -167,7 +168,7 @@ def fit_and_score(df: DataFrame, spec: MLSpec, cuts: Column, key: Column, out: s
     if keep is not None:
         d = d.select(*keep, spec.label_col, "_cuts", "_train", *spec.feature_cols)
     if materialize:
-        d = d.checkpoint(eager=True)
+        d = reliable_checkpoint(d)
     if model is None:
         model = fit(d.where(F.col("_train") & F.col("_cuts")), spec)
     return score(model, d, spec, F.col("_cuts"), out).drop("_cuts", "_train")

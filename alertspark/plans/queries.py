@@ -48,7 +48,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- A: sources and sinks
 
 from alertspark.sources import alerts as src  # noqa: E402
-from alertspark.session import shared_path  # noqa: E402
+from alertspark.session import cpu_count, shared_path  # noqa: E402
 from alertspark.operators import skymatch as sky  # noqa: E402
 
 
@@ -171,7 +171,7 @@ def q_history_window(spark, sf_dir):
 
 @query("repartition_balance")
 def q_repartition_balance(spark, sf_dir):
-    df = fx.ztf_alerts(spark, sf_dir).select("candid", "candidate.jd").repartition(8)
+    df = fx.ztf_alerts(spark, sf_dir).select("candid", "candidate.jd").repartition(cpu_count(spark))
     return df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count(F.lit(1)).alias("n_alerts"))
 
 

@@ -69,3 +69,9 @@ def shared_path(spark: SparkSession, name: str, unique: bool = True) -> str:
 
 def cpu_count(spark: SparkSession) -> int:
     return int(spark.sparkContext.defaultParallelism or os.cpu_count() or 1)
+
+
+def reliable_checkpoint(df):
+    """``df.checkpoint(eager=True)`` into the shared folder (set first when the session has none)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
