@@ -667,3 +667,14 @@ def q_module_chain(spark, sf_dir):
     df = ztf_lightcurves(spark, sf_dir).withColumn("label", (F.col("alertclass") == "purchase").cast("double"))
     out = mods.apply_modules(df, ["Early SN Ia", "SuperNNova"], _module_ctx(spark, sf_dir))
     return out.select("candid", "cdsxmatch", "roid", "rf_snia_vs_nonia", "snn_snia_vs_nonia")
+
+
+@query("module_timing")
+def q_module_timing(spark, sf_dir):
+    """Timed runs of per-alert modules (wall clock: rows-only check), read back as a report."""
+    from alertspark.plans.timing import time_modules
+
+    runs = time_modules(spark, ztf_lightcurves(spark, sf_dir),
+                        ["Asteroid", "Fast transient", "Feature extraction", "CDS xmatch (SIMBAD)"], loops=2,
+                        ctx=_module_ctx(spark, sf_dir))
+    return rep.throughput(runs).select("module", "loop", "total_alerts", "throughput")
