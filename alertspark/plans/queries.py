@@ -605,7 +605,6 @@ def q_sso_spin(spark, sf_dir):
 
 # ---------------------------------------------------------------- E6: anomaly
 
-from alertspark.operators import anomaly  # noqa: E402
 from alertspark.plans import modules as mods  # noqa: E402
 
 
