@@ -31,3 +31,9 @@ def test_projection_prunes_nested_columns(spark):
     p = _plan(spark, "count_alerts")
     line = [x for x in p.split("\n") if "FileScan" in x][0]
     assert "prv_candidates" not in line, line  # only partition columns are needed
+
+
+def test_class_read_prunes_partitions(spark):
+    p = _plan(spark, "scan_class")
+    line = [x for x in p.split("\n") if "FileScan" in x][0]
+    assert "PartitionFilters: [" in line and "alertclass" in line.split("PartitionFilters:")[1], line
