@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from alertspark.session import shared_path
 
@@ -21,15 +21,31 @@ PIECE = 1 << 20
 _WS = b" \t\n\v\f\r"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+class Scratch:
+    """Tables written under the shared checkpoint folder of the session.
 
-    Cuts the lineage at a table that every executor can read again, so a lost
-    executor costs a re-read and never the work above.
+    Each cuts the lineage at Parquet files that every executor can read again,
+    so a lost executor costs a re-read and never the work above.
     """
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, list[str]] = {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(self.spark, name)
+        self.paths.setdefault(name, []).append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop_all_but(self, *names: str) -> None:
+        """Delete the tables of other names; call it when no plan in use reads them."""
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in [n for n in self.paths if n not in names]:
+            for path in self.paths.pop(name):
+                p = jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(conf).delete(p, True)
 
 
 def spaced_words() -> np.ndarray:
