@@ -13,11 +13,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from alertspark.session import shared_path
 
 #: Bytes of text worked on at once; a longer document is worked in pieces cut at separators.
 PIECE = 1 << 20
+#: Bits of a table that is broadcast: 8 MB, whatever the number of keys.
+TABLE_BITS = 26
 _WS = b" \t\n\v\f\r"
 
 
@@ -48,6 +51,25 @@ class Scratch:
                 p.getFileSystem(conf).delete(p, True)
 
 
+def bit_table(keys: DataFrame, column: str) -> np.ndarray:
+    """The long keys as a bit table of fixed size; built by Spark, at most 2^TABLE_BITS / 64 rows reach the driver.
+
+    It may hold keys that weren't put in, never lacks one that was; a fuller
+    table lets more rows through to the join behind it.
+    """
+    at = F.expr(f"{column} & {(1 << TABLE_BITS) - 1}L")
+    words = keys.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b")).groupBy("w").agg(F.expr("bit_or(b)").alias("b"))
+    got = words.toArrow()
+    table = np.zeros(1 << (TABLE_BITS - 6), np.int64)
+    table[got.column("w").to_numpy()] = got.column("b").to_numpy()
+    return table.view(np.uint8)
+
+
+def in_table(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64((1 << TABLE_BITS) - 1)
+    return (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
+
+
 def spaced_words() -> np.ndarray:
     """Byte table of the words ``[^\\x20\\x09-\\x0D]+``."""
     t = np.ones(256, bool)

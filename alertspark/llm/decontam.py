@@ -22,10 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertspark.llm.common import Scratch, WordHasher, Words, alnum_words, mix
+from alertspark.llm.common import Scratch, WordHasher, Words, alnum_words, bit_table, in_table, mix
 
-#: Bits of the table that is broadcast (8 MB, whatever the number of items).
-FILTER_BITS = 26
 #: Counts that a task gathers before it hands them on.
 FLUSH = 100_000
 
@@ -42,11 +40,6 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix(s)
 
 
-def _in_table(table: np.ndarray, s: np.ndarray) -> np.ndarray:
-    at = s & np.uint64((1 << FILTER_BITS) - 1)
-    return (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
-
-
 def item_windows(items: DataFrame, size: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """One row per window of an item: item, words, and the hashes of its shingles of min(shingle, words) words."""
     schema = "item string, words array<string>, k int, shingles array<long>"
@@ -68,22 +61,12 @@ def item_windows(items: DataFrame, size: int, shingle: int, id_col: str, text_co
     return items.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string"), text_col).mapInArrow(run, schema)
 
 
-def bit_table(hashes: DataFrame, column: str) -> np.ndarray:
-    """The hashes as a bit table of fixed size; built by Spark, at most 2^FILTER_BITS / 64 rows reach the driver."""
-    at = F.expr(f"{column} & {(1 << FILTER_BITS) - 1}L")
-    words = hashes.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b")).groupBy("w").agg(F.expr("bit_or(b)").alias("b"))
-    got = words.toArrow()
-    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    table[got.column("w").to_numpy()] = got.column("b").to_numpy()
-    return table.view(np.uint8)
-
-
 def _hits(some: Words, table: np.ndarray, sizes: list[int]) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(k, places, hashes) of the shingles that pass the table; a shingle may not cross a document's end."""
     out = []
     for k in sizes:
         s = shingle_hashes(some.hashes, k)
-        at = np.flatnonzero(_in_table(table, s))
+        at = np.flatnonzero(in_table(table, s))
         doc = np.searchsorted(some.at, at, "right") - 1
         at = at[at + k <= some.at[doc + 1]]
         out.append((k, at, s[at]))

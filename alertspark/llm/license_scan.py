@@ -41,6 +41,11 @@ TEMPLATES = {
 }
 
 
+def band_of(words: int) -> int:
+    """How far a match of a template may stray from its diagonal; always less than the template's length."""
+    return max(1, min(BAND, words // 6))
+
+
 def winnow(h: np.ndarray, window: int) -> np.ndarray:
     """Places of the smallest hash (the last of equals) of each window; of all hashes where there are too few."""
     if len(h) <= window:
@@ -91,9 +96,9 @@ class Index:
                 diagonals.setdefault(int(self.owner[k]), []).append(p - int(self.place[k]))
         out = []
         for t, ds in diagonals.items():
-            first = last = None
+            first, last, band = None, None, band_of(len(self.words[t]))
             for d in sorted(set(ds)):
-                if first is not None and d - first <= BAND:
+                if first is not None and d - first <= band:
                     last = d
                     continue
                 if first is not None:
@@ -104,11 +109,12 @@ class Index:
 
 
 def align(template: np.ndarray, text: np.ndarray, first: int, last: int) -> tuple[int, int, int]:
-    """Best local alignment within BAND of the diagonals: (matched words, first word, word after the last).
+    """Best local alignment within the band around the diagonals: (matched words, first word, word after the last).
 
     A match scores 2, a mismatch or a gap -1; of equal scores the first in the text.
     """
-    lo, width = first - BAND, last - first + 2 * BAND + 1
+    band = band_of(len(template))
+    lo, width = first - band, last - first + 2 * band + 1
     best = (0, 0, 0, 0)  # score, matched, start, end
     row: list[tuple[int, int, int]] = [(0, 0, 0)] * width  # score, matched, start for each diagonal
     for i, w in enumerate(template.tolist()):

@@ -4,11 +4,13 @@
    minima each, and a packed sketch of the low two bits of every minimum.
 2. Texts with equal sets form one class; classes, not copies, are compared.
 3. Classes that share a band key are candidates. Inside a bucket they are not
-   paired with each other: a few pivots are compared with all members, members
-   that the links already join need no further test, and buckets whose members
-   are one component are done. The number of pivots doubles from round to round
-   until every bucket is done, so no link is lost, whatever its size.
-4. A candidate pair's similarity is estimated by counting equal sketch lanes,
+   paired with each other: the member that meets most others is compared with
+   all members, and buckets whose members are one component then are settled.
+4. Classes of the buckets that remain (many are near some centre without
+   reaching the threshold) are joined exactly: shingles ordered by rarity, only
+   the necessary prefixes meet, within the length and positional bounds, and
+   only across components. This is the exact way for what pivots leave open.
+5. A candidate pair's similarity is estimated by counting equal sketch lanes,
    corrected for chance collisions; pairs far below the threshold go. The rest
    are confirmed on their full sets.
 
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertspark.llm.common import Scratch, WordHasher, mix, spaced_words
+from alertspark.llm.common import Scratch, WordHasher, bit_table, in_table, mix, spaced_words
 
 MINIMA, ROWS, BITS = 256, 5, 2
 BANDS = MINIMA // ROWS
@@ -83,23 +85,30 @@ class Signer:
         low = (m & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(-1, LANES)
         return (low << (np.arange(LANES, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64)
 
-    def sign(self, texts: pa.Array) -> list[tuple]:
-        """(set size, two halves of the set's digest, band keys, sketch) of every text; nulls for an empty set."""
-        out = []
+    def shingles(self, texts: pa.Array):
+        """The sorted distinct shingle hashes of each text, some texts at a time."""
         for some in self.hasher.batches(texts):
-            shingles = self.rolled(some.hashes)
+            rolled = self.rolled(some.hashes)
+            sets = []
             for a, b in zip(some.at[:-1].tolist(), some.at[1:].tolist()):
                 if a == b:
-                    out.append((0, None, None, None, None))
-                    continue
-                if b - a < self.words:
-                    h = some.hashes[a:b]
-                    s = mix((h * self.place[: b - a]).sum(keepdims=True, dtype=np.uint64) + self.short * np.uint64(b - a))
+                    sets.append(np.zeros(0, np.uint64))
+                elif b - a < self.words:
+                    sets.append(mix((some.hashes[a:b] * self.place[: b - a]).sum(keepdims=True, dtype=np.uint64) + self.short * np.uint64(b - a)))
                 else:
-                    s = np.unique(shingles[a : b - self.words + 1])
-                least = self.minima(s)
-                hi, lo = mix(s ^ self.short).sum(dtype=np.uint64), mix(s + self.short).sum(dtype=np.uint64)
-                out.append((len(s), hi.astype(np.int64), lo.astype(np.int64), self.bands(least).view(np.int64), self.sketch(least).view(np.int64)))
+                    sets.append(np.unique(rolled[a : b - self.words + 1]))
+            yield sets
+
+    def sign(self, texts: pa.Array) -> list[tuple]:
+        """(set size, two halves of the set's digest, band keys, sketch) of every text; nulls for an empty set."""
+        out = []
+        for s in (s for some in self.shingles(texts) for s in some):
+            if not len(s):
+                out.append((0, None, None, None, None))
+                continue
+            least = self.minima(s)
+            hi, lo = mix(s ^ self.short).sum(dtype=np.uint64), mix(s + self.short).sum(dtype=np.uint64)
+            out.append((len(s), hi.astype(np.int64), lo.astype(np.int64), self.bands(least).view(np.int64), self.sketch(least).view(np.int64)))
         return out
 
 
@@ -178,39 +187,144 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         labels = labels.select("node", "label")
 
 
-def class_links(classes: DataFrame, texts_of, scratch: Scratch, words: int, percent: int) -> DataFrame | None:
-    """node -> label for the classes that are linked with another class; None when there are none."""
-    keys = classes.select("node", F.explode("bands").alias("key"))
-    shared = scratch.keep(keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "shared")
-    members = scratch.keep(keys.join(shared, "key"), "members")
-    weight = scratch.keep(members.groupBy("node").agg(F.sum("size").alias("weight")), "weight")
-    members = scratch.keep(members.drop("size").join(weight, "node").withColumn("label", F.col("node")), "members")
-    of_class = classes.select("node", "t1", "t2", "sketch")
-    least = percent / 100 - MARGIN
-    labels, pivots = None, 1
-    while not members.isEmpty():
-        # the member that meets most others is the likeliest centre of its bucket
-        group = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots))
-        chosen = scratch.keep(
-            members.groupBy("key", group.alias("g")).agg(F.max(F.struct("weight", (-F.col("node")).alias("back"), "label")).alias("p")).select("key", (-F.col("p.back")).alias("a"), F.col("p.label").alias("la")),
-            "pivots",
-        )
-        pairs = members.join(chosen, "key").filter("node <> a and label <> la").select("a", F.col("node").alias("b")).distinct()
-        side = lambda s: of_class.select(F.col("node").alias(s), F.col("t1").alias(f"{s}1"), F.col("t2").alias(f"{s}2"), F.col("sketch").alias(f"s{s}"))
-        near = scratch.keep(scratch.keep(pairs, "pairs").join(side("a"), "a").join(side("b"), "b").filter(estimated_similarity("sa", "sb") >= least).drop("sa", "sb"), "near")
-        links = scratch.keep(confirmed(near, texts_of(near), words, percent), "links")
-        if not links.isEmpty():
-            of = members.select("node", "label").distinct() if labels is None else labels
-            of = scratch.keep(of, "of")
-            ends = links.join(of.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
-            new = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch).select(F.col("node").alias("label"), F.col("label").alias("new"))
-            labels = scratch.keep(of.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
-            members = members.drop("label").join(labels, "node")
-        rest = scratch.keep(members.join(chosen.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti"), "rest")
-        open_keys = scratch.keep(rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key"), "open")
-        members = scratch.keep(rest.join(open_keys, "key"), "members")
-        pivots *= 2
-    return labels
+class _Links:
+    """Candidate pairs to links to components, over the classes that share a band with another."""
+
+    def __init__(self, of_class: DataFrame, texts: DataFrame, nodes: DataFrame, scratch: Scratch, words: int, percent: int):
+        self.of_class, self.texts, self.scratch, self.words, self.percent = of_class, texts, scratch, words, percent
+        self.labels = nodes.select("node", F.col("node").alias("label"))
+        self.found = False
+
+    def test(self, pairs: DataFrame) -> None:
+        """Confirm the pairs (a, b) and join the components of those that are links."""
+        side = lambda s: self.of_class.select(F.col("node").alias(s), F.col("t1").alias(f"{s}1"), F.col("t2").alias(f"{s}2"), F.col("sketch").alias(f"s{s}"))
+        least = self.percent / 100 - MARGIN
+        near = pairs.join(side("a"), "a").join(side("b"), "b").filter(estimated_similarity("sa", "sb") >= least).drop("sa", "sb")
+        links = self.scratch.keep(confirmed(self.scratch.keep(near, "near"), self.texts, self.words, self.percent), "links")
+        if links.isEmpty():
+            return
+        ends = links.join(self.labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(self.labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+        new = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")), self.scratch).select(F.col("node").alias("label"), F.col("label").alias("new"))
+        self.labels = self.scratch.keep(self.labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+        self.found = True
+
+
+def shared_keys(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, node) of the band keys that more than one class has.
+
+    The keys that several classes have go into a bit table of fixed size, so
+    that only they, and few others, are dealt out a second time.
+    """
+    counts = classes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = scratch.keep(counts, "shared")
+    table = classes.sparkSession.sparkContext.broadcast(bit_table(shared, "key"))
+
+    def run(batches):
+        for batch in batches:
+            bands = batch.column(1)
+            keys = bands.flatten().to_numpy()
+            nodes = np.repeat(batch.column(0).to_numpy(), np.diff(bands.offsets.to_numpy()))
+            hit = in_table(table.value, keys.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(nodes[hit])], names=["key", "node"])
+
+    maybe = classes.select("node", "bands").mapInArrow(run, "key long, node long")
+    return scratch.keep(maybe.join(shared, "key"), "members")
+
+
+def wanted_texts(docs: DataFrame, wanted: DataFrame, text_col: str, scratch: Scratch) -> DataFrame:
+    """(t1, t2, t): one text for each pair of text hashes in ``wanted``; a bit table of fixed size keeps most others from the shuffle."""
+    wanted = scratch.keep(wanted, "wanted")
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(wanted, "t1"))
+
+    def run(batches):
+        sent: set[int] = set()
+        for batch in batches:
+            t1 = batch.column(0).to_numpy()
+            hit = in_table(table.value, t1.view(np.uint64))
+            for i in np.flatnonzero(hit):  # copies in one task go once
+                if (k := int(t1[i])) in sent:
+                    hit[i] = False
+                elif len(sent) < 1_000_000:
+                    sent.add(k)
+            yield batch.filter(pa.array(hit))
+
+    texts = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit(1), text_col).alias("t2"), F.col(text_col).alias("t"))
+    found = texts.mapInArrow(run, "t1 long, t2 long, t string").join(wanted, ["t1", "t2"])
+    return scratch.keep(found.groupBy("t1", "t2").agg(F.min("t").alias("t")), "texts")
+
+
+def prefix_rows(nodes: DataFrame, of_class: DataFrame, texts: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
+    """(key, bin, node, label, n, most, home): the rows on which the classes ``nodes`` (node, label) can meet.
+
+    A set of n shingles, rarest first, whose shingle p is the first that it
+    shares with a partner, shares at most n - p; so the partner has at most
+    ``most`` = (100 + percent) (n - p) / percent - n shingles. Rows of the
+    smaller partner are ``home`` in the bin of its size, those of the larger
+    visit the bins of all sizes that it may meet.
+    """
+    asked = nodes.join(of_class.select("node", "t1", "t2"), "node").join(texts, ["t1", "t2"]).select("node", "label", "t")
+
+    def run(batches):
+        signer = Signer(words)
+        for batch in batches:
+            sets = [s for some in signer.shingles(batch.column(2)) for s in some]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "label", "s"])
+
+    sets = scratch.keep(asked.mapInArrow(run, "node long, label long, s array<long>"), "sets")
+    each = sets.select("node", F.explode("s").alias("key"))
+    often = scratch.keep(each.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1"), "often")
+    ranked = scratch.keep(each.join(often, "key"), "ranked").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("k", "key"))).alias("r"))
+    sized = sets.select("node", "label", F.size("s").cast("long").alias("n"))
+    # shingles of no other set come first; from the first shared one on, size(r) - pos are left
+    most = F.expr(f"(({100 + percent}L * (size(r) - pos)) div {percent}L) - n")
+    rows = scratch.keep(ranked, "by_node").join(sized, "node").select("node", "label", "n", "r", F.posexplode("r").alias("pos", "x")).withColumn("most", most)
+    smallest = F.expr(f"(n * {percent}L + 99) div 100")
+    rows = rows.filter(F.col("most") >= smallest).select("node", "label", "n", "most", F.col("x.key").alias("key"), smallest.alias("smallest"))
+    bin_of = lambda c: F.floor(F.log(c) * 50).cast("int")  # noqa: E731  sizes within two per cent
+    rows = rows.withColumn("bin", F.explode(F.sequence(bin_of(F.col("smallest")), bin_of(F.least("n", "most")))))
+    return scratch.keep(rows.select("key", "bin", "node", "label", "n", "most", ((F.col("most") >= F.col("n")) & (F.col("bin") == bin_of(F.col("n")))).alias("home")), "prefix_rows")
+
+
+def prefix_pairs(rows: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that meet on a row and keep the length and positional bounds.
+
+    In each bucket the members outside its most frequent component look for
+    partners; buckets of one component make no pairs.
+    """
+    by_label = rows.groupBy("key", "bin", "label").agg(F.count("*").alias("k"), F.max("home").alias("home"))
+    buckets = by_label.groupBy("key", "bin").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("labels"), F.max("home").alias("home"))
+    buckets = scratch.keep(buckets.filter("labels > 1 and home").select("key", "bin", F.col("top.label").alias("top")), "buckets")
+    members = scratch.keep(rows.join(buckets, ["key", "bin"]), "bucket_members")
+    seek = members.filter("label <> top").select("key", "bin", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "most", "home")])
+    both = members.drop("top").join(seek, ["key", "bin"]).filter(
+        f"label <> label_a and (home or home_a) and n <= most_a and n_a <= most and 100 * least(n, n_a) >= {percent} * greatest(n, n_a)"
+    )
+    return both.select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b")).distinct()
+
+
+def class_links(classes: DataFrame, docs: DataFrame, text_col: str, scratch: Scratch, words: int, percent: int) -> DataFrame | None:
+    """node -> label for the classes that share a band with another; None when no two are linked."""
+    members = shared_keys(classes, scratch)
+    nodes = scratch.keep(members.groupBy("node").agg(F.sum("size").alias("weight")), "nodes")
+    if nodes.isEmpty():
+        return None
+    of_class = scratch.keep(classes.join(nodes.select("node"), "node").select("node", "t1", "t2", "sketch"), "of_class")
+    texts = wanted_texts(docs, of_class.select("t1", "t2").distinct(), text_col, scratch)
+    links = _Links(of_class, texts, nodes, scratch, words, percent)
+    # the member that meets most others is the likeliest centre of its bucket
+    weighed = scratch.keep(members.drop("size").join(nodes, "node"), "weighed")
+    pivots = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("back"))).alias("p")).select("key", (-F.col("p.back")).alias("a"))
+    pivots = scratch.keep(pivots, "pivots")
+    pairs = weighed.join(pivots, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    links.test(scratch.keep(pairs, "pairs"))
+    # the rest: members that differ from each other in component, the pivot aside (it met all)
+    rest = scratch.keep(weighed.join(pivots, "key").filter("node <> a").join(links.labels, "node").select("key", "node", "label"), "rest")
+    unsettled = scratch.keep(rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key"), "open")
+    left = scratch.keep(rest.join(unsettled, "key").select("node", "label").distinct(), "left")
+    if not left.isEmpty():
+        rows = prefix_rows(left, of_class, texts, scratch, words, percent)
+        links.test(scratch.keep(prefix_pairs(rows, scratch, percent), "prefix_pairs"))
+    return links.labels if links.found else None
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,14 +345,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     same = ["set_hi", "set_lo", "n_shingles"]
     classes = signed.filter("n_shingles > 0").groupBy(*same).agg(F.min("id").alias("rep"), F.first(F.struct("t1", "t2", "bands", "sketch")).alias("one"))
     classes = scratch.keep(classes.select(*same, "rep", "one.*", F.monotonically_increasing_id().alias("node")), "classes")
-    corpus = docs.select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit(1), text_col).alias("t2"))
-
-    def texts_of(near: DataFrame) -> DataFrame:
-        asked = near.select(F.col("a1").alias("t1"), F.col("a2").alias("t2")).union(near.select("b1", "b2")).distinct()
-        found = corpus.join(scratch.keep(asked, "asked"), ["t1", "t2"], "left_semi")
-        return scratch.keep(found.groupBy("t1", "t2").agg(F.min("t").alias("t")), "texts")
-
-    labels = class_links(classes, texts_of, scratch, words, percent)
+    labels = class_links(classes, docs, text_col, scratch, words, percent)
     if labels is None:
         groups = classes.select(*same, F.col("rep").alias("component_id"))
     else:

@@ -4,7 +4,7 @@ Candidates are found by one pattern, validated by their own rule (Luhn, mod 97,
 calendar, octets, ...) and keyed-permuted within their format, so equal values
 get equal pseudonyms in all documents and every pseudonym is valid again:
 
-  card    the payload digits are permuted, the Luhn digit is computed anew
+  card    the digits after the scheme's two are permuted, the Luhn digit is computed anew
   iban    the account characters are permuted, the check digits computed anew
   phone   the last ten digits are permuted (country code and layout stay)
   ssn     permuted among the numbers that may be issued
@@ -34,7 +34,7 @@ _NUMBERS = {
     "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "phone": r"\+[0-9]{1,3}[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}",
-    "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.[0-9])",
+    "ip": r"(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.[0-9])",
     "card": r"[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,7}|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,7}",
     "secret": r"[0-9a-f]{32,64}|[0-9A-F]{32,64}",
 }
@@ -196,13 +196,14 @@ def _kind(m: Column, before: Column) -> Column:
         .when(is_("ssn"), F.when(~m.rlike("^(?:000|666|9..)-|-00-|-0000$"), "ssn"))
         .when(is_("phone"), F.when(F.length(d).between(8, 15), "phone"))
         .when(is_("ip"), F.when(F.forall(_octets(m), lambda o: o <= 255), "ip"))
-        .when(is_("card"), F.when(F.length(d).between(13, 19) & (_luhn_digit(F.substr(d, F.lit(1), F.length(d) - 1)) == F.right(d, F.lit(1))), "card"))
+        .when(is_("card"), F.when(F.length(d).between(13, 19) & d.rlike("^(?:2[2-7]|[3-6])") & (_luhn_digit(F.substr(d, F.lit(1), F.length(d) - 1)) == F.right(d, F.lit(1))), "card"))
     )
 
 
 def _pseudonym(m: Column, kind: Column, key: str) -> Column:
     d, plain = _digits(m), F.regexp_replace(m, " ", "")
-    card = let(permuted_string(F.substr(d, F.lit(1), F.length(d) - 1), key, "card"), lambda p: F.concat(p, _luhn_digit(p)))
+    payload = F.concat(F.substr(d, F.lit(1), F.lit(2)), permuted_string(F.substr(d, F.lit(3), F.length(d) - 3), key, "card"))
+    card = let(payload, lambda p: F.concat(p, _luhn_digit(p)))
     cut = F.greatest(F.length(d) - 10, F.lit(0))
     phone = F.concat(F.substr(d, F.lit(1), cut), permuted_string(F.substr(d, cut + 1, F.lit(10)), key, "phone"))
     country = F.substring(plain, 1, 2)

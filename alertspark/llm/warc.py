@@ -107,7 +107,7 @@ def write_archives(captures: DataFrame, folder: str) -> DataFrame:
                         if out is not None:
                             out.close()
                         name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{n_files}-{uuid.uuid4().hex[:8]}.warc.gz"
-                        out, offset, n_files = fs.open_output_stream(f"{root}/{name}"), 0, n_files + 1
+                        out, offset, n_files = fs.open_output_stream(f"{root}/{name}", compression=None), 0, n_files + 1
                     date = f"{ts[:4]}-{ts[4:6]}-{ts[6:8]}T{ts[8:10]}:{ts[10:12]}:{ts[12:14]}Z"
                     member, digest = warc_record(i, url, date, text.encode(), kind, refers)
                     out.write(member)
@@ -248,7 +248,7 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
         fs, root = pafs.FileSystem.from_uri(folder)
         for name in (x for b in batches for x in b.column(0).to_pylist()):
             rows = []
-            with fs.open_input_stream(f"{root}/{name}") as stream:
+            with fs.open_input_stream(f"{root}/{name}", compression=None) as stream:
                 for raw in read_members(stream):
                     f, block = parse_record(raw)
                     i, kind = f.get("X-Source-Id"), f["WARC-Type"]

@@ -25,6 +25,7 @@ GOOD, BAD, ABSTAIN = 1, -1, 0
 _SPACE = r"[\x20\x09-\x0D]+"
 _WS = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
+_SYMBOL_LINE = r"(?:[#*$%&|<>][^#*$%&|<>]*){3}"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -72,7 +73,7 @@ def text_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     hashes = F.transform(F.filter(F.split(text, _SPACE), lambda w: w != ""), lambda w: F.xxhash64(w))
     words = let(hashes, lambda h: F.struct(F.size(h).cast("long").alias("n_words"), F.size(F.array_distinct(h)).cast("long").alias("n_distinct"), _repeated(h).alias("n_repeat_words")))
-    lines = let(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
+    lines = let(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), F.size(F.filter(x, lambda y: y.rlike(_SYMBOL_LINE))).cast("long").alias("n_symbol_lines")))
     return docs.select(
         F.col(id_col).alias("id"),
         words.alias("w"),
@@ -82,7 +83,8 @@ def text_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         _count(text, _UPPER).alias("n_upper"),
         _count(text, "!").alias("n_shouts"),
         _count(text, ".?!").alias("n_stops"),
-    ).select("id", "w.*", "word_chars", "n_symbols", "l.*", "n_upper", "n_shouts", "n_stops")
+        _count(text, ",;:").alias("n_pauses"),
+    ).select("id", "w.*", "word_chars", "n_symbols", "l.*", "n_upper", "n_shouts", "n_stops", "n_pauses")
 
 
 def _vote(bad: Column, good: Column) -> Column:
@@ -94,9 +96,13 @@ def rules() -> dict[str, Column]:
     c = F.col
     share = lambda a, b: c(a) / F.greatest(c(b), F.lit(1))
     symbols, repeats, dup = share("n_symbols", "word_chars"), share("n_repeat_words", "n_words"), share("n_dup_lines", "n_lines")
+    marks = (c("n_symbols") + c("n_stops") + c("n_pauses")) / F.greatest(c("word_chars"), F.lit(1))
     length, upper, shouts, fresh, stops = share("word_chars", "n_words"), share("n_upper", "word_chars"), share("n_shouts", "n_words"), share("n_distinct", "n_words"), share("n_stops", "n_words")
     return {
         "symbols": _vote(symbols > 0.06, symbols < 0.02),
+        "symbols_per_word": _vote(share("n_symbols", "n_words") > 0.25, share("n_symbols", "n_words") < 0.1),
+        "symbol_lines": _vote(share("n_symbol_lines", "n_lines") > 0.5, share("n_symbol_lines", "n_lines") < 0.2),
+        "marks": _vote(marks > 0.12, marks < 0.08),
         "repeats": _vote(repeats > 0.4, repeats < 0.15),
         "dup_lines": _vote(dup > 0.3, c("n_dup_lines") == 0),
         "word_length": _vote((length < 2.5) | (length > 14), length.between(3, 10)),
