@@ -29,7 +29,7 @@ def _brute(rows, words, percent):
 
 
 def _key(r):
-    return (r[0] is None, r[0] or 0, r[1])
+    return (r[0] is None, r[0] or 0, r[1], str(r[2]))
 
 
 def _planted(rnd):
