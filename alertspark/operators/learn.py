@@ -19,7 +19,7 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +30,7 @@ from alertspark.session import reliable_checkpoint
 # Cross-match labels that do not rule out an extragalactic transient (fixed list).
 ALLOWED_XMATCH = ["Unknown", "Candidate_SN*", "SN", "Transient", "Fail"]
 CURVE_FEATURES = ["n", "peak", "last", "mean", "slope", "rise_frac", "span", "err_mean"]
-SNN_SLOTS = 8
+SNN_SLOTS = 16
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -41,14 +41,10 @@ def _fold(arr: Column, f) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + f(x))
 
 
-def curve_points(t: str, y: str, e: str, band_col: str, band, since: Column | None = None) -> Column:
-    """Detections of one band (optionally only times >= ``since``):
-    array<struct<t (days since first), y, e>> in time order."""
+def curve_points(t: str, y: str, e: str, band_col: str, band) -> Column:
+    """Detections of one band: array<struct<t (days since first), y, e>> in time order."""
     z = F.arrays_zip(F.col(t).alias("t"), F.col(y).alias("y"), F.col(e).alias("e"), F.col(band_col).alias("b"))
-    if since is None:
-        pts = F.filter(z, lambda p: (p["b"] == F.lit(band)) & p["y"].isNotNull())
-    else:
-        pts = F.filter(z, lambda p: (p["b"] == F.lit(band)) & p["y"].isNotNull() & (p["t"] >= since))
+    pts = F.filter(z, lambda p: (p["b"] == F.lit(band)) & p["y"].isNotNull())
     return let(pts, lambda q: let(F.get(q, 0)["t"], lambda t0: F.transform(
         q, lambda p: F.struct((p["t"] - t0).alias("t"), p["y"].alias("y"), p["e"].alias("e")))))
 
@@ -83,9 +79,9 @@ def curve_summary(p: Column, brighter: str) -> Column:
 
 
 def add_curve_features(df: DataFrame, bands: Sequence, prefix: str, t: str, y: str, e: str, band_col: str,
-                       brighter: str, since: Column | None = None) -> DataFrame:
+                       brighter: str) -> DataFrame:
     """Adds ``<prefix><band>`` structs (one per band)."""
-    return df.select("*", *[curve_summary(curve_points(t, y, e, band_col, b, since), brighter).alias(f"{prefix}{b}")
+    return df.select("*", *[curve_summary(curve_points(t, y, e, band_col, b), brighter).alias(f"{prefix}{b}")
                             for b in bands])
 
 
@@ -93,12 +89,24 @@ def flatten_curve_features(bands: Sequence, prefix: str) -> list[Column]:
     return [F.col(f"{prefix}{b}.{k}").cast("double").alias(f"{prefix}{b}_{k}") for b in bands for k in CURVE_FEATURES]
 
 
-def last_detections(t: str, y: str, band_col: str, band, slots: int = SNN_SLOTS) -> Column:
-    """Last ``slots`` detection magnitudes of a band, newest first, padded with NULL."""
-    pts = F.filter(F.arrays_zip(F.col(y).alias("y"), F.col(band_col).alias("b")),
-                   lambda p: (p["b"] == F.lit(band)) & p["y"].isNotNull())
-    rev = F.reverse(F.transform(pts, lambda p: p["y"]))
-    return let(rev, lambda r: F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.get(r, i)))
+def resampled_curve(t: str, y: str, band_col: str, band, slots: int = SNN_SLOTS) -> Column:
+    """Magnitudes of one band on ``slots`` equal steps of the alert's whole light curve.
+
+    The steps run from the alert's first to its last detection in any band;
+    each holds the mean of the band's detections in it (NULL where there is
+    none), so every detection counts."""
+    pts = F.filter(F.arrays_zip(F.col(t).alias("t"), F.col(y).alias("y"), F.col(band_col).alias("b")), lambda p: p["y"].isNotNull())
+    bounds = lambda z: F.struct(z.alias("z"), F.array_min(F.transform(z, lambda p: p["t"])).alias("a"),
+                                F.array_max(F.transform(z, lambda p: p["t"])).alias("b"))
+
+    def steps(s):
+        at = lambda p: F.when(s["b"] > s["a"], F.least(F.floor((p["t"] - s["a"]) / (s["b"] - s["a"]) * slots).cast("int"),
+                                                       F.lit(slots - 1))).otherwise(F.lit(0))
+        placed = F.transform(F.filter(s["z"], lambda p: p["b"] == F.lit(band)), lambda p: F.struct(at(p).alias("i"), p["y"].alias("y")))
+        return let(placed, lambda q: F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: let(
+            F.filter(q, lambda p: p["i"] == i), lambda r: _div(_fold(r, lambda p: p["y"]), F.size(r).cast("double")))))
+
+    return let(let(pts, bounds), steps)
 
 
 # ------------------------------------------------------------------ fit / score
@@ -136,22 +144,49 @@ def _estimator(spec: MLSpec, n_features: int):
     raise ValueError(f"unknown model kind {spec.kind!r}")
 
 
+def with_missing_flags(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Adds ``<col>_missing`` (1.0 where NULL or NaN), so that an absent value isn't read as a number."""
+    gone = {f"{c}_missing": (F.col(c).isNull() | F.isnan(c)).cast("double") for c in cols}
+    return df.withColumns({**gone, **{c: F.coalesce(F.col(c), F.lit(float("nan"))) for c in cols}})
+
+
 def fit(train: DataFrame, spec: MLSpec) -> PipelineModel:
-    clean = train.na.fill(0.0, subset=spec.feature_cols)
-    asm = VectorAssembler(inputCols=spec.feature_cols, outputCol="_fv", handleInvalid="keep")
-    return Pipeline(stages=[asm, _estimator(spec, len(spec.feature_cols))]).fit(clean)
+    """Median imputation, missing flags, scaling, classifier. The pipeline saves and loads as one (``save_model``)."""
+    cols, flags = list(spec.feature_cols), [f"{c}_missing" for c in spec.feature_cols]
+    data = with_missing_flags(train, cols)
+    some = data.agg(*[F.count(F.when(~F.isnan(c), 1)).alias(c) for c in cols]).first()
+    usable = [c for c in cols if some[c]]  # a column without any value has no median; its flag stands for it
+    if not some or not usable:
+        raise ValueError("no training row has a feature value")
+    filled = [f"{c}_filled" for c in usable]
+    stages = [Imputer(strategy="median", inputCols=usable, outputCols=filled),
+              VectorAssembler(inputCols=filled + flags, outputCol="_raw", handleInvalid="keep"),
+              StandardScaler(inputCol="_raw", outputCol="_fv", withMean=True, withStd=True),
+              _estimator(spec, len(filled) + len(flags))]
+    return Pipeline(stages=stages).fit(data)
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
 
 
 def score(model: PipelineModel, df: DataFrame, spec: MLSpec, cuts: Column, out: str) -> DataFrame:
     """Binary: probability of class 1; multi-class: struct(probabilities, best class). 0.0 where cuts fail."""
-    scored = model.transform(df.na.fill(0.0, subset=spec.feature_cols))
+    nulls = {f"_given_{c}": F.col(c) for c in spec.feature_cols}
+    scored = model.transform(with_missing_flags(df.withColumns(nulls), spec.feature_cols))
     prob = vector_to_array(F.col("probability"))
     if spec.n_classes == 2:
         p1 = F.when(F.size(prob) > 1, F.get(prob, 1)).otherwise(F.lit(0.0))
         val = F.when(cuts, p1).otherwise(F.lit(0.0))
     else:
         val = F.when(cuts, F.struct(prob.alias("probabilities"), F.col("prediction").cast("int").alias("best")))
-    return scored.withColumn(out, val).drop("_fv", "rawPrediction", "probability", "prediction")
+    helpers = [f"{c}{e}" for c in spec.feature_cols for e in ("_missing", "_filled")]
+    scored = scored.withColumn(out, val).drop("_raw", "_fv", "rawPrediction", "probability", "prediction", *helpers)
+    return scored.withColumns({c: F.col(f"_given_{c}") for c in spec.feature_cols}).drop(*nulls)
 
 
 def fit_and_score(df: DataFrame, spec: MLSpec, cuts: Column, key: Column, out: str,
@@ -159,16 +194,21 @@ def fit_and_score(df: DataFrame, spec: MLSpec, cuts: Column, key: Column, out: s
                   materialize: bool = True) -> DataFrame:
     """Fit on the training side of the object split (rows passing the cuts), score every row.
 
-    The frame the model sees (``keep`` + label + flags + features, or every
-    column when ``keep`` is None) is checkpointed once to the shared folder:
-    tree learners make several passes over their input, which would otherwise
-    recompute the whole upstream plan (history window, cross-match) each time.
+    Learners make several passes over their input, which would otherwise
+    recompute the whole upstream plan each time, so what the fit reads is
+    checkpointed once to the shared folder: the narrow frame (``keep`` + label +
+    flags + features), or without ``keep`` only label and features of the
+    training rows. With a fitted ``model`` nothing is written.
     """
     d = df.withColumn("_cuts", F.coalesce(cuts, F.lit(False))).withColumn("_train", split_flag(key))
     if keep is not None:
         d = d.select(*keep, spec.label_col, "_cuts", "_train", *spec.feature_cols)
-    if materialize:
-        d = reliable_checkpoint(d)
     if model is None:
-        model = fit(d.where(F.col("_train") & F.col("_cuts")), spec)
+        train = d.where(F.col("_train") & F.col("_cuts"))
+        if keep is None:  # only what the fit reads is written; the wide frame is scored lazily
+            train = train.select(spec.label_col, *spec.feature_cols)
+        elif materialize:
+            d = reliable_checkpoint(d)
+            train = d.where(F.col("_train") & F.col("_cuts"))
+        model = fit(reliable_checkpoint(train) if materialize and keep is None else train, spec)
     return score(model, d, spec, F.col("_cuts"), out).drop("_cuts", "_train")

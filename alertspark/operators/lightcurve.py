@@ -64,7 +64,7 @@ def build_history(
     time_us: str,
     items: Mapping[str, Column],
     window_us: int = 30 * DAY_US,
-    chunk_us: int = 90 * DAY_US,
+    chunk_us: int = 10 * DAY_US,
     running_count: Mapping[str, Column] | None = None,
     running_min: Mapping[str, Column] | None = None,
 ) -> DataFrame:
@@ -111,7 +111,7 @@ def build_history(
     w = Window.partitionBy(key, "_chunk").orderBy(time_us)
     hist_w = w.rangeBetween(-window_us, -1)
     upto_w = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    out = [F.array_sort(F.collect_list(e).over(hist_w)).alias(name) for name, e in items.items()]
+    out = [F.sort_array(F.collect_list(e).over(hist_w)).alias(name) for name, e in items.items()]
     out += [
         (F.count(F.when(F.col("_own"), e)).over(upto_w) + F.coalesce(F.col(f"_pn_{k}"), F.lit(0))).cast("int").alias(k)
         for k, e in running_count.items()

@@ -213,11 +213,14 @@ def cone_match(
         best = F.array_min(F.filter(scored, lambda x: x["sep_arcsec"] <= F.lit(r)))
         out = j.withColumn("_best", best).drop("_zone", "_bucket", "_cands")
     elif strategy == "shuffle":
-        pairs = cone_pairs(alerts, catalog, r, id_col, ra, dec, cat_ra, cat_dec, source_id, payload,
+        # the match depends on the position alone: matching each position once gives
+        # every row its own result, also where ids repeat or are missing
+        spots = alerts.select(_c(ra).alias("_pra"), _c(dec).alias("_pdec")).distinct().withColumn("_spot", F.struct("_pra", "_pdec"))
+        pairs = cone_pairs(spots, catalog, r, "_spot", "_pra", "_pdec", cat_ra, cat_dec, source_id, payload,
                            min_zone_arcsec)
-        bestp = pairs.groupBy(F.col(id_col).alias("_bid")).agg(
-            F.min(F.struct("sep_arcsec", "source_id", *payload)).alias("_best"))
-        out = alerts.join(bestp, _c(id_col) == F.col("_bid"), "left").drop("_bid")
+        bestp = pairs.groupBy("_spot").agg(F.min(F.struct("sep_arcsec", "source_id", *payload)).alias("_best")).select(
+            F.col("_spot._pra").alias("_bra"), F.col("_spot._pdec").alias("_bdec"), "_best")
+        out = alerts.join(bestp, (_c(ra) == F.col("_bra")) & (_c(dec) == F.col("_bdec")), "left").drop("_bra", "_bdec")
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
 

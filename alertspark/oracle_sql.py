@@ -546,36 +546,39 @@ SELECT candid, cdsxmatch, {KN_CUTS} AS pass_cuts FROM xlc"""
     q["kn_features"] = w(ALERTS, _curve_sql("lc", "candid", "cjd", "cmagpsf", "csigmapsf", "cfid", [1, 2], "lower")) + f"""
 SELECT candid, CAST(band AS VARCHAR) AS band, {", ".join(CURVE)} FROM curve"""
     snia = _curve_sql("xlc", "candid", "cjd", "cmagpsf", "csigmapsf", "cfid", [1, 2], "lower",
-                      since=f"jd - 10.0{D}", extra=("ndethist", "cdsxmatch"))
+                      extra=("ndethist", "cdsxmatch"))
     q["snia_cuts"] = xm + ",\n" + snia + """,
 per AS (
   SELECT candid, ndethist, cdsxmatch,
-    bool_or(n >= 3) AS enough, bool_or(n >= 3 AND slope < 0) AS rising
+    bool_and(n >= 3) AS enough, bool_or(n >= 3 AND slope < 0) AS rising
   FROM curve GROUP BY ALL
 )
 SELECT candid, coalesce(ndethist <= 20 AND enough AND rising
   AND cdsxmatch IN ('Unknown', 'Candidate_SN*', 'SN', 'Transient', 'Fail'), false) AS pass_cuts FROM per"""
     q["snia_features"] = w(ALERTS, _curve_sql("lc", "candid", "cjd", "cmagpsf", "csigmapsf", "cfid", [1, 2],
-                                              "lower", since=f"jd - 10.0{D}")) + f"""
+                                              "lower")) + f"""
 SELECT candid, CAST(band AS VARCHAR) AS band, {", ".join(CURVE)} FROM curve"""
-    q["snn_vector"] = w(ALERTS) + """,
+    slot = "CASE WHEN t1 > t0 THEN least(CAST(floor((x.t - t0) / (t1 - t0) * 16) AS INTEGER), 15) ELSE 0 END"
+    q["snn_vector"] = w(ALERTS) + f""",
+p AS (
+  SELECT candid, list_filter(list_transform(range(1, len(cjd) + 1),
+      lambda i: struct_pack(t := cjd[i], y := cmagpsf[i], b := cfid[i])), lambda x: x.y IS NOT NULL) AS z FROM lc
+),
+r AS (SELECT candid, z, list_min(list_transform(z, lambda x: x.t)) AS t0, list_max(list_transform(z, lambda x: x.t)) AS t1 FROM p),
 v AS (
-  SELECT candid, band, list_reverse(list_transform(list_filter(list_transform(range(1, len(cjd) + 1),
-      lambda i: struct_pack(y := cmagpsf[i], b := cfid[i])), lambda p: p.b = band AND p.y IS NOT NULL),
-      lambda p: p.y)) AS r
-  FROM lc CROSS JOIN (VALUES (1), (2)) t(band)
+  SELECT candid, band, slot, list_filter(z, lambda x: x.b = band AND {slot} = slot) AS q
+  FROM r CROSS JOIN (VALUES (1), (2)) t(band) CROSS JOIN (SELECT CAST(range AS INTEGER) AS slot FROM range(16))
 )
-SELECT candid, band, CAST(slot AS INTEGER) AS slot, r[slot + 1] AS mag
-FROM v CROSS JOIN range(8) s(slot)"""
+SELECT candid, band, slot, {_div(_fold("q", "x.y"), "CAST(len(q) AS DOUBLE)")} AS mag FROM v"""
     slsn_md = ("hostgal_zphot", "hostgal_zphot_err", "hostgal_snsep")
     q["slsn_features_md"] = w(RUBIN, _curve_sql("rlc", "alertId", "cmidPointTai", "cpsFlux", "cpsFluxErr",
-                                                "cfilterName", ["g", "r", "i"], "higher", extra=slsn_md)) + f"""
+                                                "cfilterName", ["u", "g", "r", "i", "z", "Y"], "higher", extra=slsn_md)) + f"""
 SELECT alertId, {", ".join(slsn_md)}, band, {", ".join(CURVE)} FROM curve"""
     cats_md = ("mwebv", "z_final", "z_final_err", "hostgal_zphot", "hostgal_zphot_err")
     rl = RUBIN + """,
 rlc2 AS (SELECT *, hostgal_zphot AS z_final, hostgal_zphot_err AS z_final_err FROM rlc)"""
     q["cats_features_md"] = w(rl, _curve_sql("rlc2", "alertId", "cmidPointTai", "cpsFlux", "cpsFluxErr",
-                                             "cfilterName", ["u", "z", "Y"], "higher", extra=cats_md)) + f"""
+                                             "cfilterName", ["u", "g", "r", "i", "z", "Y"], "higher", extra=cats_md)) + f"""
 SELECT alertId, {", ".join(cats_md)}, band, {", ".join(CURVE)} FROM curve"""
 
 
@@ -595,11 +598,11 @@ eph AS (
 ),
 m AS (
   SELECT o.*, e.phase_deg, e.r_au, e.r_au - 1.0{D} AS delta_au
-  FROM obs o JOIN eph e ON o.ssnamenr = e.ssnamenr AND abs(o.jd - e.ejd) <= {tol!r}
+  FROM obs o LEFT JOIN eph e ON o.ssnamenr = e.ssnamenr AND abs(o.jd - e.ejd) <= {tol!r}
   QUALIFY row_number() OVER (PARTITION BY o.candid ORDER BY abs(o.jd - e.ejd), e.ejd) = 1
 ),
 r AS (SELECT *, magpsf - 5.0{D} * log10(r_au * delta_au) AS mred FROM m)
-SELECT ssnamenr, fid, count(*) AS n_obs, round(regr_intercept(mred, phase_deg), 5) AS H,
+SELECT ssnamenr, fid, count(mred) AS n_obs, round(regr_intercept(mred, phase_deg), 5) AS H,
   round(regr_slope(mred, phase_deg), 5) AS beta
 FROM r GROUP BY ALL"""
     q["udf_scalar"] = w(ALERTS) + f"""

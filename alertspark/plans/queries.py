@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertspark.operators import lightcurve as lcv
@@ -375,12 +375,11 @@ def q_hostless(spark, sf_dir):
 from alertspark.operators import learn  # noqa: E402
 
 ZTF_BANDS = [1, 2]
-RUBIN_MD_BANDS = ["g", "r", "i"]
-CATS_BANDS = ["u", "z", "Y"]
+RUBIN_BANDS = ["u", "g", "r", "i", "z", "Y"]
 
 
-def _ztf_curve_features(df, prefix="cf", since=None):
-    return learn.add_curve_features(df, ZTF_BANDS, prefix, "cjd", "cmagpsf", "csigmapsf", "cfid", "lower", since)
+def _ztf_curve_features(df, prefix="cf"):
+    return learn.add_curve_features(df, ZTF_BANDS, prefix, "cjd", "cmagpsf", "csigmapsf", "cfid", "lower")
 
 
 def _long_curve_features(df, key, bands, prefix, extra=()):
@@ -408,10 +407,10 @@ def kn_cuts() -> Column:
 def snia_cuts() -> Column:
     c = F.col("candidate")
     rising = F.lit(False)
-    enough = F.lit(False)
+    enough = F.lit(True)
     for b in ZTF_BANDS:
         f = F.col(f"sf{b}")
-        enough = enough | (f["n"] >= 3)
+        enough = enough & (f["n"] >= 3)
         rising = rising | ((f["n"] >= 3) & (f["slope"] < 0))
     return F.coalesce((c["ndethist"] <= 20) & enough & rising & F.col("cdsxmatch").isin(learn.ALLOWED_XMATCH),
                       F.lit(False))
@@ -430,7 +429,7 @@ def mulens_cuts() -> Column:
 
 
 def _snia_frame(df):
-    return _ztf_curve_features(df, "sf", since=F.col("candidate.jd") - F.lit(10.0))
+    return _ztf_curve_features(df, "sf")
 
 
 def _mulens_frame(df):
@@ -483,7 +482,7 @@ def q_snia_score(spark, sf_dir):
 @query("snn_vector")
 def q_snn_vector(spark, sf_dir):
     df = ztf_lightcurves(spark, sf_dir)
-    arr = F.array(*[F.struct(F.lit(b).alias("band"), learn.last_detections("cjd", "cmagpsf", "cfid", b).alias("v"))
+    arr = F.array(*[F.struct(F.lit(b).alias("band"), learn.resampled_curve("cjd", "cmagpsf", "cfid", b).alias("v"))
                     for b in ZTF_BANDS])
     return df.select("candid", F.inline(arr)).select("candid", "band", F.posexplode("v").alias("slot", "mag"))
 
@@ -493,7 +492,7 @@ def q_snn_score(spark, sf_dir):
     df = ztf_science_input(spark, sf_dir)
     cols = []
     for b in ZTF_BANDS:
-        v = learn.last_detections("cjd", "cmagpsf", "cfid", b)
+        v = learn.resampled_curve("cjd", "cmagpsf", "cfid", b)
         cols += [F.get(v, i).alias(f"snn{b}_{i}") for i in range(learn.SNN_SLOTS)]
     df = df.select("*", *cols)
     spec = learn.MLSpec(feature_cols=[f"snn{b}_{i}" for b in ZTF_BANDS for i in range(learn.SNN_SLOTS)], kind="mlp")
@@ -523,15 +522,15 @@ def _rubin_frame(spark, sf_dir, bands, prefix):
 
 @query("slsn_features_md")
 def q_slsn_features_md(spark, sf_dir):
-    df = _rubin_frame(spark, sf_dir, RUBIN_MD_BANDS, "rf")
-    return _long_curve_features(df, "alertId", RUBIN_MD_BANDS, "rf", SLSN_MD)
+    df = _rubin_frame(spark, sf_dir, RUBIN_BANDS, "rf")
+    return _long_curve_features(df, "alertId", RUBIN_BANDS, "rf", SLSN_MD)
 
 
 def _slsn(spark, sf_dir, with_md: bool, out: str):
-    df = _rubin_frame(spark, sf_dir, RUBIN_MD_BANDS, "rf")
-    df = df.select("*", *learn.flatten_curve_features(RUBIN_MD_BANDS, "rf"),
+    df = _rubin_frame(spark, sf_dir, RUBIN_BANDS, "rf")
+    df = df.select("*", *learn.flatten_curve_features(RUBIN_BANDS, "rf"),
                    (F.col("event_type") == "purchase").cast("double").alias("label"))
-    cols = [f"rf{b}_{k}" for b in RUBIN_MD_BANDS for k in learn.CURVE_FEATURES] + (SLSN_MD if with_md else [])
+    cols = [f"rf{b}_{k}" for b in RUBIN_BANDS for k in learn.CURVE_FEATURES] + (SLSN_MD if with_md else [])
     cuts = F.coalesce(F.size(F.filter("cpsFlux", lambda x: x.isNotNull())) >= 2, F.lit(False))
     spec = learn.MLSpec(feature_cols=cols, kind="gbt")
     return learn.fit_and_score(df, spec, cuts, F.col("diaObject.diaObjectId"), out, keep=["alertId"]).select("alertId", out)
@@ -549,15 +548,15 @@ def q_slsn_score_nomd(spark, sf_dir):
 
 @query("cats_features_md")
 def q_cats_features_md(spark, sf_dir):
-    df = _rubin_frame(spark, sf_dir, CATS_BANDS, "cb")
-    return _long_curve_features(df, "alertId", CATS_BANDS, "cb", CATS_MD)
+    df = _rubin_frame(spark, sf_dir, RUBIN_BANDS, "cb")
+    return _long_curve_features(df, "alertId", RUBIN_BANDS, "cb", CATS_MD)
 
 
 def _cats(spark, sf_dir, with_md: bool, out: str):
-    df = _rubin_frame(spark, sf_dir, CATS_BANDS, "cb")
+    df = _rubin_frame(spark, sf_dir, RUBIN_BANDS, "cb")
     label = F.array_position(F.array(*[F.lit(m) for m in DRIVER_MODULES]), F.col("event_type")) - 1
-    df = df.select("*", *learn.flatten_curve_features(CATS_BANDS, "cb"), label.cast("double").alias("label"))
-    cols = [f"cb{b}_{k}" for b in CATS_BANDS for k in learn.CURVE_FEATURES] + (CATS_MD if with_md else [])
+    df = df.select("*", *learn.flatten_curve_features(RUBIN_BANDS, "cb"), label.cast("double").alias("label"))
+    cols = [f"cb{b}_{k}" for b in RUBIN_BANDS for k in learn.CURVE_FEATURES] + (CATS_MD if with_md else [])
     spec = learn.MLSpec(feature_cols=cols, kind="lr", n_classes=len(DRIVER_MODULES))
     out_df = learn.fit_and_score(df, spec, F.lit(True), F.col("diaObject.diaObjectId"), out, keep=["alertId"])
     return out_df.select("alertId", F.col(f"{out}.best").alias(f"{out}_class"),

@@ -46,13 +46,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     Read from the session; a private folder is set only when the session has
-    none (local tests).
+    none and runs in one process (local tests).
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         d = jdir.get() if jdir.isDefined() else None
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="alertspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():

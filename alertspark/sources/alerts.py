@@ -33,15 +33,17 @@ def read_night(spark: SparkSession, root: str, night: str) -> DataFrame:
 def write_archive(df: DataFrame, root: str, mode: str = "overwrite") -> None:
     """Write alerts partitioned by night.
 
-    No repartition by night: one night (or one class) can hold a large share of
-    all rows, so every task writes its own slice of each partition directory.
+    ``REBALANCE`` gathers each night's rows in as few tasks as their size allows
+    (adaptive execution splits a large night), so files follow the data's size
+    and not tasks x nights.
     """
+    df = df.hint("rebalance", *NIGHT_COLS)
     df.write.mode(mode).partitionBy(*NIGHT_COLS).parquet(root)
 
 
 def write_by_class(df: DataFrame, path: str, class_col: str = "alertclass", mode: str = "overwrite") -> None:
     """Deliver alerts partitioned by their class label."""
-    df.write.mode(mode).partitionBy(class_col).parquet(path)
+    df.hint("rebalance", class_col).write.mode(mode).partitionBy(class_col).parquet(path)
 
 
 def read_class(spark: SparkSession, path: str, label: str, class_col: str = "alertclass") -> DataFrame:

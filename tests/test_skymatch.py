@@ -72,3 +72,11 @@ def test_unknown_catalogue_columns():
     assert sky.parse_columns("DR3Name,Plx,e_Plx") == ["DR3Name", "Plx", "e_Plx"]
     with pytest.raises(ValueError):
         sky.parse_columns(" , ")
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "shuffle"])
+def test_repeated_and_missing_ids_match_by_their_own_position(spark, strategy):
+    alerts = spark.createDataFrame([(1, 10.0, 5.0), (1, 50.0, 5.0), (None, 10.0, 5.0), (2, None, 5.0)], "candid long, ra double, dec double")
+    cat = spark.createDataFrame([("s", 10.0, 5.0, "x")], "source_id string, ra double, dec double, kind string")
+    got = sky.cone_match(alerts, cat, 1.0, ["kind"], "label", unknown="Unknown", strategy=strategy).select("ra", "label").collect()
+    assert sorted((r.ra or 0.0, r.label) for r in got) == [(0.0, "Unknown"), (10.0, "x"), (10.0, "x"), (50.0, "Unknown")]
