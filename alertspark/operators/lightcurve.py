@@ -64,7 +64,7 @@ def build_history(
     time_us: str,
     items: Mapping[str, Column],
     window_us: int = 30 * DAY_US,
-    chunk_us: int = 10 * DAY_US,
+    chunk_us: int = 30 * DAY_US,
     running_count: Mapping[str, Column] | None = None,
     running_min: Mapping[str, Column] | None = None,
 ) -> DataFrame:

@@ -49,3 +49,20 @@ def test_history_arrays_aligned(spark):
     names = ["c" + f for f in lcv.ZTF_FIELDS]
     sizes = df.select(*[F.size(n).alias(n) for n in names]).collect()
     assert all(len(set(r)) == 1 for r in sizes)
+
+
+def test_busy_object_is_split_by_time_chunk(spark):
+    """One object with most rows: the default chunk spreads it, and the result equals a single huge chunk's."""
+    from pyspark.sql import functions as F
+
+    from alertspark.operators import lightcurve as lc
+
+    day = 86_400_000_000
+    rows = [("hot", i * day // 4, float(i)) for i in range(800)] + [("cold", 5 * day, 1.0)]
+    df = spark.createDataFrame(rows, "objectId string, t long, m double")
+    kw = dict(items={"h": F.struct("t", "m")}, running_count={"n": F.col("m")})
+    split = lc.build_history(df, "objectId", "t", **kw)
+    whole = lc.build_history(df, "objectId", "t", chunk_us=10_000 * day, **kw)
+    key = lambda d: sorted((r.objectId, r.t, len(r.h), r.n) for r in d.collect())
+    assert key(split) == key(whole)
+    assert len({r.t // (30 * day) for r in df.filter("objectId = 'hot'").collect()}) >= 6
