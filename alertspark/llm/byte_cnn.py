@@ -27,7 +27,7 @@ from alertspark.llm.common import text_buffers
 
 BLOCK = 512  # half a chunk
 WIDTH, FILTERS, EMBED = 8, 16, 6
-SAMPLE, SAMPLE_CHUNKS = 600, 8
+SAMPLE, SAMPLE_CHUNKS = 1000, 8
 EPOCHS, BATCH, RATE = 14, 16, 0.01
 _PIECE = 16 * BLOCK
 
@@ -77,8 +77,8 @@ def _new_net(rng: np.random.Generator) -> Net:
     return Net(rng.normal(0, 0.5, (256, EMBED)), rng.normal(0, 0.3, (WIDTH, EMBED, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.3, 2 * FILTERS), 0.0)
 
 
-def fit(texts: list[bytes], labels: list[int], seed: int = 5) -> Net:
-    """Fit by Adam on class-balanced batches; the classes' odds are put back into the last bias.
+def fit(texts: list[bytes], labels: list[int], odds: float | None = None, seed: int = 5) -> Net:
+    """Fit by Adam on class-balanced batches; the odds of label 1 (default: those of ``labels``) are put back into the last bias.
 
     Without both classes the net only states the share of label 1 (0.5 when there is no label).
     """
@@ -114,7 +114,7 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 5) -> Net:
         v_b += 0.001 * ((grad_b / BATCH) ** 2 - v_b)
         net.out_bias -= rate * m_b / (np.sqrt(v_b) + 1e-8)
     net.fold()
-    net.out_bias += float(np.log(len(groups[1]) / len(groups[0])))
+    net.out_bias += float(np.log(len(groups[1]) / len(groups[0]) if odds is None else odds))
     return net
 
 
@@ -157,6 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.filter(~_held_out("id")).withColumn("h", F.xxhash64("id"))
     some = [known.filter(F.col("label") == c).orderBy("h", "id").limit(SAMPLE) for c in (0, 1)]
     rows = sorted({(r["id"], r["label"]) for s in some for r in s.collect()})
+    of_class = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     spark = docs.sparkSession
     if not rows:
         return fit([], [])
@@ -177,7 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     schema = T.StructType([docs.schema[id_col], T.StructField("label", T.IntegerType()), T.StructField("raw", T.BinaryType())])
     got = sorted((r[0], r[1], bytes(r[2])) for r in texts.mapInArrow(cut, schema).collect())
-    return fit([r[2] for r in got], [r[1] for r in got])
+    odds = of_class[1] / of_class[0] if len(of_class) == 2 else None
+    return fit([r[2] for r in got], [r[1] for r in got], odds)
 
 
 def classify(docs: DataFrame, net: Net, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
