@@ -49,7 +49,9 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The documents whose id isn't among ``gone``; the ids are written first, so that Spark knows whether they are few enough to broadcast."""
+    ids = Scratch(docs.sparkSession).keep(gone.select("doc_id").distinct(), "gone")
+    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
 
 
 STAGES = [
