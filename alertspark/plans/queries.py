@@ -679,3 +679,61 @@ def q_module_timing(spark, sf_dir):
                         ["Asteroid", "Fast transient", "Feature extraction", "CDS xmatch (SIMBAD)"], loops=2,
                         ctx=_module_ctx(spark, sf_dir))
     return rep.throughput(runs).select("module", "loop", "total_alerts", "throughput")
+
+
+# ---------------------------------------------------------------- what must hold of fitted or drawn results, whatever their values
+
+
+def _bounded(score: str) -> Column:
+    return F.coalesce((F.col(score) >= 0) & (F.col(score) <= 1), F.lit(False))
+
+
+@query("mag_rate_mc_check")
+def q_mag_rate_mc_check(spark, sf_dir):
+    """The drawn bounds exist where the closed form does and lie within half a sigma of it."""
+    df = rates.magnitude_rate_mc(_rated(spark, sf_dir), n=1000, seed=42)
+    r, mc = F.col("fast_transient"), F.col("fast_transient_mc")
+    has = mc["lower_mc"].isNotNull() & ~F.isnan(mc["lower_mc"])
+    near = (F.abs(mc["lower_mc"] - r["lower"]) <= 0.5 * r["sigma"]) & (F.abs(mc["upper_mc"] - r["upper"]) <= 0.5 * r["sigma"])
+    return df.select("candid", F.coalesce(has, F.lit(False)).alias("has_bounds"), F.when(has, near).alias("near_closed_form"))
+
+
+@query("repartition_check")
+def q_repartition_check(spark, sf_dir):
+    n = q_repartition_balance(spark, sf_dir).agg(F.sum("n_alerts").alias("n_alerts"), F.max("n_alerts").alias("hi"), F.avg("n_alerts").alias("mean"))
+    return n.select("n_alerts", (F.col("hi") <= 1.2 * F.col("mean") + 10).alias("balanced"))
+
+
+def _score_check(cuts: DataFrame, scores: DataFrame, score: str) -> DataFrame:
+    both = cuts.select("candid", "pass_cuts").join(scores, "candid")
+    return both.select("candid", "pass_cuts", (_bounded(score) & (F.col("pass_cuts") | (F.col(score) == 0))).alias("score_ok"))
+
+
+@query("kn_score_check")
+def q_kn_score_check(spark, sf_dir):
+    return _score_check(q_kn_cuts(spark, sf_dir), q_kn_score(spark, sf_dir), "rf_kn_vs_nonkn")
+
+
+@query("snia_score_check")
+def q_snia_score_check(spark, sf_dir):
+    return _score_check(q_snia_cuts(spark, sf_dir), q_snia_score(spark, sf_dir), "rf_snia_vs_nonia")
+
+
+@query("module_chain_check")
+def q_module_chain_check(spark, sf_dir):
+    """The chain's deterministic columns, and its scores within bounds."""
+    df = q_module_chain(spark, sf_dir)
+    ok = _bounded("rf_snia_vs_nonia") & _bounded("snn_snia_vs_nonia")
+    return df.select("candid", "cdsxmatch", F.col("roid").cast("int").alias("roid"), ok.alias("scores_ok"))
+
+
+@query("slsn_score_check")
+def q_slsn_score_check(spark, sf_dir):
+    return q_slsn_score_md(spark, sf_dir).select("alertId", _bounded("slsn_with_md").alias("score_ok"))
+
+
+@query("cats_score_check")
+def q_cats_score_check(spark, sf_dir):
+    d = q_cats_score_md(spark, sf_dir)
+    ok = _bounded("cats_preds_md_prob") & F.col("cats_preds_md_class").between(0, len(DRIVER_MODULES) - 1)
+    return d.select("alertId", F.coalesce(ok, F.lit(False)).alias("score_ok"))
