@@ -6,7 +6,6 @@ from conftest import SF_SMALL
 
 from alertspark.llm.common import Scratch
 from alertspark.llm.decontam import contamination
-from alertspark.llm.pii import PATTERN  # noqa: F401
 from alertspark.llm.queries import TOKENIZER
 
 
@@ -34,7 +33,7 @@ def test_stages_one_by_one(spark):
 
 
 def test_registered():
-    assert E.queries()["pipeline"] is P.run
+    assert E.queries()["pipeline"].__wrapped__ is P.run
     numbers = {n.split("_")[0] for n in E.queries() if n.startswith("op")}
     assert numbers == {f"op{i}" for i in range(1, 11)}
 
