@@ -2,7 +2,8 @@
 
 The DOMs of a host's pages are merged: elements with the same path (tags and
 classes from the root) are one node of the host's tree. A node is judged over
-the m pages that have it:
+the m pages that have it (equal pages of a host are one page, however often
+they are repeated):
 
   presentation  entropy, to base m, of the sequences of child tags it shows
   content       of a text seen at that node on k pages: 1 - log k / log m, one
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertspark.llm.common import Scratch, slices
+from alertspark.llm.common import Scratch, bit_table, in_table, slices
 from alertspark.llm.html_blocks import Page, hash64, read_page
 
 GAMMA = 0.9
@@ -54,25 +55,35 @@ def _text_key(node: int, text: str) -> int:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(node, kind, seen, parent, pages): how many pages show each presence, style and text of each node. Input: url, html."""
-    schema = "node long, kind int, seen long, parent long"
+    """(node, kind, seen, parent, pages): how many distinct pages show each presence, style and text of each node. Input: url, html.
+
+    Only pages whose html may be repeated (a bit table of fixed size tells)
+    carry their digest into the count; all others are one page each.
+    """
+    schema = "node long, kind int, seen long, parent long, page long"
+    pages = pages.select("url", "html", F.xxhash64("html").alias("page"))
+    spark = pages.sparkSession
+    repeated = spark.sparkContext.broadcast(bit_table(pages.groupBy("page").agg(F.count("*").alias("n")).filter("n > 1"), "page"))
 
     def run(batches):
         for batch in (s for b in batches for s in slices(b)):
-            rows: list[tuple[int, int, int, int]] = []
-            for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                page, host = read_page(html or ""), host_of(url)
+            rows: list[tuple[int, int, int, int, int | None]] = []
+            digests = batch.column(2).to_numpy()
+            again = in_table(repeated.value, digests.view(np.uint64)).tolist()
+            for url, html, digest, twice in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), digests.tolist(), again):
+                page, host, own = read_page(html or ""), host_of(url), digest if twice else None
                 names: dict[int, int] = {}
                 name = lambda p: names.get(p) or names.setdefault(p, _node(host, p))  # noqa: B023, E731
                 mine = set()
                 for b in page.article():
                     node, parent = name(b.path), name(b.parent)
-                    mine |= {(node, _PRESENT, 0, 0), (parent, _PRESENT, 0, 0), (node, _TEXT, _text_key(node, b.text), parent), (parent, _STYLE, hash64(page.styles.get(b.parent, "")), 0)}
+                    mine |= {(node, _PRESENT, 0, 0, own), (parent, _PRESENT, 0, 0, own), (node, _TEXT, _text_key(node, b.text), parent, own), (parent, _STYLE, hash64(page.styles.get(b.parent, "")), 0, own)}
                 rows += mine
-            cols = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["node", "kind", "seen", "parent"])
+            cols = zip(*rows) if rows else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["node", "kind", "seen", "parent", "page"])
 
-    return pages.mapInArrow(run, schema).groupBy("node", "kind", "seen", "parent").agg(F.count("*").alias("pages"))
+    seen = pages.mapInArrow(run, schema).groupBy("node", "kind", "seen", "parent", "page").agg(F.count("*").alias("n"))
+    return seen.groupBy("node", "kind", "seen", "parent").agg(F.sum(F.when(F.col("page").isNull(), F.col("n")).otherwise(1)).alias("pages"))
 
 
 def unimportant(tree: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
@@ -109,8 +120,9 @@ def main_text(pages: DataFrame, threshold: float = 0.1, low_broadcast: int = LOW
     space, blocks are joined in page order by a newline. One row per input row:
     id, url, text, n_chars (code points), n_cut (texts cut by the style tree).
     Null or empty html: empty text; null url: the pages of no host, judged
-    together. Repeated rows count as pages of their own and give repeated
-    results; a null id stays null; other columns are not read.
+    together. Repeated rows give repeated results, but equal pages of a host
+    count once in its style tree; a null id stays null; other columns are not
+    read.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark)

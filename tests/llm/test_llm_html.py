@@ -62,5 +62,19 @@ def test_style_tree_cuts_what_nearly_all_pages_of_a_host_show(spark, low_broadca
     assert all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+@pytest.mark.parametrize("low_broadcast", [200_000, -1])
+def test_copies_of_a_page_are_one_page(spark, low_broadcast):
+    copy = "<article><h1>Copied</h1><p>One text on all copies.</p></article>"
+    promo = "<p>Read our magazine today.</p>"
+    rows = [(i, f"http://mirror.org/{i}", copy, None, None) for i in range(20)]
+    rows += [(100 + i, f"http://most.org/{i % 7}", copy.replace("</article>", f"{promo}</article>"), None, None) for i in range(90)]
+    rows += [(200 + i, f"http://most.org/x{i}", f"<article><h1>T{i}</h1><p>Text {i}.</p>{promo}</article>", None, None) for i in range(10)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = {r["page_id"]: r for r in main_text(df, low_broadcast=low_broadcast).collect()}
+    assert len(got) == 120 and {got[i]["text"] for i in range(20)} == {"Copied\nOne text on all copies."}
+    assert {(got[100 + i]["text"], got[100 + i]["n_cut"]) for i in range(90)} == {("Copied\nOne text on all copies.", 1)}
+    assert [got[200 + i]["text"] for i in range(10)] == [f"T{i}\nText {i}." for i in range(10)]
+
+
 def test_empty_table(spark):
     assert main_text(_site(spark).limit(0)).count() == 0
