@@ -10,8 +10,9 @@ very many captures is spread over several ranges. Within a range the runs'
 shares, still sorted, go through a k-way loser tree. Ranges in order, rows in
 order, are the capture history.
 
-Reading: the listed files are read record by record; a revisit gets its
-payload's length from the response that it refers to.
+Reading: the listed files are cut at records into ranges of some megabytes,
+which are dealt out to as many tasks and read record by record; a revisit gets
+its payload's length from the response that it refers to.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from alertspark.session import shared_path
 
 RUN_ROWS = 50_000
 FILE_BYTES = 1 << 28
+#: Bytes of archive that one task reads back, up to the record that crosses them.
+READ_BYTES = 1 << 25
 _LEVEL = 4
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -236,8 +239,29 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, raw[end + 4 : end + 4 + int(fields["Content-Length"])]
 
 
-def read_archives(files: DataFrame, folder: str) -> DataFrame:
-    """Records of the archives named by ``files`` (file): id, url, payload_bytes, payload_digest, record_type, refers_to.
+class _Range:
+    """The bytes ``start`` to ``end`` of an open file, as a stream."""
+
+    def __init__(self, file, start: int, end: int):
+        self.file, self.left = file, end - start
+        file.seek(start)
+
+    def read(self, size: int) -> bytes:
+        data = self.file.read(min(size, self.left)) if self.left else b""
+        if self.left and not data:
+            raise ValueError("the archive ends before its last record")
+        self.left -= len(data)
+        return data
+
+
+def record_ranges(index: DataFrame) -> DataFrame:
+    """(file, start, end) of whole records that follow each other, READ_BYTES or a little more; records of an index don't overlap."""
+    piece = F.floor(F.col("offset") / READ_BYTES)
+    return index.groupBy("file", piece.alias("piece")).agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("end")).select("file", "start", "end")
+
+
+def read_archives(ranges: DataFrame, folder: str) -> DataFrame:
+    """Records in the ``ranges`` (file, start, end) of the archives: id, url, payload_bytes, payload_digest, record_type, refers_to.
 
     Length and digest are those of the payload that was read; for a revisit,
     which has none, the digest is the stated one and the length null.
@@ -246,10 +270,10 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
 
     def run(batches):
         fs, root = pafs.FileSystem.from_uri(folder)
-        for name in (x for b in batches for x in b.column(0).to_pylist()):
+        for name, start, end in (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns))):
             rows = []
-            with fs.open_input_stream(f"{root}/{name}", compression=None) as stream:
-                for raw in read_members(stream):
+            with fs.open_input_file(f"{root}/{name}") as file:
+                for raw in read_members(_Range(file, start, end)):
                     f, block = parse_record(raw)
                     i, kind = f.get("X-Source-Id"), f["WARC-Type"]
                     digest, size, refers = f["WARC-Payload-Digest"].removeprefix("sha1:"), None, None
@@ -268,7 +292,9 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), arrow)], schema=arrow)
 
-    return files.select("file").mapInArrow(run, "id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # a stated number of partitions: adaptive execution would put the few narrow rows into one task
+    dealt = ranges.select("file", "start", "end").repartition(max(1, ranges.count()))
+    return dealt.mapInArrow(run, "id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def captures_of(pages: DataFrame, id_col: str, url_col: str, html_col: str, ts: F.Column, scratch: Scratch) -> DataFrame:
@@ -305,8 +331,8 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """
     scratch = Scratch(pages.sparkSession)
     history, _, folder = archive(pages, id_col, url_col, html_col, ts)
-    files = history.select("file").distinct()
-    read = scratch.keep(read_archives(files, folder), "records")
+    ranges = scratch.keep(record_ranges(history), "ranges")
+    read = scratch.keep(read_archives(ranges, folder), "records")
     first = read.filter("record_type = 'response' and id is not null").groupBy(F.col("id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("full"))
     first = scratch.keep(first, "responses")
     rows = read.join(first, ["refers_to", "payload_digest"], "left")

@@ -7,6 +7,8 @@ import random
 import pyarrow.fs as pafs
 from pyspark.sql import functions as F
 
+from alertspark.llm import warc
+from alertspark.llm.common import Scratch
 from alertspark.llm.warc import LoserTree, _order, archive, parse_record, read_members, round_trip, url_key
 
 SCHEMA = "page_id long, url string, html string, first string, d string"
@@ -49,6 +51,26 @@ def test_history_is_in_order_and_points_at_its_records(spark):
         assert fields["WARC-Type"] == r[6] and fields["WARC-Payload-Digest"] == f"sha1:{r[7]}" and fields.get("X-Source-Id") == (None if r[2] is None else str(r[2]))
 
 
+def test_archives_are_read_back_by_several_tasks(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(i, f"http://a.org/{i}", rnd.randbytes(2_000).hex(), None, None) for i in range(200)]
+    one_file = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    tasks = []
+    keep = Scratch.keep
+
+    def watched(self, df, name):
+        if name == "records":
+            tasks.append(sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()))
+        return keep(self, df, name)
+
+    monkeypatch.setattr(Scratch, "keep", watched)
+    six = sorted((r["page_id"], r["payload_bytes"]) for r in round_trip(spark.createDataFrame(rows, SCHEMA).repartition(6)).collect())
+    monkeypatch.setattr(warc, "READ_BYTES", 50_000, raising=False)
+    one = sorted((r["page_id"], r["payload_bytes"]) for r in round_trip(one_file).collect())
+    assert six == one == [(i, 4_000) for i in range(200)]
+    assert len(tasks[0]) == 6 and len(tasks[1]) > 4 and max(tasks[1]) < 60, tasks
+
+
 def test_loser_tree():
     rnd = random.Random(9)
     for k in (0, 1, 2, 3, 5, 8, 13):
