@@ -35,6 +35,30 @@ def test_reader(html, text):
     assert _text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<div class='content has-sidebar'><p>a</p><div class=sidebar>s</div></div>", "a"),
+        ("<div id=page class=cookies-enabled><p>a</p><div class=cookieNotice>c</div></div>", "a"),
+        ("<div class=layout-nav-left><div class='site-nav'>n</div><p>a</p></div>", "a"),
+        ("<body style='display:none'><p>a</p></body>", "a"),
+        ("<form id=aspnetForm><nav>n</nav><article><p>a</p></article><div class=footer>f</div></form>", "a"),
+        ("<body><form id=aspnetForm><div class='ad-300x250'>ad</div><h1>T</h1><p>a</p></form><p>after the long rest", "T\na\nafter the long rest"),
+        ("<form><div><p>the text of the page</p></div><nav>n</nav></form><p>c</p>", "the text of the page\nc"),
+        ("<article><table class=related-work><tr><td>r</table><div class=share-price>9</div><div class='share-buttons'>x</div>a</article>", "r\n9\na"),
+        ("<div class=widget><nav>n</nav><article><p>the article</p><aside>s</aside></article><p>x</p></div><p>c</p>", "the article"),
+        ("<table><tr><td class=sidebar><main><p>m</p></main><td class=menu>n</table>", "m"),
+        ("<main><p>m</p><div class=widget><article>a</article></div></main><footer>f</footer>", "m\na"),
+        ("<article>a<div class=comments><article>c</article></div></article><div class=related><article>t</article></div>", "a"),
+        ("<aside><article>teaser</article></aside><p>the long text of the page</p>", "teaser\nthe long text of the page"),
+        ("<article class='notice'><p>all there is</p></article>", "all there is"),
+        ("<p>a <span class=share>x</span> b<p>c <button>y</button>d", "a b\nc d"),
+    ],
+)
+def test_marked_branches_with_the_article_inside_stay(html, text):
+    assert _text(html) == text
+
+
 def test_host():
     assert [host_of(u) for u in (None, "", "HTTPS://u@A.com:80/x", "a.org/b")] == ["", "", "a.com", "a.org"]
 
