@@ -42,6 +42,28 @@ def test_edited_copies_repeats_and_clean_texts(spark):
     assert _scan(spark, []) == []
 
 
+def test_variants_have_their_own_names_and_whole_texts_are_found(spark):
+    notices = {
+        "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0-notice"],
+        "This work is licensed under the GNU General Public License, version 7.": [],
+        "This work is licensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0-notice"],
+        "Licensed under CC BY 4.0.": ["CC-BY-4.0-notice"],
+        "Licensed under CC BY-SA 4.0.": ["CC-BY-SA-4.0-notice"],
+        "Licensed under CC BY-NC 4.0.": ["CC-BY-NC-4.0-notice"],
+        "Licensed under CC BY-NC 5.0.": [],
+        "Released under the BSD License.": ["BSD-notice"],
+        "Released under the Foo License.": [],
+        TEMPLATES["BSD-2-Clause"]: ["BSD-2-Clause"],
+        TEMPLATES["BSD-3-Clause"]: ["BSD-3-Clause"],
+        TEMPLATES["MIT-grant"]: ["MIT-grant"],
+        "x " * 50 + TEMPLATES["GPL-2.0-text"] + " y" * 50: ["GPL-2.0-text"],
+        " ".join(w for i, w in enumerate(TEMPLATES["MPL-2.0-text"].split()) if i % 300): ["MPL-2.0-text"],
+    }
+    got = _scan(spark, list(notices))
+    assert [r["licenses"] for r in got] == list(notices.values())
+    assert TEMPLATES["MIT"].endswith("DEALINGS IN THE SOFTWARE.")
+
+
 def test_winnowing_keeps_one_of_each_window():
     h = np.random.default_rng(0).integers(0, 1 << 60, 200).astype(np.uint64)
     at = set(winnow(h, WINDOW).tolist())
