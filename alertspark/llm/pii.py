@@ -1,6 +1,8 @@
 """Format-preserving Feistel pseudonyms for personal data, in DataFrame functions only.
 
-Candidates are found by one pattern, validated by their own rule (Luhn, mod 97,
+Candidates are found by one pattern, in which an IBAN has the length and a phone
+number the digits of its country, so that what follows is not taken in. They are
+validated by their own rule (Luhn, mod 97,
 calendar, octets, ...) and keyed-permuted within their format, so equal values
 get equal pseudonyms in all documents and every pseudonym is valid again:
 
@@ -29,11 +31,36 @@ ROUNDS = 8
 KINDS = ("email", "iban", "date", "ssn", "phone", "ip", "card", "secret")
 
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+# Lengths of the countries' IBANs (registry of SWIFT).
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG YE",
+    25: "AO CV LY MZ PT ST", 26: "IR IS TR", 27: "BF BI CF CG CM DJ FR GA GQ GR IT KM MC MG ML MR SM",
+    28: "AL AZ BJ BY CI CY DO GT GW HN HU LB MA NE NI PL SN SV TD TG", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: Digits after the country code, most first (all codes are free of prefixes of each other).
+_PHONE_DIGITS = {
+    (10, 10): "1 7 30 52 57 63 90 91 92", (9, 9): "27 31 33 34 41 48 51 56 61 94 212 213 251 254 255 256 351 375 380 420 421 593 598 995",
+    (8, 8): "45 47 65 216 370 371 386 502 503 504 505 506 507 852 853 965 968 973 974", (9, 10): "20 44 58 81 84 98", (10, 11): "54 55 86", (8, 9): "32 36 40 66 353 354 357 359 385 886 961 962 966 971 972 977",
+    (8, 10): "60 64 82 234 880", (7, 9): "46 352 381 387 389", (7, 8): "372 356 374 591", (6, 11): "39 49", (7, 12): "43 62 358",
+}
+
+
+def _iban(length: int, countries: str) -> str:
+    fours, rest = divmod(length - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+def _phone(least: int, most: int, codes: str) -> str:
+    return rf"(?:{codes.replace(' ', '|')})(?:[ .-]?[0-9]){{{least},{most}}}"
+
+
+_KNOWN_IBAN, _KNOWN_PHONE = ("|".join(" ".join(x.values()).split()) for x in (_IBAN_LENGTHS, _PHONE_DIGITS))
 _NUMBERS = {
-    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    "iban": r"(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(_iban(*x) for x in _IBAN_LENGTHS.items()) + rf"|(?!{_KNOWN_IBAN})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)",
     "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "phone": r"\+[0-9]{1,3}[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}",
+    "phone": r"\+[0-9]{1,3}[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+(?:" + "|".join(_phone(*n, c) for n, c in _PHONE_DIGITS.items()) + rf"|(?!{_KNOWN_PHONE})[0-9](?:[ .-]?[0-9]){{7,14}})(?<![ .-][0-9])(?![0-9])|[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}",
     "ip": r"(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.[0-9])",
     "card": r"[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,7}|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,7}",
     "secret": r"[0-9a-f]{32,64}|[0-9A-F]{32,64}",

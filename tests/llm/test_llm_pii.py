@@ -63,6 +63,25 @@ def test_every_kind_keeps_its_format_and_stays_valid(spark):
             assert new.split("@")[1] == c.split("@")[1]
 
 
+def _with_check(country, account):
+    n = int("".join(str(int(c, 36)) for c in account + country + "00"))
+    return f"{country}{98 - n % 97:02d}{account}"
+
+
+def test_what_follows_a_number_is_not_taken_in(spark):
+    by_four = [_with_check("AT", "1904300234573201"), _with_check("PL", "109010140000071219812874"), _with_check("CZ", "08000000192000145399")]
+    ibans = ["ES9121000418450200051332", "BE68 5390 0754 7034", *by_four, "GB82WEST12345698765432"]
+    phones = ["+1 212 555 1234", "+44 20 7946 0958", "+49 30 12345678", "+33 1 42 68 53 00", "+48 22 123 45 67"]
+    cases = [("iban", v, f) for v in ibans for f in ("EUR 500", "BIC X", "2024", "AB1")] + [("phone", v, f) for v in phones for f in ("2024", "EUR", "20 2024 1234", "5 times")]
+    got = _run(spark, [f"to {v} {f}" for _, v, f in cases])
+    alone = {v: r["text"] for v, r in zip(ibans + phones, _run(spark, [f"to {v}" for v in ibans + phones]))}
+    for (kind, v, f), r in zip(cases, got):
+        assert r[f"n_{kind}"] == 1 and sum(r[f"n_{k}"] for k in KINDS) == 1, (v, f, r)
+        assert r["text"] == f"{alone[v]} {f}" and alone[v] != f"to {v}", (v, f, r)
+        if kind == "iban":
+            assert _iban(alone[v][3:])
+
+
 def test_clean_texts_stay(spark):
     got = _run(spark, CLEAN)
     assert [r["text"] for r in got] == CLEAN
