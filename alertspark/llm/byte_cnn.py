@@ -152,7 +152,11 @@ def _held_out(id_col: str) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Net:
-    """Fit on labelled documents that aren't held out: the SAMPLE of each class with the smallest id hashes."""
+    """Fit on labelled documents that aren't held out: the SAMPLE of each class with the smallest id hashes.
+
+    An id is one text, however often its row is repeated: the smallest of its
+    texts as they are cut.
+    """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
     known = known.filter(~_held_out("id")).withColumn("h", F.xxhash64("id"))
     some = [known.filter(F.col("label") == c).orderBy("h", "id").limit(SAMPLE) for c in (0, 1)]
@@ -176,8 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 out.append(raw)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "label", "raw"])
 
-    schema = T.StructType([docs.schema[id_col], T.StructField("label", T.IntegerType()), T.StructField("raw", T.BinaryType())])
-    got = sorted((r[0], r[1], bytes(r[2])) for r in texts.mapInArrow(cut, schema).collect())
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("label", T.IntegerType()), T.StructField("raw", T.BinaryType())])
+    one = texts.mapInArrow(cut, schema).groupBy("id", "label").agg(F.min("raw").alias("raw"))
+    got = sorted((r[0], r[1], bytes(r[2])) for r in one.collect())
     odds = of_class[1] / of_class[0] if len(of_class) == 2 else None
     return fit([r[2] for r in got], [r[1] for r in got], odds)
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from conftest import SF_ORACLE
 
+from alertspark.llm import byte_cnn
 from alertspark.llm.byte_cnn import BLOCK, WIDTH, Net, _accumulate, _new_net, classify, fit, score_quality
 
 
@@ -63,6 +64,17 @@ def test_held_out_accuracy(spark):
     assert auc > 0.9 and np.mean([r["predicted"] for r in good]) > 0.95, (auc, len(good), len(bad))
 
 
+def test_a_repeated_id_is_one_training_text(spark, monkeypatch):
+    texts = [(i, f"text {i} " * 20) for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(byte_cnn, "fit", lambda raws, ys, odds=None: seen.append((raws, ys, odds)))
+    byte_cnn.train(spark.createDataFrame(texts, "doc_id long, text string"), labels)
+    again = [(i, t) for i, t in texts for _ in range(300)] + [(1, "zzz")]
+    byte_cnn.train(spark.createDataFrame(again, "doc_id long, text string").repartition(7), labels)
+    assert seen[0] == seen[1] and 0 < len(seen[0][0]) <= 20
+
+
 def test_edge_rows(spark, net):
     rows = [(1, None, 9.0), (2, "", 1.0), (3, "x" * 300_000, 1.0), (3, "x" * 300_000, 1.0), (None, "é", 1.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, score double")
