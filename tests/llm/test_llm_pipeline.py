@@ -35,7 +35,7 @@ def test_stages_one_by_one(spark):
 def test_registered():
     assert E.queries()["pipeline"].__wrapped__ is P.run
     numbers = {n.split("_")[0] for n in E.queries() if n.startswith("op")}
-    assert numbers == {f"op{i}" for i in range(1, 11)}
+    assert numbers == {f"op{i}" for i in range(1, 14)}
 
 
 def test_null_ids_and_empty_table(spark):
