@@ -41,14 +41,30 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write(self, df: DataFrame, name: str, by: str) -> str:
+        """Write a table in folders by a column; its path."""
+        path = shared_path(self.spark, name)
+        self.paths.setdefault(name, []).append(path)
+        df.write.partitionBy(by).parquet(path)
+        return path
+
+    def _at(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def exists(self, path: str) -> bool:
+        fs, p = self._at(path)
+        return fs.exists(p)
+
+    def drop(self, *names: str) -> None:
+        """Delete the tables of these names; call it when no plan in use reads them."""
+        for name in names:
+            for path in self.paths.pop(name, []):
+                fs, p = self._at(path)
+                fs.delete(p, True)
+
     def drop_all_but(self, *names: str) -> None:
-        """Delete the tables of other names; call it when no plan in use reads them."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in [n for n in self.paths if n not in names]:
-            for path in self.paths.pop(name):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+        self.drop(*[n for n in self.paths if n not in names])
 
 
 def bit_table(keys: DataFrame, column: str) -> np.ndarray:

@@ -47,5 +47,34 @@ member AS (
   FROM s LEFT JOIN sets t ON len(s.g) > 0 AND md5(CAST(s.short AS VARCHAR) || array_to_string(list_sort(s.g), chr(10))) = t.class LEFT JOIN comp c ON c.rep = t.rep
 )
 SELECT doc_id, n_shingles, component_id, doc_id = component_id kept FROM n JOIN member USING (doc_id)
+""",
+    "op11_collocations": f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') lang, unnest(regexp_split_to_array(coalesce({_LOWER}, ''), '[.,;:!?\\x0A-\\x0D]')) p FROM documents
+), w AS (
+  SELECT lang, [x FOR x IN regexp_split_to_array(p, '[\\x20\\x09]+') IF x <> ''] w FROM pieces
+), n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, phrase, any_value(k) k, count(*) f FROM (
+    SELECT lang, k, array_to_string(list_slice(w, s, s + k - 1), ' ') phrase
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) s FROM w, (SELECT unnest(range(1, 6)) k) WHERE len(w) >= k)
+  ) GROUP BY lang, phrase HAVING count(*) >= 100
+), c AS (SELECT lang, phrase, k, f a, string_split(phrase, ' ') w FROM f WHERE k > 1),
+cuts AS (SELECT lang, phrase, a, w, k, unnest(range(1, k)) i FROM c),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, i, l.f l, r.f r, n.n,
+         CAST((1000::HUGEINT * a * n.n) // (l.f::HUGEINT * r.f) AS BIGINT) score
+  FROM cuts JOIN n ON n.lang = cuts.lang
+  JOIN f l ON l.lang = cuts.lang AND l.phrase = array_to_string(list_slice(cuts.w, 1, i), ' ')
+  JOIN f r ON r.lang = cuts.lang AND r.phrase = array_to_string(list_slice(cuts.w, i + 1, cuts.k), ' ')
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+inner_ AS (
+  SELECT DISTINCT lang, array_to_string(list_slice(w, s, s + m - 1), ' ') phrase, a longer
+  FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) s FROM (SELECT lang, w, a, k, unnest(range(2, k)) m FROM c WHERE k > 2))
+), kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM inner_ x WHERE x.lang = b.lang AND x.phrase = b.phrase AND 100 * x.longer >= 100 * b.a)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) "rank", phrase, a, l, r, n, score
+FROM kept QUALIFY "rank" <= 2000
 """,
 }

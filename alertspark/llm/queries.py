@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from alertspark.llm import warc
 from alertspark.llm.bpe_codec import round_trip
 from alertspark.llm.byte_cnn import score_quality
+from alertspark.llm.collocations import collocations
 from alertspark.llm.decontam import contamination
 from alertspark.llm.license_scan import scan_licenses
 from alertspark.llm.minhash_dedup import near_duplicates
@@ -75,6 +76,10 @@ def op10_b_bit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"), least=100, longest=5, top=2000, percent=100)
+
+
 def planted(doc_id: int | None, n: int) -> np.ndarray | None:
     """The word order that the contract of op12 asks for: one document in ten repeats a stretch of itself up to its end."""
     if doc_id is None or not n:
@@ -118,6 +123,7 @@ QUERIES = {f.__name__: f for f in (
     op8_token_counts,
     op9_bpe_round_trip,
     op10_b_bit_minhash,
+    op11_collocations,
     op12_periodic_runs,
     op13_toxicity_gru,
 )}
