@@ -7,6 +7,8 @@ result columns as the Spark query of the same key.
 
 from __future__ import annotations
 
+from alertspark import oracle_sso
+
 D = "::DOUBLE"
 
 # Flat alerts from events (same expressions as alertspark.sources.fixtures.flat_alerts).
@@ -94,6 +96,7 @@ FROM (SELECT *, list_filter(cjd, lambda x, i: cmagpsf[i] IS NOT NULL) AS dj FROM
     _stamps(q)
     _supervised(q)
     _sso_user(q)
+    oracle_sso.add(q, FLAT)
     _checks(q)
     return q
 

@@ -575,7 +575,7 @@ def q_cats_score_nomd(spark, sf_dir):
 
 # ---------------------------------------------------------------- E13: solar-system phase curves
 
-from alertspark.operators import sso  # noqa: E402
+from alertspark.operators import sso, sso_spin  # noqa: E402
 
 
 def _sso_obs(spark, sf_dir):
@@ -591,15 +591,32 @@ def q_sso_phase_linear(spark, sf_dir):
 @query("sso_hg1g2")
 def q_sso_hg1g2(spark, sf_dir):
     r = sso.hg1g2(_sso_obs(spark, sf_dir))
-    return r.select("ssnamenr", "fid", "n_obs", F.col("fit.H").alias("H"), F.col("fit.G1").alias("G1"),
-                    F.col("fit.G2").alias("G2"), "status", "chi2")
+    return r.select("ssnamenr", "fid", "n_obs", *[F.round(f"fit.{k}", 4).alias(k) for k in ("H", "G1", "G2")],
+                    "status", F.round(F.col("chi2") / F.col("yy"), 6).alias("misfit"))
+
+
+@query("sso_grid")
+def q_sso_grid(spark, sf_dir):
+    """chi2 of every object at every point of the coarse grid, as a share of its data's sum of squares."""
+    r = sso_spin.grid_chi2(_sso_obs(spark, sf_dir))
+    return r.select("ssnamenr", "g", F.round("ra0", 6).alias("ra0"), "dec0", "R", F.round(F.col("chi2") / F.col("vv"), 7).alias("misfit"))
 
 
 @query("sso_spin")
 def q_sso_spin(spark, sf_dir):
-    r = sso.spin(_sso_obs(spark, sf_dir))
-    return r.select("ssnamenr", "n_obs", F.col("fit.ra0").alias("ra0"), F.col("fit.dec0").alias("dec0"),
-                    F.col("fit.R").alias("R"), "chi2", "status")
+    r = sso_spin.joint_model(_sso_obs(spark, sf_dir))
+    return r.select("ssnamenr", "n_obs", F.round("ra0", 3).alias("ra0"), F.round("dec0", 3).alias("dec0"), F.round("R", 4).alias("R"),
+                    F.round("misfit", 6).alias("misfit"), "status")
+
+
+@query("ssoft_params")
+def q_ssoft_params(spark, sf_dir):
+    """The module on the aggregated table of arrays: a row per object and band of the joint model."""
+    agg = fx.sso_aggregated(spark, sf_dir)
+    r = mods.apply_modules(agg, ["SSOFT"], {"ephemerides": fx.ephemerides(spark, sf_dir)})
+    j = F.col("ssoft_params.joint")
+    return r.select("ssnamenr", j["status"].alias("status"), j["R"].alias("R"), F.explode(j["bands"]).alias("b")).select(
+        "ssnamenr", "b.fid", "status", "b.n_obs", F.round("R", 4).alias("R"), *[F.round(f"b.{k}", 4).alias(k) for k in ("H", "G1", "G2")])
 
 
 # ---------------------------------------------------------------- E6: anomaly
