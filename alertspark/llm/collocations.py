@@ -7,10 +7,13 @@ have reached the threshold, and for one full cycle, so that it meets every
 shard once; lengths are thereby interleaved, and counting ends when no phrase is
 left in its cycle.
 
+* While phrases come and go they are known by 64-bit hashes, so that a step
+  shuffles two numbers a phrase. Equal hashes could only let a phrase pass that
+  isn't frequent; one last scan counts the phrases that passed by their words.
 * Which phrases are counted is decided in the scan by two bit tables of fixed
   size (phrases that reached the threshold, and those that did so within the
   last cycle); a bit too many costs counting, never a wrong count, and when the
-  tables fill, exact semi-joins stand behind them.
+  tables fill, semi-joins stand behind them.
 * Any SHARDS steps in a row meet each shard once, so a phrase's count over the
   last cycle is the sum of its last SHARDS step tables. Only phrases with a
   SHARDS-th of the threshold in some step can reach it, so only those are summed.
@@ -28,14 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from alertspark.llm.common import TABLE_BITS, Scratch, bit_table, in_table, lower_table, mix, text_buffers
+from alertspark.llm.common import TABLE_BITS, Scratch, WordHasher, bit_table, in_table, mix, text_buffers
 
-SHARDS = 4
-#: Bytes of text whose phrases are counted together before they leave a task.
-AT_ONCE = 1 << 21
+SHARDS = 3
+#: Bytes of text worked on at once; phrases counted together before they leave a task, or spelled at once.
+AT_ONCE, HELD, SPELLED = 1 << 20, 1 << 20, 1 << 15
 #: Share of set bits above which the scan's choice is checked by joins.
 FULL = 0.25
-_LOWER = lower_table()
 _BREAK = np.zeros(256, bool)
 _BREAK[list(b".,;:!?\n\v\f\r")] = True
 _GAP = _BREAK.copy()
@@ -67,34 +69,34 @@ def _spans(texts: pa.Array, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarr
         i = j
 
 
+def _marked(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash with the number of words in its four highest bits."""
+    return h >> np.uint64(4) | np.uint64(k << 60)
+
+
 class Span:
-    """Words of a span: numbers of the distinct words, place in the piece, language, and hashes of the phrases that end there."""
-
-    def __init__(self, data: np.ndarray, ends: np.ndarray, lang: np.ndarray, lang_hash: np.ndarray):
-        low = _LOWER[data]
-        word = ~_GAP[low]
-        head, tail = word.copy(), word.copy()
-        head[1:] &= ~word[:-1]
-        tail[:-1] &= ~word[1:]
-        cut = ends[(ends > 0) & (ends < len(low))]
-        head[cut], tail[cut - 1] = word[cut], word[cut - 1]
-        start, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
-        doc = np.searchsorted(ends, start, "right")
+    """Words of a span: place in the piece, language, and hashes of the phrases that end there."""
+
+    def __init__(self, hasher: WordHasher, data: np.ndarray, ends: np.ndarray, lang: np.ndarray, lang_hash: np.ndarray):
+        self.low, self.start, self.end, self.own = hasher.piece(data, ends)
+        doc = np.searchsorted(ends, self.start, "right")
         # a piece begins behind a break and with a document
-        part = np.cumsum(_BREAK[low])[start] + doc
-        at = np.arange(len(start))
-        first = np.concatenate([[True], part[1:] != part[:-1]]) if len(start) else np.zeros(0, bool)
+        part = np.cumsum(_BREAK[self.low], dtype=np.int32)[self.start] + doc
+        at = np.arange(len(part))
+        first = np.ones(len(part), bool)
+        first[1:] = part[1:] != part[:-1]
         self.place = at - np.maximum.accumulate(np.where(first, at, 0))
-        both = np.empty(2 * len(start), np.int64)
-        both[0::2], both[1::2] = start, end
-        pieces = pa.Array.from_buffers(pa.large_binary(), max(0, len(both) - 1), [None, pa.py_buffer(both), pa.py_buffer(low)])
+        self.lang = lang[doc]
+        self.hash = _marked(mix(self.own ^ lang_hash[self.lang]), 1)
+
+    def name_words(self) -> None:
+        """Number the distinct words, and lay them out again, each followed by one space."""
+        both = np.empty(2 * len(self.start), np.int64)
+        both[0::2], both[1::2] = self.start, self.end
+        pieces = pa.Array.from_buffers(pa.large_binary(), max(0, len(both) - 1), [None, pa.py_buffer(both), pa.py_buffer(self.low)])
         found = pieces.take(pa.array(np.arange(0, len(both), 2))).dictionary_encode()
         distinct = found.dictionary.to_pylist()
         self.code = found.indices.to_numpy()
-        self.lang = lang[doc]
-        self.own = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))[self.code]
-        self.hash = mix(self.own ^ lang_hash[self.lang])
-        # the words again, each followed by one space
         size = np.fromiter((len(w) + 1 for w in distinct), np.int64, len(distinct))
         self.flat = np.frombuffer(b"".join(w + b" " for w in distinct), np.uint8)
         self.at, self.size = (np.cumsum(size) - size)[self.code], size[self.code]
@@ -102,9 +104,17 @@ class Span:
     def grow(self, k: int, prefix: np.ndarray) -> np.ndarray:
         """Hashes of the phrases of k words by their last word; ``prefix`` are those of k - 1 words."""
         out = np.zeros_like(prefix)
-        out[1:] = mix(prefix[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.own[1:] + np.uint64(k))
+        out[1:] = _marked(mix(prefix[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.own[1:]), k)
         return out
 
+    def __iter__(self):
+        """(k, hashes of the phrases of k - 1 words, and of k words) for k = 1, 2, ..."""
+        k, before, hashes = 1, self.hash, self.hash
+        while True:
+            yield k, before, hashes
+            k, before = k + 1, hashes
+            hashes = self.grow(k, hashes)
+
     def groups(self, k: int, last: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Last word of one phrase of each kind and how often each occurs; equal hashes are checked word by word."""
         _, one, which, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
@@ -132,102 +142,138 @@ class Span:
         return pa.Array.from_buffers(pa.large_string(), len(last), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat[keep])]).cast(pa.string())
 
 
-_SCAN = "lang string, phrase string, k int, h bigint, first bigint, rest bigint, c bigint"
+def _read(hasher: WordHasher, batch: pa.RecordBatch, at_once: int) -> Iterator[tuple[Span, list[str]]]:
+    langs = batch.column(0).dictionary_encode()
+    names = langs.dictionary.to_pylist()
+    code, lang_hash = langs.indices.to_numpy(), np.array([xxhash.xxh3_64_intdigest(x.encode(), 1) for x in names], np.uint64)
+    for data, ends, docs in _spans(batch.column(1), at_once):
+        yield Span(hasher, data, ends, code[docs], lang_hash), names
 
 
-def scan(shard: DataFrame, words: bool, tables, longest: int, at_once: int = AT_ONCE) -> DataFrame:
-    """Phrases of a shard (lang, text) that are counted in this step, with their counts within a span of a task.
+def step_counts(shard: DataFrame, words: bool, tables, longest: int, parts: bool = False, at_once: int = AT_ONCE) -> DataFrame:
+    """Hashes of the phrases of a shard (lang, text) that are counted in this step, with their counts within a part of a task.
 
-    ``words``: whether single words are; ``tables``: broadcast (reached,
-    reached within the last cycle) or None.
+    ``words``: whether single words are counted; ``tables``: broadcast (reached,
+    reached within the last cycle) or None; ``parts``: also the hashes of the
+    phrase without its last and without its first word.
     """
 
+    def merged(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h, first, rest = (np.concatenate(a) for a in zip(*held))
+        h, one, c = np.unique(h, return_index=True, return_counts=True)
+        cols = [pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))] + [pa.array(a[one].view(np.int64)) for a in (first, rest) if parts]
+        return pa.RecordBatch.from_arrays(cols, names=["h", "c", "first", "rest"][: len(cols)])
+
     def count(batches):
         reached, recent = tables.value if tables is not None else (None, None)
+        held, n, hasher = [], 0, WordHasher(~_GAP)
+        for span in (span for batch in batches for span, _ in _read(hasher, batch, at_once)):
+            for k, before, hashes in span:
+                if k == 1:
+                    last = np.arange(len(hashes)) if words else np.zeros(0, np.int64)
+                elif k > longest or reached is None:
+                    break
+                else:
+                    known = in_table(reached, before)
+                    last = np.flatnonzero(known[1:] & known[:-1] & (span.place[1:] >= k - 1)) + 1
+                    if not len(last):
+                        break
+                    last = last[in_table(recent, before[last]) | in_table(recent, before[last - 1])]
+                if len(last):
+                    held.append((hashes[last], before[last - 1] if parts and k > 1 else hashes[last], before[last]))
+                    n += len(last)
+                if n >= HELD:
+                    yield merged(held)
+                    held, n = [], 0
+        if held:
+            yield merged(held)
+
+    return shard.select("lang", "text").mapInArrow(count, "h bigint, c bigint" + ", first bigint, rest bigint" * parts)
+
+
+def spelled_counts(docs: DataFrame, passed, longest: int, at_once: int = AT_ONCE) -> DataFrame:
+    """(lang, phrase, k, c): the phrases whose hashes are in the broadcast bit table, counted by their words; k = 0 counts a language's words."""
+
+    def count(batches):
+        table, hasher = passed.value, WordHasher(~_GAP)
         for batch in batches:
-            langs = batch.column(0).dictionary_encode()
-            names = langs.dictionary.to_pylist()
-            code, lang_hash = langs.indices.to_numpy(), np.array([xxhash.xxh3_64_intdigest(x.encode(), 1) for x in names], np.uint64)
-            for data, ends, docs in _spans(batch.column(1), at_once):
-                span = Span(data, ends, code[docs], lang_hash)
-                hashes, before = span.hash, None
-                for k in range(1, longest + 1):
-                    if k == 1:
-                        last = np.arange(len(hashes)) if words else np.zeros(0, np.int64)
-                    elif reached is None:
+            for span, names in _read(hasher, batch, at_once):
+                span.name_words()
+                lang_of = pa.array(names, pa.string())
+                per_lang = np.bincount(span.lang, minlength=len(names))
+                yield pa.RecordBatch.from_arrays([lang_of, pa.array([""] * len(names)), pa.array(np.zeros(len(names), np.int32)), pa.array(per_lang.astype(np.int64))], names=["lang", "phrase", "k", "c"])
+                for k, before, hashes in span:
+                    if k > longest:
                         break
-                    else:
-                        before, hashes = hashes, span.grow(k, hashes)
-                        known = in_table(reached, before)
-                        live = known[1:] & known[:-1] & (span.place[1:] >= k - 1)
-                        last = np.flatnonzero(live) + 1
-                        last = last[in_table(recent, before[last]) | in_table(recent, before[last - 1])]
-                        if not live.any():
-                            break
-                    if len(last):
-                        last, c = span.groups(k, last, hashes[last])
-                        first, rest = (before[last - 1], before[last]) if k > 1 else (hashes[last], hashes[last])
-                        cols = [pa.DictionaryArray.from_arrays(pa.array(span.lang[last]), pa.array(names)).cast(pa.string()), span.spell(k, last), pa.array(np.full(len(last), k, np.int32))]
-                        cols += [pa.array(a.view(np.int64)) for a in (hashes[last], first, rest)] + [pa.array(c.astype(np.int64))]
-                        yield pa.RecordBatch.from_arrays(cols, names=["lang", "phrase", "k", "h", "first", "rest", "c"])
-
-    return shard.select("lang", "text").mapInArrow(count, _SCAN)
-
-
-def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shards: int = SHARDS, lang_col: str = "lang", text_col: str = "text", scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, k, f) of all phrases of up to ``longest`` words with f >= least, and (lang, n) with the words of each language."""
-    spark, scratch = docs.sparkSession, scratch or Scratch(docs.sparkSession)
-    dealt = docs.select(F.coalesce(lang_col, F.lit("und")).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text"), (F.monotonically_increasing_id() % shards).cast("int").alias("shard"))
-    home = scratch.write(dealt, "shards", "shard")
-    counted = "lang string, phrase string, k int, h bigint, c bigint"
-    share = -(-least // shards)
-    counts: list[str] = []  # paths of the last steps' tables; big=1 holds what may reach the threshold
-    reached: list[DataFrame] = []
-    bits: list[np.ndarray] = []  # of what a step was the first to see reach the threshold
+                    last = np.flatnonzero((span.place >= k - 1) & in_table(table, hashes))
+                    if not len(last):
+                        break
+                    last, c = span.groups(k, last, hashes[last])
+                    for i in range(0, len(last), SPELLED):
+                        some = last[i : i + SPELLED]
+                        cols = [lang_of.take(pa.array(span.lang[some])), span.spell(k, some), pa.array(np.full(len(some), k, np.int32)), pa.array(c[i : i + SPELLED].astype(np.int64))]
+                        yield pa.RecordBatch.from_arrays(cols, names=["lang", "phrase", "k", "c"])
+
+    return docs.select("lang", "text").mapInArrow(count, "lang string, phrase string, k int, c bigint")
+
+
+def passing(home: str, docs: DataFrame, least: int, longest: int, shards: int, scratch: Scratch) -> np.ndarray:
+    """The cyclic scans over the shards in ``home``: a bit table of the phrases that reached the threshold."""
+    spark, share = docs.sparkSession, -(-least // shards)
+    counts: list[list[str]] = []  # folders of the last steps' tables; big=1 holds what may reach the threshold
+    reached: list[str] = []
+    bits: list[np.ndarray] = []  # of what each step of the last cycle was the first to see reach the threshold
     known = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
-    n, step = None, 0
-    read = lambda path: spark.read.schema(counted).parquet(path).select("lang", "phrase", "k", "h", "c")
-    while step < shards or any(b.any() for b in bits[-shards:]):
-        shard = spark.read.schema("lang string, text string, shard int").option("basePath", home).parquet(home).filter(F.col("shard") == step % shards)
-        recent = reduce(np.bitwise_or, bits[-shards:]) if bits else None
-        tables = spark.sparkContext.broadcast((known, recent)) if recent is not None and recent.any() else None
-        rows = scan(shard, step < shards, tables, longest)
-        if tables is not None and np.unpackbits(known).mean() > FULL:
-            rows = _truly_counted(rows, reduce(DataFrame.unionAll, [r.select("h") for r in reached]))
-        total = rows.groupBy("lang", "phrase").agg(F.max("k").alias("k"), F.max("h").alias("h"), F.sum("c").alias("c"))
-        counts.append(scratch.write(total.withColumn("big", (F.col("c") >= share).cast("int")), f"step{step}", "big"))
+    read = lambda folders, *cols: spark.read.schema("h bigint, c bigint, f bigint").parquet(*folders).select(*cols)
+    step = 0
+    while step < shards or any(b.any() for b in bits):
+        shard = spark.read.schema("lang string, text string, shard int").parquet(home).filter(F.col("shard") == step % shards)
+        recent = reduce(np.bitwise_or, bits) if bits else known
+        tables = spark.sparkContext.broadcast((known, recent)) if recent.any() else None
+        full = bool(np.bitwise_count(known).sum() > FULL * (1 << TABLE_BITS))
+        rows = step_counts(shard, step < shards, tables, longest, full)
+        if full:
+            rows = _truly_counted(rows, read(reached, "h"))
+        path = scratch.write(rows.groupBy("h").agg(F.sum("c").alias("c")).withColumn("big", (F.col("c") >= share).cast("int")), f"step{step}", "big")
+        counts = [*counts, [f for f in (f"{path}/big=0", f"{path}/big=1") if scratch.exists(f)]][-shards:]
         if tables is not None:
             tables.destroy()
-        window = [read(p) for p in counts[-shards:]]
-        if step == shards - 1:
-            n = scratch.keep(reduce(DataFrame.unionAll, window).filter("k = 1").groupBy("lang").agg(F.sum("c").alias("n")), "words")
-        big = [read(f"{p}/big=1").select("lang", "phrase") for p in counts[-shards:] if scratch.exists(f"{p}/big=1")]
+        big, new = [f for some in counts for f in some if f.endswith("1")], np.zeros_like(known)
         if big:
-            followed = reduce(DataFrame.unionAll, window).join(reduce(DataFrame.unionAll, big), ["lang", "phrase"], "left_semi")
-            sums = followed.groupBy("lang", "phrase").agg(F.max("k").alias("k"), F.max("h").alias("h"), F.sum("c").alias("f")).filter(F.col("f") >= least)
-            old = reduce(DataFrame.unionAll, [r.select("lang", "phrase") for r in reached]).distinct().withColumn("old", F.lit(True)) if reached else None
-            sums = sums.join(old, ["lang", "phrase"], "left") if old is not None else sums.withColumn("old", F.lit(None).cast("boolean"))
-            reached.append(scratch.keep(sums.select("lang", "phrase", "k", "h", "f", F.col("old").isNull().alias("new")), f"reached{step}"))
-            bits.append(bit_table(reached[-1].filter(F.col("new") & (F.col("k") < longest)), "h"))
-        else:
-            bits.append(np.zeros_like(known))
-        known = known | bits[-1]
+            sums = read([f for some in counts for f in some], "h", "c").join(read(big, "h"), "h", "left_semi").groupBy("h").agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
+            first = scratch.keep(sums.join(read(reached, "h"), "h", "left_anti") if reached else sums, "reached")
+            reached.append(scratch.paths["reached"][-1])
+            new = bit_table(first.filter(F.shiftright("h", 60) < longest), "h")
+        bits = [*bits, new][-shards:]
+        known = known | new
         if step >= shards - 1:  # behind the next step's window
             scratch.drop(f"step{step - shards + 1}")
         step += 1
-    found = reduce(DataFrame.unionAll, reached) if reached else spark.createDataFrame([], "lang string, phrase string, k int, h bigint, f bigint, new boolean")
-    # the largest of a phrase's sums is that over its whole cycle
-    out = scratch.keep(found.groupBy("lang", "phrase", "k").agg(F.max("f").alias("f")), "frequent")
-    scratch.drop_all_but("frequent", "words")
-    return out, n
+    return bit_table(read(reached, "h"), "h") if reached else known
 
 
 def _truly_counted(rows: DataFrame, reached: DataFrame) -> DataFrame:
     """Words, and the phrases whose subphrases did reach the threshold."""
-    longer = rows.filter("k > 1")
+    word = F.shiftright("h", 60) == 1
+    longer = rows.filter(~word)
     for part in ("first", "rest"):
         longer = longer.join(reached.select(F.col("h").alias(part)), part, "left_semi")
-    return rows.filter("k = 1").unionByName(longer)
+    return rows.filter(word).unionByName(longer)
+
+
+def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shards: int = SHARDS, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(lang, phrase, k, f) of all phrases of up to ``longest`` words with f >= least, and (lang, n) with the words of each language."""
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    if not 1 <= longest <= 7:
+        raise ValueError("longest must be from 1 to 7")
+    dealt = docs.select(F.coalesce(lang_col, F.lit("und")).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text"), (F.monotonically_increasing_id() % shards).cast("int").alias("shard"))
+    home = scratch.write(dealt, "shards", "shard")
+    passed = spark.sparkContext.broadcast(passing(home, dealt, least, longest, shards, scratch))
+    rows = spelled_counts(spark.read.schema("lang string, text string, shard int").parquet(home), passed, longest)
+    total = rows.groupBy("lang", "phrase", "k").agg(F.sum("c").alias("f"))
+    out = scratch.keep(total.filter((F.col("f") >= least) | (F.col("k") == 0)), "frequent")
+    scratch.drop_all_but("frequent")
+    return out.filter("k > 0"), out.filter("k = 0 and f > 0").select("lang", F.col("f").alias("n"))
 
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, percent: int = 100, shards: int = SHARDS, lang_col: str = "lang", text_col: str = "text") -> DataFrame:

@@ -192,7 +192,7 @@ def score(model: PipelineModel, df: DataFrame, spec: MLSpec, cuts: Column, out:
 def fit_and_score(df: DataFrame, spec: MLSpec, cuts: Column, key: Column, out: str,
                   model: PipelineModel | None = None, keep: list[str] | None = None,
                   materialize: bool = True) -> DataFrame:
-    """Fit on the training side of the object split (rows passing the cuts), score every row.
+    """Fit on the training side of the object split (labelled rows passing the cuts), score every row.
 
     Learners make several passes over their input, which would otherwise
     recompute the whole upstream plan each time, so what the fit reads is
@@ -204,11 +204,12 @@ def fit_and_score(df: DataFrame, spec: MLSpec, cuts: Column, key: Column, out: s
     if keep is not None:
         d = d.select(*keep, spec.label_col, "_cuts", "_train", *spec.feature_cols)
     if model is None:
-        train = d.where(F.col("_train") & F.col("_cuts"))
+        known = F.col("_train") & F.col("_cuts") & F.col(spec.label_col).isNotNull()
+        train = d.where(known)
         if keep is None:  # only what the fit reads is written; the wide frame is scored lazily
             train = train.select(spec.label_col, *spec.feature_cols)
         elif materialize:
             d = reliable_checkpoint(d)
-            train = d.where(F.col("_train") & F.col("_cuts"))
+            train = d.where(known)
         model = fit(reliable_checkpoint(train) if materialize and keep is None else train, spec)
     return score(model, d, spec, F.col("_cuts"), out).drop("_cuts", "_train")

@@ -67,6 +67,8 @@ def build_history(
     chunk_us: int = 30 * DAY_US,
     running_count: Mapping[str, Column] | None = None,
     running_min: Mapping[str, Column] | None = None,
+    following: Mapping[str, Column] | None = None,
+    tie: str | None = None,
 ) -> DataFrame:
     """Attach history arrays and running aggregates to every flat row.
 
@@ -75,16 +77,21 @@ def build_history(
     (structs sort by their first fields, so put the time first).
     ``running_count`` / ``running_min``: output -> expression counted / minimised
     over all rows of the object up to and including ``t``.
+    ``following``: output -> expression of the object's next row by time (then by
+    the column ``tie``); NULL for its last row.
 
     Plan: rows are keyed by ``(key, chunk)``; rows within ``window_us`` of a
     later chunk are copied into it as halo (once when ``chunk_us >= window_us``). Per-chunk totals are
     prefix-summed over the (few) chunks of an object, so the running
-    aggregates need no window over a whole object either.
+    aggregates need no window over a whole object either; a chunk's last row
+    takes its following row from the first one of the object's next chunk.
     """
     if chunk_us <= 0 or window_us < 0:
         raise ValueError("chunk_us must be positive and window_us non-negative")
     running_count = dict(running_count or {})
     running_min = dict(running_min or {})
+    following = dict(following or {})
+    order = [time_us, *([tie] if tie else [])]
     t = F.col(time_us)
     chunk0 = F.floor(t / F.lit(chunk_us)).cast("long")
     base = flat.withColumn("_chunk", chunk0)
@@ -96,15 +103,18 @@ def build_history(
         "*", chunk0.alias("_chunk0"), F.explode(F.sequence(chunk0, last)).alias("_chunk"),
     ).withColumn("_own", F.col("_chunk") == F.col("_chunk0")).drop("_chunk0")
 
-    if running_count or running_min:
+    if running_count or running_min or following:
         aggs = [F.count(e).alias(f"_n_{k}") for k, e in running_count.items()]
         aggs += [F.min(e).alias(f"_m_{k}") for k, e in running_min.items()]
+        if following:
+            aggs.append(F.min(F.struct(*order, *[e.alias(f"_f_{k}") for k, e in following.items()])).alias("_first"))
         per_chunk = base.groupBy(key, "_chunk").agg(*aggs)
         before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
         prior = per_chunk.select(
             key, "_chunk",
             *[F.coalesce(F.sum(f"_n_{k}").over(before), F.lit(0)).alias(f"_pn_{k}") for k in running_count],
             *[F.min(f"_m_{k}").over(before).alias(f"_pm_{k}") for k in running_min],
+            *([F.lead("_first").over(Window.partitionBy(key).orderBy("_chunk")).alias("_next_chunk")] if following else []),
         )
         rows = rows.join(prior, [key, "_chunk"], "left")
 
@@ -120,5 +130,12 @@ def build_history(
         F.least(F.min(F.when(F.col("_own"), e)).over(upto_w), F.col(f"_pm_{k}")).alias(k)
         for k, e in running_min.items()
     ]
+    if following:
+        # halo rows come before a chunk's own rows, so what follows an own row is its own too
+        ahead = F.lead(F.struct(*order, *[e.alias(f"_f_{k}") for k, e in following.items()])).over(Window.partitionBy(key, "_chunk").orderBy(*order))
+        out.append(F.coalesce(ahead, F.col("_next_chunk")).alias("_following"))
     keep = [c for c in flat.columns]
+    if following:
+        given = rows.select(*keep, "_own", *out).where(F.col("_own"))
+        return given.select(*[c for c in given.columns if c not in ("_own", "_following")], *[F.col(f"_following._f_{k}").alias(k) for k in following])
     return rows.select(*keep, "_own", *out).where(F.col("_own")).drop("_own")

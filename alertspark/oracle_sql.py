@@ -7,7 +7,7 @@ result columns as the Spark query of the same key.
 
 from __future__ import annotations
 
-from alertspark import oracle_sso
+from alertspark import oracle_kilonova, oracle_sso
 
 D = "::DOUBLE"
 
@@ -97,6 +97,7 @@ FROM (SELECT *, list_filter(cjd, lambda x, i: cmagpsf[i] IS NOT NULL) AS dj FROM
     _supervised(q)
     _sso_user(q)
     oracle_sso.add(q, FLAT)
+    oracle_kilonova.add(q, w, FLAT, ALERTS, _curve_sql, CURVE)
     _checks(q)
     return q
 
@@ -547,8 +548,6 @@ xlc AS (
 )"""
     q["kn_cuts"] = xm + f"""
 SELECT candid, cdsxmatch, {KN_CUTS} AS pass_cuts FROM xlc"""
-    q["kn_features"] = w(ALERTS, _curve_sql("lc", "candid", "cjd", "cmagpsf", "csigmapsf", "cfid", [1, 2], "lower")) + f"""
-SELECT candid, CAST(band AS VARCHAR) AS band, {", ".join(CURVE)} FROM curve"""
     snia = _curve_sql("xlc", "candid", "cjd", "cmagpsf", "csigmapsf", "cfid", [1, 2], "lower",
                       extra=("ndethist", "cdsxmatch"))
     q["snia_cuts"] = xm + ",\n" + snia + """,

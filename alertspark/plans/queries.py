@@ -372,6 +372,7 @@ def q_hostless(spark, sf_dir):
 
 # ---------------------------------------------------------------- E5, E9, E11, E12: supervised ZTF modules
 
+from alertspark.operators import kilonova as kn  # noqa: E402
 from alertspark.operators import learn  # noqa: E402
 
 ZTF_BANDS = [1, 2]
@@ -394,7 +395,12 @@ def ztf_science_input(spark, sf_dir):
     df = sky.cone_match(df, fx.catalog(spark, sf_dir, "simbad"), 1.0, ["main_type"], "cdsxmatch",
                         ra="candidate.ra", dec="candidate.dec", unknown="Unknown")
     df = df.withColumn("roid", rules.asteroid_flag(max_gap_days=1.0))
-    return df.withColumn("label", (F.col("alertclass") == "purchase").cast("double"))
+    return df.withColumn("label", next_label())
+
+
+def next_label() -> Column:
+    """1.0 when the object's next alert is of the wanted class, 0.0 when of another, NULL for its last alert."""
+    return (F.col("next_class") == "purchase").cast("double")
 
 
 def kn_cuts() -> Column:
@@ -443,17 +449,36 @@ def q_kn_cuts(spark, sf_dir):
     return df.select("candid", "cdsxmatch", kn_cuts().alias("pass_cuts"))
 
 
+@query("next_alert_label")
+def q_next_alert_label(spark, sf_dir):
+    return fx.ztf_alerts(spark, sf_dir).select("candid", next_label().alias("label"))
+
+
+def _kn_frame(df):
+    return kn.add_kilonova_features(_ztf_curve_features(df), ZTF_BANDS)
+
+
+KN_FEATURES = [f"cf{b}_{k}" for b in ZTF_BANDS for k in learn.CURVE_FEATURES] + kn.feature_names(ZTF_BANDS)
+
+
+def _kn_flat(df):
+    return df.select("*", *learn.flatten_curve_features(ZTF_BANDS, "cf"), *kn.flat_kilonova_features(ZTF_BANDS))
+
+
 @query("kn_features")
 def q_kn_features(spark, sf_dir):
-    df = _ztf_curve_features(ztf_lightcurves(spark, sf_dir))
-    return _long_curve_features(df, "candid", ZTF_BANDS, "cf")
+    df = _kn_frame(ztf_lightcurves(spark, sf_dir))
+    own = lambda b: [F.round(f"kt{b}.{k}", 3 if k == "flux_peak" else 6).alias(k) if not k.endswith("shift") else F.col(f"kt{b}.{k}").alias(k)
+                     for k in kn.FLUX_FEATURES + kn.TEMPLATE_FEATURES]
+    arr = F.array(*[F.struct(F.lit(str(b)).alias("band"), *[F.col(f"cf{b}.{k}").alias(k) for k in learn.CURVE_FEATURES], *own(b)) for b in ZTF_BANDS])
+    colour = [F.col(f"kt_colour.{k}").alias(k) if k == "n_colour" else F.round(f"kt_colour.{k}", 6).alias(k) for k in kn.COLOUR_FEATURES]
+    return df.select("candid", *colour, F.inline(arr))
 
 
 @query("kn_score")
 def q_kn_score(spark, sf_dir):
-    df = _ztf_curve_features(ztf_science_input(spark, sf_dir))
-    spec = learn.MLSpec(feature_cols=[f"cf{b}_{k}" for b in ZTF_BANDS for k in learn.CURVE_FEATURES], kind="rf")
-    df = df.select("*", *learn.flatten_curve_features(ZTF_BANDS, "cf"))
+    df = _kn_flat(_kn_frame(ztf_science_input(spark, sf_dir)))
+    spec = learn.MLSpec(feature_cols=KN_FEATURES, kind="rf")
     out = learn.fit_and_score(df, spec, kn_cuts(), F.col("objectId"), "rf_kn_vs_nonkn", keep=["candid"])
     return out.select("candid", "rf_kn_vs_nonkn")
 
@@ -514,8 +539,8 @@ SLSN_MD = ["hostgal_zphot", "hostgal_zphot_err", "hostgal_snsep"]
 CATS_MD = ["mwebv", "z_final", "z_final_err", "hostgal_zphot", "hostgal_zphot_err"]
 
 
-def _rubin_frame(spark, sf_dir, bands, prefix):
-    df = lcv.lightcurve_rubin(fx.rubin_alerts(spark, sf_dir))
+def _rubin_frame(spark, sf_dir, bands, prefix, labelled=False):
+    df = lcv.lightcurve_rubin(fx.rubin_alerts(spark, sf_dir, labelled))
     df = learn.add_curve_features(df, bands, prefix, "cmidPointTai", "cpsFlux", "cpsFluxErr", "cfilterName", "higher")
     return df.select("*", *[F.col(f"diaObject.{m}").alias(m) for m in sorted(set(SLSN_MD + CATS_MD))])
 
@@ -527,9 +552,9 @@ def q_slsn_features_md(spark, sf_dir):
 
 
 def _slsn(spark, sf_dir, with_md: bool, out: str):
-    df = _rubin_frame(spark, sf_dir, RUBIN_BANDS, "rf")
+    df = _rubin_frame(spark, sf_dir, RUBIN_BANDS, "rf", labelled=True)
     df = df.select("*", *learn.flatten_curve_features(RUBIN_BANDS, "rf"),
-                   (F.col("event_type") == "purchase").cast("double").alias("label"))
+                   next_label().alias("label"))
     cols = [f"rf{b}_{k}" for b in RUBIN_BANDS for k in learn.CURVE_FEATURES] + (SLSN_MD if with_md else [])
     cuts = F.coalesce(F.size(F.filter("cpsFlux", lambda x: x.isNotNull())) >= 2, F.lit(False))
     spec = learn.MLSpec(feature_cols=cols, kind="gbt")
@@ -668,7 +693,7 @@ def _module_ctx(spark, sf_dir):
 
 @query("apply_all_modules")
 def q_apply_all_modules(spark, sf_dir):
-    df = ztf_lightcurves(spark, sf_dir).withColumn("label", (F.col("alertclass") == "purchase").cast("double"))
+    df = ztf_lightcurves(spark, sf_dir).withColumn("label", next_label())
     out = mods.apply_modules(df, "", _module_ctx(spark, sf_dir), skip_missing_inputs=True)
     return out.select(
         "candid", "cdsxmatch", F.col("gaia.DR3Name").alias("gaia_DR3Name"), "gcvs", "rf_kn_vs_nonkn",
@@ -679,7 +704,7 @@ def q_apply_all_modules(spark, sf_dir):
 
 @query("module_chain")
 def q_module_chain(spark, sf_dir):
-    df = ztf_lightcurves(spark, sf_dir).withColumn("label", (F.col("alertclass") == "purchase").cast("double"))
+    df = ztf_lightcurves(spark, sf_dir).withColumn("label", next_label())
     out = mods.apply_modules(df, ["Early SN Ia", "SuperNNova"], _module_ctx(spark, sf_dir))
     return out.select("candid", "cdsxmatch", "roid", "rf_snia_vs_nonia", "snn_snia_vs_nonia")
 

@@ -87,11 +87,13 @@ def alerts_with_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         window_us=HISTORY_DAYS * DAY_US,
         running_count={"ndethist": F.col("magpsf")},
         running_min={"jdstarthist": F.when(F.col("magpsf").isNotNull(), F.col("jd"))},
+        following={"next_class": F.col("event_type")},
+        tie="candid",
     )
 
 
 def ztf_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ZTF-style alerts: ``objectId, candid, candidate{...}, prv_candidates, alertclass, year, month, day``."""
+    """ZTF-style alerts: ``objectId, candid, candidate{...}, prv_candidates, alertclass, next_class, year, month, day``; next_class is the class of the object's next alert."""
     h = alerts_with_history(spark, sf_dir)
     return h.select(
         "objectId",
@@ -99,12 +101,13 @@ def ztf_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(*[F.col(c) for c in _CANDIDATE_FIELDS]).alias("candidate"),
         "prv_candidates",
         F.col("event_type").alias("alertclass"),
+        "next_class",
         "year", "month", "day",
     )
 
 
-def rubin_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rubin-style alerts: ``diaSource``, ``diaObject``, ``prvDiaForcedSources``."""
+def rubin_alerts(spark: SparkSession, sf_dir: str, labelled: bool = False) -> DataFrame:
+    """Rubin-style alerts: ``diaSource``, ``diaObject``, ``prvDiaForcedSources``; ``labelled`` adds ``next_class``, the class of the object's next alert."""
     flat = flat_alerts(spark, sf_dir)
     eid, uid = F.col("candid"), F.col("user_id")
     flat = flat.select(
@@ -124,6 +127,8 @@ def rubin_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         time_us="us",
         items={"prvDiaForcedSources": F.struct("midPointTai", "candid", "psFlux", "psFluxErr", "filterName")},
         window_us=HISTORY_DAYS * DAY_US,
+        following={"next_class": F.col("event_type")} if labelled else None,
+        tie="candid",
     )
     return h.select(
         F.col("candid").alias("alertId"),
@@ -137,6 +142,7 @@ def rubin_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("diaObject"),
         "prvDiaForcedSources",
         F.col("event_type"),
+        *(["next_class"] if labelled else []),
     )
 
 
