@@ -61,7 +61,8 @@ def test_equals_brute_force(spark, rows, monkeypatch):
 
 def test_phrases_of_one_hash_are_kept_apart():
     text = b"a b a b c a b d a b"
-    span = C.Span(np.frombuffer(text * 2, np.uint8), np.array([len(text), 2 * len(text)]), np.array([0, 1]), np.array([5, 6], np.uint64))
+    span = C.Span(C.WordHasher(~C._GAP), np.frombuffer(text * 2, np.uint8), np.array([len(text), 2 * len(text)]), np.array([0, 1]), np.array([5, 6], np.uint64))
+    span.name_words()
     last = np.flatnonzero(span.place >= 1)
     for hashes in (span.grow(2, span.hash)[last], np.zeros(len(last), np.uint64)):
         one, count = span.groups(2, last, hashes)
