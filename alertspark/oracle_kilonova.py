@@ -1,4 +1,4 @@
-"""DuckDB statements of the kilonova features and of the labels from an object's next alert."""
+"""DuckDB statements of the kilonova and rise features and of the labels from an object's next alert."""
 
 from __future__ import annotations
 
@@ -55,6 +55,35 @@ colour AS (
 )"""
 
 
+def rise(lc: str) -> str:
+    """CTEs behind ``lc`` that end in ``rise`` (candid, band, status, n_rise, a, b, c, chi2): the regression of the logit on the way up."""
+    return lc + f""",
+upts AS MATERIALIZED (
+  SELECT candid, i, cjd[i] AS t, cmagpsf[i] AS m, csigmapsf[i] AS e, cfid[i] AS band
+  FROM (SELECT *, unnest(range(1, len(cjd) + 1)) AS i FROM lc) WHERE cmagpsf[i] IS NOT NULL AND csigmapsf[i] > 0
+),
+way AS MATERIALIZED (
+  SELECT candid, band, t - t0 AS t, power(10.0{D}, -0.4{D} * (m - 25.0{D})) AS y, 0.4{D} * ln(10.0{D}) * e * power(10.0{D}, -0.4{D} * (m - 25.0{D})) AS s
+  FROM (SELECT *, min(t) OVER (PARTITION BY candid, band) AS t0, first_value(i) OVER (PARTITION BY candid, band ORDER BY m, i) AS top FROM upts) WHERE i <= top
+),
+lg AS MATERIALIZED (
+  SELECT *, ln(y / (c - y)) AS z, power(y * (c - y) / (c * s), 2) AS w FROM (SELECT *, 1.1{D} * max(y) OVER (PARTITION BY candid, band) AS c FROM way)
+),
+mean AS (SELECT candid, band, count(*) AS n, max(c) AS c, sum(w) AS w, sum(w * t) / sum(w) AS mt, sum(w * z) / sum(w) AS mz FROM lg GROUP BY ALL),
+line AS (
+  SELECT m.candid, m.band, m.n, m.c, m.mt, m.mz, m.w, sum(l.w * power(l.t - m.mt, 2)) AS tt, sum(l.w * (l.t - m.mt) * (l.z - m.mz)) AS tz
+  FROM mean m JOIN lg l USING (candid, band) GROUP BY ALL
+),
+ab AS (
+  SELECT *, mt - mz / a AS b, CASE WHEN n < 3 OR a IS NULL THEN 'too_few' WHEN a <= 0 THEN 'not_rising' ELSE 'ok' END AS status
+  FROM (SELECT *, CASE WHEN tt > 1e-9 * w THEN tz / tt END AS a FROM line)
+),
+rise AS (
+  SELECT ab.candid, ab.band, status, n, a, b, ab.c, sum(power((y - ab.c / (1 + exp(-a * (t - b)))) / s, 2)) AS chi2
+  FROM ab JOIN lg ON lg.candid = ab.candid AND lg.band = ab.band GROUP BY ALL
+)"""
+
+
 def add(q: dict[str, str], w, flat: str, alerts: str, curve_sql, curve: list[str]) -> None:
     curves = curve_sql("lc", "candid", "cjd", "cmagpsf", "csigmapsf", "cfid", [1, 2], "lower")
     six = lambda names, t: ", ".join(f"round({t}.{n}, 6) AS {n}" if not n.endswith("shift") else f"{t}.{n}" for n in names)
@@ -62,6 +91,11 @@ def add(q: dict[str, str], w, flat: str, alerts: str, curve_sql, curve: list[str
 SELECT c.candid, CAST(c.band AS VARCHAR) AS band, {", ".join(f"c.{k}" for k in curve)}, round(k.flux_peak, 3) AS flux_peak, {six(("snr_max", "snr_mean", *TEMPLATE), "k")},
   coalesce(o.n_colour, 0) AS n_colour, {six(COLOUR[1:], "o")}
 FROM curve c LEFT JOIN kt k ON k.candid = c.candid AND k.band = c.band LEFT JOIN colour o ON o.candid = c.candid"""
+    shown = ", ".join(f"CASE WHEN r.status = 'ok' THEN round(r.{k}, {d}) END AS rise_{k}" for k, d in (("a", 6), ("b", 4), ("c", 3), ("chi2", 2)))
+    q["snia_features"] = w(rise(alerts), curves) + f"""
+SELECT c.candid, CAST(c.band AS VARCHAR) AS band, {", ".join(f"c.{k}" for k in curve)}, coalesce(r.status, 'too_few') AS rise_status,
+  CAST(coalesce(r.n, 0) AS INTEGER) AS n_rise, {shown}
+FROM curve c LEFT JOIN rise r ON r.candid = c.candid AND r.band = c.band"""
     q["next_alert_label"] = w(flat) + """
 SELECT candid, CASE WHEN next IS NOT NULL THEN CAST(next = 'purchase' AS DOUBLE) END AS label
 FROM (SELECT candid, lead(event_type) OVER (PARTITION BY objectId ORDER BY us, candid) AS next FROM flat)"""

@@ -558,9 +558,6 @@ per AS (
 )
 SELECT candid, coalesce(ndethist <= 20 AND enough AND rising
   AND cdsxmatch IN ('Unknown', 'Candidate_SN*', 'SN', 'Transient', 'Fail'), false) AS pass_cuts FROM per"""
-    q["snia_features"] = w(ALERTS, _curve_sql("lc", "candid", "cjd", "cmagpsf", "csigmapsf", "cfid", [1, 2],
-                                              "lower")) + f"""
-SELECT candid, CAST(band AS VARCHAR) AS band, {", ".join(CURVE)} FROM curve"""
     slot = "CASE WHEN t1 > t0 THEN least(CAST(floor((x.t - t0) / (t1 - t0) * 16) AS INTEGER), 15) ELSE 0 END"
     q["snn_vector"] = w(ALERTS) + f""",
 p AS (

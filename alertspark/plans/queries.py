@@ -373,7 +373,7 @@ def q_hostless(spark, sf_dir):
 # ---------------------------------------------------------------- E5, E9, E11, E12: supervised ZTF modules
 
 from alertspark.operators import kilonova as kn  # noqa: E402
-from alertspark.operators import learn  # noqa: E402
+from alertspark.operators import learn, rise  # noqa: E402
 
 ZTF_BANDS = [1, 2]
 RUBIN_BANDS = ["u", "g", "r", "i", "z", "Y"]
@@ -491,15 +491,34 @@ def q_snia_cuts(spark, sf_dir):
 
 @query("snia_features")
 def q_snia_features(spark, sf_dir):
-    df = _snia_frame(ztf_lightcurves(spark, sf_dir))
-    return _long_curve_features(df, "candid", ZTF_BANDS, "sf")
+    """Curve summary and the closed-form start of the rise fit, per band."""
+    df = rise.add_rise_starts(_snia_frame(ztf_lightcurves(spark, sf_dir)), ZTF_BANDS)
+    own = lambda b: [F.col(f"rise{b}.status").alias("rise_status"), F.col(f"rise{b}.n_rise").alias("n_rise"),
+                     *[F.round(f"rise{b}.{k}", d).alias(f"rise_{k}") for k, d in (("a", 6), ("b", 4), ("c", 3), ("chi2", 2))]]
+    arr = F.array(*[F.struct(F.lit(str(b)).alias("band"), *[F.col(f"sf{b}.{k}").alias(k) for k in learn.CURVE_FEATURES], *own(b)) for b in ZTF_BANDS])
+    return df.select("candid", F.inline(arr))
+
+
+@query("snia_rise")
+def q_snia_rise(spark, sf_dir):
+    """The fitted rise of each alert and band."""
+    df = rise.add_rise_fits(ztf_lightcurves(spark, sf_dir), ZTF_BANDS)
+    arr = F.array(*[F.struct(F.lit(b).alias("band"), *[F.col(f"rise{b}.{k}").alias(k) for k in ("status", "n_rise", "a", "b", "c", "chi2")]) for b in ZTF_BANDS])
+    return df.select("candid", F.inline(arr))
+
+
+SNIA_FEATURES = [f"sf{b}_{k}" for b in ZTF_BANDS for k in learn.CURVE_FEATURES] + rise.feature_names(ZTF_BANDS)
+
+
+def _snia_flat(df):
+    df = rise.add_rise_fits(df, ZTF_BANDS)
+    return df.select("*", *learn.flatten_curve_features(ZTF_BANDS, "sf"), *rise.flat_rise_features(ZTF_BANDS))
 
 
 @query("snia_score")
 def q_snia_score(spark, sf_dir):
-    df = _snia_frame(ztf_science_input(spark, sf_dir))
-    df = df.select("*", *learn.flatten_curve_features(ZTF_BANDS, "sf"))
-    spec = learn.MLSpec(feature_cols=[f"sf{b}_{k}" for b in ZTF_BANDS for k in learn.CURVE_FEATURES], kind="rf")
+    df = _snia_flat(_snia_frame(ztf_science_input(spark, sf_dir)))
+    spec = learn.MLSpec(feature_cols=SNIA_FEATURES, kind="rf")
     return learn.fit_and_score(df, spec, snia_cuts(), F.col("objectId"), "rf_snia_vs_nonia", keep=["candid"]).select(
         "candid", "rf_snia_vs_nonia")
 
