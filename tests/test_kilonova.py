@@ -89,12 +89,12 @@ def _flat(spark, rows):
     return spark.createDataFrame(rows, "obj string, us long, id long, kind string")
 
 
-@pytest.mark.parametrize("chunk_days", [30, 7, 1])
-def test_following_row_over_chunk_borders(spark, chunk_days):
-    rng = np.random.default_rng(chunk_days)
+@pytest.mark.parametrize("how", [{"chunk_us": 30 * DAY_US}, {"chunk_us": DAY_US}, {"chunk_rows": 40}, {"chunk_rows": 7}, {}])
+def test_following_row_over_chunk_borders(spark, how):
+    rng = np.random.default_rng(7)
     rows = [("busy", int(x) * DAY_US // 50, i, None if i % 7 == 0 else f"k{i % 5}") for i, x in enumerate(rng.integers(0, 3000, 600))]
     rows += [("rare", d * DAY_US, 1000 + i, f"r{i}") for i, d in enumerate((0, 29, 30, 31, 200, 200, 900))] + [("one", 5, 2000, "x")]
-    got = build_history(_flat(spark, rows), "obj", "us", {"h": F.struct("us", "id")}, 3 * DAY_US, chunk_days * DAY_US, following={"next": F.col("kind"), "next_id": F.col("id")}, tie="id")
+    got = build_history(_flat(spark, rows), "obj", "us", {"h": F.struct("us", "id")}, 3 * DAY_US, **how, following={"next": F.col("kind"), "next_id": F.col("id")}, tie="id")
     assert got.columns == ["obj", "us", "id", "kind", "h", "next", "next_id"]
     want = {}
     for o in ("busy", "rare", "one"):

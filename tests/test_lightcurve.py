@@ -66,3 +66,43 @@ def test_busy_object_is_split_by_time_chunk(spark):
     key = lambda d: sorted((r.objectId, r.t, len(r.h), r.n) for r in d.collect())
     assert key(split) == key(whole)
     assert len({r.t // (30 * day) for r in df.filter("objectId = 'hot'").collect()}) >= 6
+
+
+@pytest.mark.parametrize("chunk_rows", [10, 50, 5_000])
+def test_count_chunks_equal_plain_window(spark, chunk_rows):
+    flat = fx.flat_alerts(spark, SF_SMALL)
+    day = lcv.DAY_US
+    got = lcv.build_history(flat, "objectId", "us", {"h": F.struct("jd", "candid")}, window_us=9 * day, chunk_rows=chunk_rows,
+                            running_count={"nd": F.col("magpsf")}, running_min={"first": F.col("jd")})
+    w = Window.partitionBy("objectId").orderBy("us")
+    upto = w.rangeBetween(Window.unboundedPreceding, 0)
+    plain = flat.select("candid", F.array_sort(F.collect_list(F.struct("jd", "candid")).over(w.rangeBetween(-9 * day, -1))).alias("h"),
+                        F.count("magpsf").over(upto).cast("int").alias("nd"), F.min("jd").over(upto).alias("first"))
+    key = lambda d: {r.candid: (r.h, r.nd, r.first) for r in d.select("candid", "h", "nd", "first").collect()}
+    assert key(got) == key(plain)
+
+
+def test_a_third_of_all_rows_in_one_object_and_hour(spark):
+    """The busy object's chunks hold about as many rows each, although nearly all its rows lie in one hour; the others aren't copied."""
+    hour = lcv.DAY_US // 24
+    rows = [("hot", 50 * lcv.DAY_US + i * hour // 3000, i) for i in range(3000)] + [("hot", d * lcv.DAY_US, 9000 + d) for d in range(40)]
+    rows += [(f"o{i % 70}", i * lcv.DAY_US // 90, 20_000 + i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "objectId string, us long, id long")
+    assert lcv.busy_cuts(df, "objectId", "us", 5_000) is None
+    cuts = lcv.busy_cuts(df, "objectId", "us", 200)
+    dealt = lcv._count_chunks(df, "objectId", "us", hour // 100, cuts)
+    sizes = {(r.objectId, r._chunk0): (r.n, r.copies) for r in dealt.groupBy("objectId", "_chunk0").agg(F.count("*").alias("n"), F.sum(F.col("_last") - F.col("_chunk0")).alias("copies")).collect()}
+    hot = [n for (o, _), (n, _) in sizes.items() if o == "hot"]
+    assert len(hot) >= 15 and max(hot) <= 2 * sorted(hot)[len(hot) // 2] and max(hot) <= 300
+    assert all(copies == 0 and chunk == 0 for (o, chunk), (_, copies) in sizes.items() if o != "hot")
+    got = lcv.build_history(df, "objectId", "us", {"h": F.col("id")}, window_us=hour // 100, chunk_rows=200, following={"next": F.col("id")}, tie="id")
+    rows_of = got.select("objectId", "id", F.size("h").alias("n"), "next").collect()
+    assert len(rows_of) == len(rows)
+    at = {i: (o, t) for o, t, i in rows}
+    times = sorted(t for o, t, _ in rows if o == "hot")
+    import bisect
+
+    for r in rows_of:
+        if r.objectId == "hot":
+            t = at[r.id][1]
+            assert r.n == bisect.bisect_left(times, t) - bisect.bisect_left(times, t - hour // 100)
