@@ -469,6 +469,7 @@ def _stamps(q):
     q["stamp_shape"] = w(STAMPS) + """
 SELECT vec_id, CAST(len(sci) AS INTEGER) AS n_sci, CAST(len(tpl) AS INTEGER) AS n_tpl,
   coalesce(len(sci) = 64 AND len(tpl) = 64, false) AS shape_ok FROM st"""
+    q["hostless"] = _hostless()
     stats = []
     for k in ("sci", "tpl"):
         c = f"{k}_c"
@@ -495,6 +496,39 @@ ks AS (SELECT vec_id, max(abs(d)) AS ks FROM cdf GROUP BY vec_id)
 SELECT st.vec_id, ks.ks FROM st LEFT JOIN ks ON st.vec_id = ks.vec_id"""
 
 
+def _hostless() -> str:
+    """Five clip rounds, the test, the Fourier sums of both 8 x 8 stamps of a candidate, radial means, KS distance: pixels as rows."""
+    sql = w(STAMPS) + """,
+px AS MATERIALIZED (
+  SELECT vec_id, 0 AS which, unnest(sci) AS v, unnest(range(64)) AS i FROM st WHERE len(sci) = 64 AND len(tpl) = 64
+  UNION ALL SELECT vec_id, 1, unnest(tpl), unnest(range(64)) FROM st WHERE len(sci) = 64 AND len(tpl) = 64
+),
+clip0 AS (SELECT vec_id, which, v FROM px)"""
+    for k in range(1, 6):
+        sql += f""",
+clip{k} AS MATERIALIZED (
+  SELECT vec_id, which, v FROM (SELECT *, median(v) OVER g AS med, stddev_pop(v) OVER g AS sd FROM clip{k - 1} WINDOW g AS (PARTITION BY vec_id, which))
+  WHERE abs(v - med) <= 3.0{D} * sd
+)"""
+    return sql + f""",
+thr AS (SELECT vec_id, which, median(v) + 1.5{D} * stddev_pop(v) AS t FROM clip5 GROUP BY ALL),
+above AS (SELECT vec_id, which, count(CASE WHEN v > t THEN 1 END) AS n FROM px JOIN thr USING (vec_id, which) GROUP BY ALL),
+cand AS (SELECT vec_id FROM above GROUP BY vec_id HAVING max(CASE WHEN which = 1 THEN n END) < 3 AND max(CASE WHEN which = 0 THEN n END) >= 3),
+freq AS (SELECT a.range AS p, b.range AS q, CAST(floor(sqrt(power((a.range + 4) % 8 - 4, 2) + power((b.range + 4) % 8 - 4, 2))) AS INTEGER) AS r FROM range(8) a, range(8) b),
+power_ AS (
+  SELECT vec_id, which, p, q, r, power(sum(v * cos(2 * pi() * (p * (i // 8) + q * (i % 8)) / 8)), 2) + power(sum(v * sin(2 * pi() * (p * (i // 8) + q * (i % 8)) / 8)), 2) AS z
+  FROM px JOIN cand USING (vec_id) CROSS JOIN freq GROUP BY ALL
+),
+spec AS MATERIALIZED (SELECT vec_id, which, r, avg(z) AS z FROM power_ GROUP BY ALL),
+cdf AS (
+  SELECT vec_id, sum(CASE WHEN which = 0 THEN 1.0{D} / n ELSE 0 END) OVER g - sum(CASE WHEN which = 1 THEN 1.0{D} / n ELSE 0 END) OVER g AS d
+  FROM (SELECT *, count(*) OVER (PARTITION BY vec_id, which) AS n FROM spec)
+  WINDOW g AS (PARTITION BY vec_id ORDER BY z RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+),
+ks AS (SELECT vec_id, max(abs(d)) AS ks FROM cdf GROUP BY vec_id)
+SELECT st.vec_id, coalesce(round(ks, 6), -99.0{D}) AS hostless FROM st LEFT JOIN ks ON ks.vec_id = st.vec_id"""
+
+
 # ------------------------------------------------------------------ supervised modules: cuts and features
 
 CURVE = ["n", "peak", "last", "mean", "slope", "rise_frac", "span", "err_mean"]

@@ -367,7 +367,7 @@ def q_stamp_ks(spark, sf_dir):
 @query("hostless")
 def q_hostless(spark, sf_dir):
     s = fx.stamps(spark, sf_dir)
-    return stp.hostless_score(s, side=DRIVER_STAMP_SIDE, detect_sigma=1.5, min_pixels=3).select("vec_id", "hostless")
+    return stp.hostless_score(s, side=DRIVER_STAMP_SIDE, detect_sigma=1.5, min_pixels=3).select("vec_id", F.round("hostless", 6).alias("hostless"))
 
 
 # ---------------------------------------------------------------- E5, E9, E11, E12: supervised ZTF modules
