@@ -19,7 +19,7 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,24 +122,24 @@ class MLSpec:
     feature_cols: list[str]
     label_col: str = "label"
     kind: str = "rf"  # rf | gbt | mlp | lr
-    n_classes: int = 2
+    n_classes: int = 2  # 0: as many as the labels have, which may then be names
     seed: int = 42
     params: dict = field(default_factory=dict)
 
 
-def _estimator(spec: MLSpec, n_features: int):
+def _estimator(spec: MLSpec, n_features: int, label: str):
     if spec.kind == "rf":
-        return RandomForestClassifier(labelCol=spec.label_col, featuresCol="_fv", seed=spec.seed,
+        return RandomForestClassifier(labelCol=label, featuresCol="_fv", seed=spec.seed,
                                       numTrees=spec.params.get("numTrees", 30), maxDepth=spec.params.get("maxDepth", 6))
     if spec.kind == "gbt":
-        return GBTClassifier(labelCol=spec.label_col, featuresCol="_fv", seed=spec.seed,
+        return GBTClassifier(labelCol=label, featuresCol="_fv", seed=spec.seed,
                              maxIter=spec.params.get("maxIter", 20), maxDepth=spec.params.get("maxDepth", 4))
     if spec.kind == "mlp":
         hidden = spec.params.get("hidden", [16])
-        return MultilayerPerceptronClassifier(labelCol=spec.label_col, featuresCol="_fv", seed=spec.seed,
+        return MultilayerPerceptronClassifier(labelCol=label, featuresCol="_fv", seed=spec.seed,
                                               layers=[n_features, *hidden, spec.n_classes], maxIter=100)
     if spec.kind == "lr":
-        return LogisticRegression(labelCol=spec.label_col, featuresCol="_fv", family="multinomial",
+        return LogisticRegression(labelCol=label, featuresCol="_fv", family="multinomial",
                                   maxIter=spec.params.get("maxIter", 50))
     raise ValueError(f"unknown model kind {spec.kind!r}")
 
@@ -151,7 +151,11 @@ def with_missing_flags(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def fit(train: DataFrame, spec: MLSpec) -> PipelineModel:
-    """Median imputation, missing flags, scaling, classifier. The pipeline saves and loads as one (``save_model``)."""
+    """Median imputation, missing flags, scaling, classifier. The pipeline saves and loads as one (``save_model``).
+
+    Labels that are names are numbered in their order by a stage of the
+    pipeline, so the classes are those of the training rows and stay with the model.
+    """
     cols, flags = list(spec.feature_cols), [f"{c}_missing" for c in spec.feature_cols]
     data = with_missing_flags(train, cols)
     some = data.agg(*[F.count(F.when(~F.isnan(c), 1)).alias(c) for c in cols]).first()
@@ -162,7 +166,9 @@ def fit(train: DataFrame, spec: MLSpec) -> PipelineModel:
     stages = [Imputer(strategy="median", inputCols=usable, outputCols=filled),
               VectorAssembler(inputCols=filled + flags, outputCol="_raw", handleInvalid="keep"),
               StandardScaler(inputCol="_raw", outputCol="_fv", withMean=True, withStd=True),
-              _estimator(spec, len(filled) + len(flags))]
+              _estimator(spec, len(filled) + len(flags), "_class" if spec.n_classes == 0 else spec.label_col)]
+    if spec.n_classes == 0:
+        stages.insert(0, StringIndexer(inputCol=spec.label_col, outputCol="_class", stringOrderType="alphabetAsc", handleInvalid="keep"))
     return Pipeline(stages=stages).fit(data)
 
 
@@ -175,7 +181,7 @@ def load_model(path: str) -> PipelineModel:
 
 
 def score(model: PipelineModel, df: DataFrame, spec: MLSpec, cuts: Column, out: str) -> DataFrame:
-    """Binary: probability of class 1; multi-class: struct(probabilities, best class). 0.0 where cuts fail."""
+    """Binary: probability of class 1; multi-class: struct(probabilities, best class, its name when the labels are names). 0.0 where cuts fail."""
     nulls = {f"_given_{c}": F.col(c) for c in spec.feature_cols}
     scored = model.transform(with_missing_flags(df.withColumns(nulls), spec.feature_cols))
     prob = vector_to_array(F.col("probability"))
@@ -183,9 +189,14 @@ def score(model: PipelineModel, df: DataFrame, spec: MLSpec, cuts: Column, out:
         p1 = F.when(F.size(prob) > 1, F.get(prob, 1)).otherwise(F.lit(0.0))
         val = F.when(cuts, p1).otherwise(F.lit(0.0))
     else:
-        val = F.when(cuts, F.struct(prob.alias("probabilities"), F.col("prediction").cast("int").alias("best")))
+        names = next((s.labels for s in model.stages if isinstance(s, StringIndexerModel)), None)
+        best = F.col("prediction").cast("int")
+        if names is not None:  # the place kept for unknown names is no class
+            prob, best = F.slice(prob, 1, len(names)), F.least(best, F.lit(len(names) - 1))
+        called = [F.get(F.array(*[F.lit(n) for n in names]), best).alias("name")] if names else []
+        val = F.when(cuts, F.struct(prob.alias("probabilities"), best.alias("best"), *called))
     helpers = [f"{c}{e}" for c in spec.feature_cols for e in ("_missing", "_filled")]
-    scored = scored.withColumn(out, val).drop("_raw", "_fv", "rawPrediction", "probability", "prediction", *helpers)
+    scored = scored.withColumn(out, val).drop("_class", "_raw", "_fv", "rawPrediction", "probability", "prediction", *helpers)
     return scored.withColumns({c: F.col(f"_given_{c}") for c in spec.feature_cols}).drop(*nulls)
 
 

@@ -14,10 +14,14 @@ are turned into equi-join keys first (zones algorithm, Gray, Nieto-Santisteban
 The join is then an equi-join on ``(zone, bucket)`` plus an exact haversine
 filter ``sep <= radius``.
 
+A cell that holds many sources (a cluster, the galactic plane) is dense: an
+alert in it looks up a second, finer grid, whose cells are as small as the
+radius allows, and which holds only the sources of dense cells.
+
 Two physical plans:
 
-* **broadcast** (catalogue row count checked to be at most
-  ``broadcast_rows``): catalogue rows are grouped per cell into arrays and
+* **broadcast** (catalogue checked to be at most ``broadcast_rows`` rows and
+  BROADCAST_BYTES): catalogue rows are grouped per cell into arrays and
   broadcast; each alert picks its nearest candidate with array functions, so
   the alert table is never shuffled;
 * **shuffle**: narrow alert keys join the exploded catalogue keys (inner
@@ -35,7 +39,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_BROADCAST_ROWS = 2_000_000
+#: Bytes of positions, ids and payload that may be broadcast.
+BROADCAST_BYTES = 256 << 20
 MIN_ZONE_ARCSEC = 10.0
+#: Sources from which a cell is dense.
+DENSE = 64
 EPS_DEG = 1e-9
 
 
@@ -141,11 +149,34 @@ def _catalog_cells(catalog: DataFrame, grid: _Grid, payload: Sequence[str], ra:
     ).select(F.col("_cell.zone").alias("_zone"), F.col("_cell.bucket").alias("_bucket"), "*").drop("_cell")
 
 
-def catalog_fits_broadcast(catalog: DataFrame, max_rows: int) -> bool:
-    """Proven size bound: the catalogue has at most ``max_rows`` rows (a LIMIT count, stops early)."""
+def catalog_fits_broadcast(catalog: DataFrame, max_rows: int, max_bytes: int | None = None, payload: Sequence[str] = ()) -> bool:
+    """Proven size bound: the catalogue has at most ``max_rows`` rows (a LIMIT, stops early), of at most ``max_bytes`` with their copies."""
     if max_rows <= 0:
         return False
-    return catalog.limit(max_rows + 1).count() <= max_rows
+    width = F.lit(32)
+    for p in payload:
+        width = width + F.coalesce(F.octet_length(F.col(p).cast("string")), F.lit(0)) + F.lit(8)
+    got = catalog.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).first()
+    return got["n"] <= max_rows and 2 * (got["bytes"] or 0) <= (BROADCAST_BYTES if max_bytes is None else max_bytes)
+
+
+def _split_dense(catalog: DataFrame, grid: _Grid, fine: _Grid | None, payload: Sequence[str], ra: str, dec: str, source_id: str, dense: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(cells of the grid without dense ones, cells of the finer grid with the dense ones' sources, keys of the dense cells)."""
+    cells = _catalog_cells(catalog, grid, payload, ra, dec, source_id)
+    if fine is None:
+        return cells, None, None
+    keys = cells.groupBy("_zone", "_bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > dense).select("_zone", "_bucket")
+    inside = cells.join(keys, ["_zone", "_bucket"], "left_semi").drop("_zone", "_bucket")
+    # a source stands in several cells, of which more than one may be dense
+    sources = inside.distinct()
+    finer = _catalog_cells(sources, fine, payload, "_cra", "_cdec", "source_id")
+    return cells.join(keys, ["_zone", "_bucket"], "left_anti"), finer, keys
+
+
+def _finer(radius_arcsec: float, min_zone_arcsec: float) -> _Grid | None:
+    """The grid with the smallest cells for a radius; None where the usual one is hardly larger."""
+    usual, least = zone_height_deg(radius_arcsec, min_zone_arcsec), 2.0 * radius_arcsec / 3600.0
+    return _Grid(radius_arcsec, 2.0 * radius_arcsec) if least <= 0.75 * usual else None
 
 
 def cone_pairs(alerts: DataFrame, catalog: DataFrame, radius_arcsec: float, id_col: str = "candid",
@@ -153,12 +184,16 @@ def cone_pairs(alerts: DataFrame, catalog: DataFrame, radius_arcsec: float, id_c
                source_id: str = "source_id", payload: Sequence[str] = (),
                min_zone_arcsec: float = MIN_ZONE_ARCSEC) -> DataFrame:
     """All (alert, source) pairs within ``radius_arcsec``: ``id, source_id, sep_arcsec, payload...``."""
-    grid = _Grid(radius_arcsec, min_zone_arcsec)
+    grid, fine = _Grid(radius_arcsec, min_zone_arcsec), _finer(radius_arcsec, min_zone_arcsec)
     z, b = grid.alert_key(_c(ra), _c(dec))
-    left = alerts.select(_c(id_col).alias("_id"), _c(ra).alias("_ara"), _c(dec).alias("_adec"),
-                         z.alias("_zone"), b.alias("_bucket"))
-    cells = _catalog_cells(catalog, grid, payload, cat_ra, cat_dec, source_id)
+    spot = [_c(id_col).alias("_id"), _c(ra).alias("_ara"), _c(dec).alias("_adec")]
+    left = alerts.select(*spot, z.alias("_zone"), b.alias("_bucket"))
+    cells, finer, keys = _split_dense(catalog, grid, fine, payload, cat_ra, cat_dec, source_id, DENSE)
     j = left.join(cells, ["_zone", "_bucket"], "inner")
+    if finer is not None:
+        z, b = fine.alert_key(F.col("_ara"), F.col("_adec"))
+        in_dense = left.join(keys, ["_zone", "_bucket"], "left_semi").withColumns({"_zone": z, "_bucket": b})
+        j = j.unionByName(in_dense.join(finer, ["_zone", "_bucket"], "inner"))
     sep = haversine_deg(F.col("_ara"), F.col("_adec"), F.col("_cra"), F.col("_cdec")) * F.lit(3600.0)
     return (
         j.select(F.col("_id").alias(id_col), "source_id", sep.alias("sep_arcsec"), *payload)
@@ -192,18 +227,23 @@ def cone_match(
     grid = _Grid(radius_arcsec, min_zone_arcsec)
     r = float(radius_arcsec)
     if strategy == "auto":
-        strategy = "broadcast" if catalog_fits_broadcast(catalog, broadcast_rows) else "shuffle"
+        strategy = "broadcast" if catalog_fits_broadcast(catalog, broadcast_rows, None, payload) else "shuffle"
 
     if strategy == "broadcast":
-        cells = _catalog_cells(catalog, grid, payload, cat_ra, cat_dec, source_id)
-        arr = cells.groupBy("_zone", "_bucket").agg(
-            F.collect_list(F.struct("_cra", "_cdec", "source_id", *payload)).alias("_cands"))
-        z, b = grid.alert_key(_c(ra), _c(dec))
-        keyed = alerts.withColumn("_zone", z).withColumn("_bucket", b)
-        j = keyed.join(F.broadcast(arr), ["_zone", "_bucket"], "left")
+        # the arrays together are the catalogue and its copies, whose bytes have been checked
+        fine = _finer(radius_arcsec, min_zone_arcsec)
+        cells, finer, _ = _split_dense(catalog, grid, fine, payload, cat_ra, cat_dec, source_id, DENSE)
+        j = alerts
+        for g, part, name in ((grid, cells, "_cands"), (fine, finer, "_near")):
+            if part is None:
+                j = j.withColumn(name, F.lit(None).cast(j.schema["_cands"].dataType))
+                continue
+            arr = part.groupBy("_zone", "_bucket").agg(F.collect_list(F.struct("_cra", "_cdec", "source_id", *payload)).alias(name))
+            z, b = g.alert_key(_c(ra), _c(dec))
+            j = j.withColumn("_zone", z).withColumn("_bucket", b).join(F.broadcast(arr), ["_zone", "_bucket"], "left").drop("_zone", "_bucket")
         ara, adec = _c(ra), _c(dec)
         scored = F.transform(
-            F.coalesce(F.col("_cands"), F.array()),
+            F.concat(F.coalesce(F.col("_cands"), F.array()), F.coalesce(F.col("_near"), F.array())),
             lambda c: F.struct(
                 (haversine_deg(ara, adec, c["_cra"], c["_cdec"]) * F.lit(3600.0)).alias("sep_arcsec"),
                 c["source_id"].alias("source_id"),
@@ -211,7 +251,7 @@ def cone_match(
             ),
         )
         best = F.array_min(F.filter(scored, lambda x: x["sep_arcsec"] <= F.lit(r)))
-        out = j.withColumn("_best", best).drop("_zone", "_bucket", "_cands")
+        out = j.withColumn("_best", best).drop("_cands", "_near")
     elif strategy == "shuffle":
         # the match depends on the position alone: matching each position once gives
         # every row its own result, also where ids repeat or are missing

@@ -598,10 +598,9 @@ def q_cats_features_md(spark, sf_dir):
 
 def _cats(spark, sf_dir, with_md: bool, out: str):
     df = _rubin_frame(spark, sf_dir, RUBIN_BANDS, "cb")
-    label = F.array_position(F.array(*[F.lit(m) for m in DRIVER_MODULES]), F.col("event_type")) - 1
-    df = df.select("*", *learn.flatten_curve_features(RUBIN_BANDS, "cb"), label.cast("double").alias("label"))
+    df = df.select("*", *learn.flatten_curve_features(RUBIN_BANDS, "cb"), F.col("event_type").alias("label"))
     cols = [f"cb{b}_{k}" for b in RUBIN_BANDS for k in learn.CURVE_FEATURES] + (CATS_MD if with_md else [])
-    spec = learn.MLSpec(feature_cols=cols, kind="lr", n_classes=len(DRIVER_MODULES))
+    spec = learn.MLSpec(feature_cols=cols, kind="lr", n_classes=0)
     out_df = learn.fit_and_score(df, spec, F.lit(True), F.col("diaObject.diaObjectId"), out, keep=["alertId"])
     return out_df.select("alertId", F.col(f"{out}.best").alias(f"{out}_class"),
                          F.array_max(f"{out}.probabilities").alias(f"{out}_prob"))

@@ -80,3 +80,36 @@ def test_repeated_and_missing_ids_match_by_their_own_position(spark, strategy):
     cat = spark.createDataFrame([("s", 10.0, 5.0, "x")], "source_id string, ra double, dec double, kind string")
     got = sky.cone_match(alerts, cat, 1.0, ["kind"], "label", unknown="Unknown", strategy=strategy).select("ra", "label").collect()
     assert sorted((r.ra or 0.0, r.label) for r in got) == [(0.0, "Unknown"), (10.0, "x"), (10.0, "x"), (50.0, "Unknown")]
+
+
+def test_a_dense_cluster_equals_brute_force(spark, monkeypatch):
+    """100,000 sources within some arc seconds, and sources around: both strategies, all pairs and the nearest."""
+    rng = np.random.default_rng(12)
+    n = 100_000
+    ra2, dec2 = 120.0 + rng.normal(0, 8 / 3600, n), 35.0 + rng.normal(0, 8 / 3600, n)
+    ra1 = np.concatenate([120.0 + rng.normal(0, 9 / 3600, 250), rng.uniform(119.9, 120.1, 150)])
+    dec1 = np.concatenate([35.0 + rng.normal(0, 9 / 3600, 250), rng.uniform(34.9, 35.1, 150)])
+    a = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(ra1, dec1))], "candid long, ra double, dec double")
+    import pandas as pd
+
+    c = spark.createDataFrame(pd.DataFrame({"source_id": np.arange(n), "ra": ra2, "dec": dec2})).withColumn("label", F.concat(F.lit("L"), "source_id")).repartition(4)
+    radius = 0.25
+    want = _brute(ra1, dec1, ra2, dec2, radius)
+    assert len(want) > 3000
+    pairs = sky.cone_pairs(a, c, radius).select("candid", "source_id").collect()
+    assert len(pairs) == len(want) and {(r.candid, r.source_id) for r in pairs} == want
+    near = [{r.candid: (r.m, r.m_source_id) for r in sky.cone_match(a, c, radius, ["label"], "m", unknown="Unknown", strategy=s).collect()} for s in ("broadcast", "shuffle")]
+    assert near[0] == near[1] and len(near[0]) == 400
+    matched = {i for i, _ in want}
+    assert all((near[0][i][1] is not None) == (i in matched) and (i, near[0][i][1]) in want for i in matched)
+    grid, fine = sky._Grid(radius), sky._finer(radius, sky.MIN_ZONE_ARCSEC)
+    usual, finer, keys = sky._split_dense(c, grid, fine, ["label"], "ra", "dec", "source_id", sky.DENSE)
+    largest = lambda d: d.groupBy("_zone", "_bucket").count().agg(F.max("count")).first()[0]
+    assert largest(usual) <= sky.DENSE and largest(finer) < 400 and keys.count() > 0
+    assert largest(sky._catalog_cells(c, grid, ["label"], "ra", "dec", "source_id")) > 5000
+
+
+def test_broadcast_is_bound_by_bytes(spark):
+    wide = spark.range(100).select(F.col("id").alias("source_id"), F.repeat(F.lit("x"), 1000).alias("label"))
+    assert sky.catalog_fits_broadcast(wide, 100, 10 ** 6, ["label"]) and not sky.catalog_fits_broadcast(wide, 100, 10 ** 5, ["label"])
+    assert not sky.catalog_fits_broadcast(wide, 99) and sky.catalog_fits_broadcast(wide.limit(0), 5, None, ["label"])
