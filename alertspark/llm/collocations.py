@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from alertspark.llm.common import TABLE_BITS, Scratch, WordHasher, bit_table, in_table, mix, text_buffers
+from alertspark.llm.common import TABLE_BITS, Scratch, WordHasher, bit_table, in_table, mix, slices, text_buffers, tidied
 
 SHARDS = 3
-#: Bytes of text worked on at once; phrases counted together before they leave a task, or spelled at once.
-AT_ONCE, HELD, SPELLED = 1 << 20, 1 << 20, 1 << 15
+#: Bytes of text worked on at once; phrases counted together before they leave a task, rows that leave it at once.
+AT_ONCE, HELD, SPELLED = 1 << 20, 1 << 19, 1 << 15
 #: Share of set bits above which the scan's choice is checked by joins.
 FULL = 0.25
 _BREAK = np.zeros(256, bool)
@@ -183,12 +183,12 @@ def step_counts(shard: DataFrame, words: bool, tables, longest: int, parts: bool
                     held.append((hashes[last], before[last - 1] if parts and k > 1 else hashes[last], before[last]))
                     n += len(last)
                 if n >= HELD:
-                    yield merged(held)
+                    yield from slices(merged(held), SPELLED)
                     held, n = [], 0
         if held:
-            yield merged(held)
+            yield from slices(merged(held), SPELLED)
 
-    return shard.select("lang", "text").mapInArrow(count, "h bigint, c bigint" + ", first bigint, rest bigint" * parts)
+    return shard.select("lang", "text").mapInArrow(tidied(count), "h bigint, c bigint" + ", first bigint, rest bigint" * parts)
 
 
 def spelled_counts(docs: DataFrame, passed, longest: int, at_once: int = AT_ONCE) -> DataFrame:
@@ -214,7 +214,7 @@ def spelled_counts(docs: DataFrame, passed, longest: int, at_once: int = AT_ONCE
                         cols = [lang_of.take(pa.array(span.lang[some])), span.spell(k, some), pa.array(np.full(len(some), k, np.int32)), pa.array(c[i : i + SPELLED].astype(np.int64))]
                         yield pa.RecordBatch.from_arrays(cols, names=["lang", "phrase", "k", "c"])
 
-    return docs.select("lang", "text").mapInArrow(count, "lang string, phrase string, k int, c bigint")
+    return docs.select("lang", "text").mapInArrow(tidied(count), "lang string, phrase string, k int, c bigint")
 
 
 def passing(home: str, docs: DataFrame, least: int, longest: int, shards: int, scratch: Scratch) -> np.ndarray:
@@ -240,9 +240,12 @@ def passing(home: str, docs: DataFrame, least: int, longest: int, shards: int, s
             tables.destroy()
         big, new = [f for some in counts for f in some if f.endswith("1")], np.zeros_like(known)
         if big:
-            sums = read([f for some in counts for f in some], "h", "c").join(read(big, "h"), "h", "left_semi").groupBy("h").agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
+            followed = spark.sparkContext.broadcast(bit_table(read(big, "h"), "h"))
+            window = _within(read([f for some in counts for f in some], "h", "c"), followed)
+            sums = window.groupBy("h").agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
             first = scratch.keep(sums.join(read(reached, "h"), "h", "left_anti") if reached else sums, "reached")
             reached.append(scratch.paths["reached"][-1])
+            followed.destroy()
             new = bit_table(first.filter(F.shiftright("h", 60) < longest), "h")
         bits = [*bits, new][-shards:]
         known = known | new
@@ -252,6 +255,16 @@ def passing(home: str, docs: DataFrame, least: int, longest: int, shards: int, s
     return bit_table(read(reached, "h"), "h") if reached else known
 
 
+def _within(rows: DataFrame, table) -> DataFrame:
+    """The rows (h, c) whose hash is in the broadcast bit table: those of the phrases put in, and few others."""
+
+    def keep(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_table(table.value, batch.column(0).to_numpy().view(np.uint64))))
+
+    return rows.mapInArrow(tidied(keep), "h bigint, c bigint")
+
+
 def _truly_counted(rows: DataFrame, reached: DataFrame) -> DataFrame:
     """Words, and the phrases whose subphrases did reach the threshold."""
     word = F.shiftright("h", 60) == 1
