@@ -239,11 +239,23 @@ def _q(a: str, p: float) -> str:
 
 
 FEATURES = ALERTS + f""",
+dce AS (
+  SELECT candid, i, fr + sg * fd AS flux, sqrt((fr * sr) * (fr * sr) + (fd * s) * (fd * s)) AS ef FROM (
+    SELECT candid, i, csigmapsf[i] AS s, csigmagnr[i] AS sr, pow(10.0{D}, -0.4{D} * cmagnr[i]) AS fr, pow(10.0{D}, -0.4{D} * cmagpsf[i]) AS fd,
+      CASE WHEN cisdiffpos[i] IN ('t', '1') THEN 1.0{D} ELSE -1.0{D} END AS sg
+    FROM (SELECT *, unnest(range(1, len(cjd) + 1)) AS i FROM lc))
+),
+dcl AS MATERIALIZED (
+  SELECT candid, list(round(CASE WHEN flux > 0 THEN -2.5{D} * log10(flux) END, 6) ORDER BY i) AS dm,
+    list(round(CASE WHEN flux > 0 THEN ef / flux END, 6) ORDER BY i) AS de
+  FROM dce GROUP BY candid
+),
+lcd AS (SELECT lc.* REPLACE (dm AS cmagpsf, de AS csigmapsf) FROM lc JOIN dcl USING (candid)),
 bp0 AS (
   SELECT candid, band,
     list_filter(list_transform(range(1, len(cjd) + 1), lambda i: struct_pack(t := cjd[i], m := cmagpsf[i],
         s := csigmapsf[i], f := cfid[i], d := cdistnr[i])), lambda x: x.f = band AND x.m IS NOT NULL) AS raw
-  FROM lc CROSS JOIN (VALUES (1), (2)) v(band)
+  FROM lcd CROSS JOIN (VALUES (1), (2)) v(band)
 ),
 bp AS MATERIALIZED (
   SELECT candid, band,
@@ -393,7 +405,7 @@ SELECT module, engine, mean_tp,
        WHEN mean_tp >= 37.5{D} THEN 'ztf_2s' WHEN mean_tp >= 31.25{D} THEN 'lsst_2s' END AS best_target
 FROM summ"""
     mods = ["click", "error", "purchase", "signup", "view"]
-    piv = ", ".join(f"round(first(throughput) FILTER (WHERE module = '{m}'), 6) AS {m}" for m in mods)
+    piv = ", ".join(f"round(avg(throughput) FILTER (WHERE module = '{m}'), 6) AS {m}" for m in mods)
     q["runs_wide"] = w(RUNS) + f"""
 SELECT loop, {piv},
   format('total_memory={{}}, gb_per_executor={{}}, core_per_executor={{}}, night={{}}, total_alerts={{}}',

@@ -199,7 +199,7 @@ def q_xmatch_simbad(spark, sf_dir):
 def q_xmatch_gaia(spark, sf_dir):
     cols = sky.parse_columns("DR3Name,Plx,e_Plx")
     m = sky.cone_match(_xmatch_input(spark, sf_dir), fx.catalog(spark, sf_dir, "vizier:I/355/gaiadr3"), 1.0,
-                       cols, "gaia")
+                       cols, "gaia", strategy="shuffle")  # the one catalogue too large to broadcast
     return m.select("candid", *[F.col(f"gaia.{c}").alias(c) for c in cols],
                     F.col("gaia_source_id").alias("source_id"))
 
@@ -207,7 +207,7 @@ def q_xmatch_gaia(spark, sf_dir):
 @query("xmatch_local")
 def q_xmatch_local(spark, sf_dir):
     m = sky.cone_match(_xmatch_input(spark, sf_dir), fx.catalog(spark, sf_dir, "gcvs"), 1.5,
-                       ["type"], "gcvs", unknown="Unknown", strategy="shuffle")
+                       ["type"], "gcvs", unknown="Unknown")
     return m.select("candid", "gcvs", F.col("gcvs_source_id").alias("source_id"))
 
 
@@ -217,7 +217,8 @@ from alertspark.operators import features as feats  # noqa: E402
 
 
 def _features(spark, sf_dir, names):
-    return feats.lc_features_long(ztf_lightcurves(spark, sf_dir), ["candid"], names)
+    df = feats.dc_mag_arrays(ztf_lightcurves(spark, sf_dir), digits=6)
+    return feats.lc_features_long(df, ["candid"], names, cmag="cdcmag", csig="cdcmag_err")
 
 
 @query("lc_features_basic")
