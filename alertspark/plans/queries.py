@@ -374,7 +374,7 @@ def q_hostless(spark, sf_dir):
 # ---------------------------------------------------------------- E5, E9, E11, E12: supervised ZTF modules
 
 from alertspark.operators import kilonova as kn  # noqa: E402
-from alertspark.operators import learn, rise  # noqa: E402
+from alertspark.operators import learn, model_scores, rise  # noqa: E402
 
 ZTF_BANDS = [1, 2]
 RUBIN_BANDS = ["u", "g", "r", "i", "z", "Y"]
@@ -571,13 +571,16 @@ def q_slsn_features_md(spark, sf_dir):
     return _long_curve_features(df, "alertId", RUBIN_BANDS, "rf", SLSN_MD)
 
 
-def _slsn(spark, sf_dir, with_md: bool, out: str):
+def _slsn_frame(spark, sf_dir, with_md: bool):
     df = _rubin_frame(spark, sf_dir, RUBIN_BANDS, "rf", labelled=True)
-    df = df.select("*", *learn.flatten_curve_features(RUBIN_BANDS, "rf"),
-                   next_label().alias("label"))
+    df = df.select("*", *learn.flatten_curve_features(RUBIN_BANDS, "rf"), next_label().alias("label"))
     cols = [f"rf{b}_{k}" for b in RUBIN_BANDS for k in learn.CURVE_FEATURES] + (SLSN_MD if with_md else [])
     cuts = F.coalesce(F.size(F.filter("cpsFlux", lambda x: x.isNotNull())) >= 2, F.lit(False))
-    spec = learn.MLSpec(feature_cols=cols, kind="gbt")
+    return df, learn.MLSpec(feature_cols=cols, kind="gbt"), cuts
+
+
+def _slsn(spark, sf_dir, with_md: bool, out: str):
+    df, spec, cuts = _slsn_frame(spark, sf_dir, with_md)
     return learn.fit_and_score(df, spec, cuts, F.col("diaObject.diaObjectId"), out, keep=["alertId"]).select("alertId", out)
 
 
@@ -597,11 +600,15 @@ def q_cats_features_md(spark, sf_dir):
     return _long_curve_features(df, "alertId", RUBIN_BANDS, "cb", CATS_MD)
 
 
-def _cats(spark, sf_dir, with_md: bool, out: str):
+def _cats_frame(spark, sf_dir, with_md: bool):
     df = _rubin_frame(spark, sf_dir, RUBIN_BANDS, "cb")
     df = df.select("*", *learn.flatten_curve_features(RUBIN_BANDS, "cb"), F.col("event_type").alias("label"))
     cols = [f"cb{b}_{k}" for b in RUBIN_BANDS for k in learn.CURVE_FEATURES] + (CATS_MD if with_md else [])
-    spec = learn.MLSpec(feature_cols=cols, kind="lr", n_classes=0)
+    return df, learn.MLSpec(feature_cols=cols, kind="lr", n_classes=0)
+
+
+def _cats(spark, sf_dir, with_md: bool, out: str):
+    df, spec = _cats_frame(spark, sf_dir, with_md)
     out_df = learn.fit_and_score(df, spec, F.lit(True), F.col("diaObject.diaObjectId"), out, keep=["alertId"])
     return out_df.select("alertId", F.col(f"{out}.best").alias(f"{out}_class"),
                          F.array_max(f"{out}.probabilities").alias(f"{out}_prob"))
@@ -769,19 +776,36 @@ def q_repartition_check(spark, sf_dir):
     return n.select("n_alerts", (F.col("hi") <= 1.2 * F.col("mean") + 10).alias("balanced"))
 
 
-def _score_check(cuts: DataFrame, scores: DataFrame, score: str) -> DataFrame:
-    both = cuts.select("candid", "pass_cuts").join(scores, "candid")
-    return both.select("candid", "pass_cuts", (_bounded(score) & (F.col("pass_cuts") | (F.col(score) == 0))).alias("score_ok"))
+def _rescored(df: DataFrame, spec, cuts: Column, key: Column, id_col: str, out: str) -> DataFrame:
+    """Fit, score by the pipeline, and score again from the exported trees or weights.
+
+    ``score_ok``: both agree to 1e-9 where the cuts pass (all class
+    probabilities), and the score is 0 (or NULL, for several classes) elsewhere.
+    """
+    d = df.select(id_col, spec.label_col, F.coalesce(cuts, F.lit(False)).alias("pass_cuts"), learn.split_flag(key).alias("_train"), *spec.feature_cols)
+    d = reliable_checkpoint(d)
+    model = learn.fit(d.where(F.col("_train") & F.col("pass_cuts") & F.col(spec.label_col).isNotNull()), spec)
+    scored = learn.score(model, d, spec, F.col("pass_cuts"), out)
+    scored = model_scores.rescored(scored, model_scores.exported(model, list(spec.feature_cols), df.sparkSession), "_p")
+    if spec.n_classes == 2:
+        same = F.abs(F.col(out) - F.get("_p", 1)) <= 1e-9
+        ok = F.when(F.col("pass_cuts"), same).otherwise(F.col(out) == 0)
+    else:
+        same = F.aggregate(F.zip_with(f"{out}.probabilities", "_p", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: F.greatest(a, x)) <= 1e-9
+        ok = F.when(F.col("pass_cuts"), same).otherwise(F.col(out).isNull())
+    return scored.select(id_col, "pass_cuts", F.coalesce(ok, F.lit(False)).alias("score_ok"))
 
 
 @query("kn_score_check")
 def q_kn_score_check(spark, sf_dir):
-    return _score_check(q_kn_cuts(spark, sf_dir), q_kn_score(spark, sf_dir), "rf_kn_vs_nonkn")
+    df = _kn_flat(_kn_frame(ztf_science_input(spark, sf_dir)))
+    return _rescored(df, learn.MLSpec(feature_cols=KN_FEATURES, kind="rf"), kn_cuts(), F.col("objectId"), "candid", "rf_kn_vs_nonkn")
 
 
 @query("snia_score_check")
 def q_snia_score_check(spark, sf_dir):
-    return _score_check(q_snia_cuts(spark, sf_dir), q_snia_score(spark, sf_dir), "rf_snia_vs_nonia")
+    df = _snia_flat(_snia_frame(ztf_science_input(spark, sf_dir)))
+    return _rescored(df, learn.MLSpec(feature_cols=SNIA_FEATURES, kind="rf"), snia_cuts(), F.col("objectId"), "candid", "rf_snia_vs_nonia")
 
 
 @query("module_chain_check")
@@ -794,11 +818,11 @@ def q_module_chain_check(spark, sf_dir):
 
 @query("slsn_score_check")
 def q_slsn_score_check(spark, sf_dir):
-    return q_slsn_score_md(spark, sf_dir).select("alertId", _bounded("slsn_with_md").alias("score_ok"))
+    df, spec, cuts = _slsn_frame(spark, sf_dir, True)
+    return _rescored(df, spec, cuts, F.col("diaObject.diaObjectId"), "alertId", "slsn_with_md").select("alertId", "score_ok")
 
 
 @query("cats_score_check")
 def q_cats_score_check(spark, sf_dir):
-    d = q_cats_score_md(spark, sf_dir)
-    ok = _bounded("cats_preds_md_prob") & F.col("cats_preds_md_class").between(0, len(DRIVER_MODULES) - 1)
-    return d.select("alertId", F.coalesce(ok, F.lit(False)).alias("score_ok"))
+    df, spec = _cats_frame(spark, sf_dir, True)
+    return _rescored(df, spec, F.lit(True), F.col("diaObject.diaObjectId"), "alertId", "cats_preds_md").select("alertId", "score_ok")
