@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from alertspark.llm.bpe_model import BpeModel, Remembered, pre_tokens, stretches
-from alertspark.llm.common import slices
+from alertspark.llm.common import slices, tidied
 
 
 
@@ -88,26 +88,18 @@ class Codec:
         return len(ids), ids_sha.hexdigest(), text_sha.hexdigest()
 
 
-def codec_of(shared) -> Codec:
-    """The codec of a broadcast model; one for each Python worker, with its table of known pre-tokens."""
-    model = shared.value
-    if not hasattr(model, "_codec"):
-        model._codec = Codec(model)
-    return model._codec
-
-
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` (id, text) -> id, ids array<int>: the token ids of each whole text. Null: no ids."""
     shared = docs.sparkSession.sparkContext.broadcast(BpeModel(model_path))
     schema = T.StructType([docs.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
-        codec = codec_of(shared)
+        codec = Codec(shared.value)  # with its table of known pre-tokens, until the task ends
         for batch in (s for b in batches for s in slices(b, 256)):
             ids = list(codec.encode_batch(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidied(run), schema)
 
 
 def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -116,12 +108,12 @@ def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id"
     schema = T.StructType([encoded.schema[id_col], T.StructField("text", T.StringType())])
 
     def run(batches):
-        codec = codec_of(shared)
+        codec = Codec(shared.value)  # with its table of known pre-tokens, until the task ends
         for batch in (s for b in batches for s in slices(b, 256)):
             texts = [codec.decode(i or []) for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
-    return encoded.select(id_col, ids_col).mapInArrow(run, schema)
+    return encoded.select(id_col, ids_col).mapInArrow(tidied(run), schema)
 
 
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,11 +130,11 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     )
 
     def run(batches):
-        codec = codec_of(shared)
+        codec = Codec(shared.value)  # with its table of known pre-tokens, until the task ends
         for batch in batches:
             rows = [codec.digest(ids) for ids in codec.encode_batch(batch.column(1))]
             n, ids, text = zip(*rows) if rows else ((), (), ())
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidied(run), schema)

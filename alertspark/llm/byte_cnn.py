@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertspark.llm.common import text_buffers
+from alertspark.llm.common import text_buffers, tidied
 
 BLOCK = 512  # half a chunk
 WIDTH, FILTERS, EMBED = 8, 16, 6
@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "label", "raw"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("label", T.IntegerType()), T.StructField("raw", T.BinaryType())])
-    one = texts.mapInArrow(cut, schema).groupBy("id", "label").agg(F.min("raw").alias("raw"))
+    one = texts.mapInArrow(tidied(cut), schema).groupBy("id", "label").agg(F.min("raw").alias("raw"))
     got = sorted((r[0], r[1], bytes(r[2])) for r in one.collect())
     odds = of_class[1] / of_class[0] if len(of_class) == 2 else None
     return fit([r[2] for r in got], [r[1] for r in got], odds)
@@ -208,7 +208,7 @@ def classify(docs: DataFrame, net: Net, threshold: float = 0.3, id_col: str = "d
             scores = [model.score(data[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
-    scored = kept.mapInArrow(run, schema)
+    scored = kept.mapInArrow(tidied(run), schema)
     if keep_columns:
         return scored.withColumn("_predicted", (F.col(name) >= threshold).cast("int"))
     return scored.select(id_col, _held_out(id_col).alias("held_out"), name, (F.col(name) >= threshold).cast("int").alias("predicted"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertspark.llm.common import Scratch, WordHasher, Words, alnum_words, bit_table, in_table, mix
+from alertspark.llm.common import Scratch, WordHasher, Words, alnum_words, bit_table, in_table, mix, tidied
 
 #: Counts that a task gathers before it hands them on.
 FLUSH = 100_000
@@ -58,7 +58,7 @@ def item_windows(items: DataFrame, size: int, shingle: int, id_col: str, text_co
                         out.append((item, words[s : s + n], k, shingle_hashes(some.hashes[a + s : a + s + n], k).view(np.int64).tolist()))
             yield pa.RecordBatch.from_pylist([dict(zip(("item", "words", "k", "shingles"), r)) for r in out], pa.schema([("item", pa.string()), ("words", pa.list_(pa.string())), ("k", pa.int32()), ("shingles", pa.list_(pa.int64()))]))
 
-    return items.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string"), text_col).mapInArrow(run, schema)
+    return items.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string"), text_col).mapInArrow(tidied(run), schema)
 
 
 def _hits(some: Words, table: np.ndarray, sizes: list[int]) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -94,7 +94,7 @@ def shingle_counts(docs: DataFrame, table, sizes: list[int], text_col: str) -> D
                     yield flush()
         yield flush()
 
-    return docs.select(text_col).mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(tidied(run), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
 def scan(docs: DataFrame, table, sizes: list[int], size: int, id_col: str, text_col: str) -> DataFrame:
@@ -121,7 +121,7 @@ def scan(docs: DataFrame, table, sizes: list[int], size: int, id_col: str, text_
                         hits[some.first + d] = row
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(hits, arrow)], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(tidied(run), schema)
 
 
 def contamination(

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertspark.llm.common import Scratch, WordHasher, bit_table, in_table, mix, spaced_words
+from alertspark.llm.common import Scratch, WordHasher, bit_table, in_table, mix, spaced_words, tidied
 
 MINIMA, ROWS, BITS = 256, 5, 2
 BANDS = MINIMA // ROWS
@@ -134,7 +134,7 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
             cols = [batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(bands, longs), pa.array(sketch, longs)]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(tidied(run), schema)
 
 
 def estimated_similarity(a: str, b: str) -> F.Column:
@@ -166,7 +166,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return full.mapInArrow(run, pairs.select("a", "b").schema)
+    return full.mapInArrow(tidied(run), pairs.select("a", "b").schema)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -227,7 +227,7 @@ def shared_keys(classes: DataFrame, scratch: Scratch) -> DataFrame:
             hit = in_table(table.value, keys.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(nodes[hit])], names=["key", "node"])
 
-    maybe = classes.select("node", "bands").mapInArrow(run, "key long, node long")
+    maybe = classes.select("node", "bands").mapInArrow(tidied(run), "key long, node long")
     return scratch.keep(maybe.join(shared, "key"), "members")
 
 
@@ -249,7 +249,7 @@ def wanted_texts(docs: DataFrame, wanted: DataFrame, text_col: str, scratch: Scr
             yield batch.filter(pa.array(hit))
 
     texts = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit(1), text_col).alias("t2"), F.col(text_col).alias("t"))
-    found = texts.mapInArrow(run, "t1 long, t2 long, t string").join(wanted, ["t1", "t2"])
+    found = texts.mapInArrow(tidied(run), "t1 long, t2 long, t string").join(wanted, ["t1", "t2"])
     return scratch.keep(found.groupBy("t1", "t2").agg(F.min("t").alias("t")), "texts")
 
 
@@ -270,7 +270,7 @@ def prefix_rows(nodes: DataFrame, of_class: DataFrame, texts: DataFrame, scratch
             sets = [s for some in signer.shingles(batch.column(2)) for s in some]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "label", "s"])
 
-    sets = scratch.keep(asked.mapInArrow(run, "node long, label long, s array<long>"), "sets")
+    sets = scratch.keep(asked.mapInArrow(tidied(run), "node long, label long, s array<long>"), "sets")
     each = sets.select("node", F.explode("s").alias("key"))
     often = scratch.keep(each.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1"), "often")
     ranked = scratch.keep(each.join(often, "key"), "ranked").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("k", "key"))).alias("r"))

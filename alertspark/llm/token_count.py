@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from alertspark.llm.bpe_model import BpeModel, Remembered, pre_tokens, stretches
-from alertspark.llm.common import text_buffers
+from alertspark.llm.common import text_buffers, tidied
 
 
 class Counter:
@@ -55,12 +55,10 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 1024, id_col: st
 
     def run(batches):
         model, whole = shared.value
-        if not hasattr(model, "_counter"):
-            model._counter = Counter(model, whole)
-        counter = model._counter
+        counter = Counter(model, whole)  # with its table of known pre-tokens, until the task ends
         for batch in batches:
             n = counter.count_batch(batch.column(1))
             cols = [batch.column(0), pa.array(np.diff(text_buffers(batch.column(1))[1])), pa.array(n), pa.array(n > limit)]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidied(run), schema)

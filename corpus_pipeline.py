@@ -69,8 +69,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table ``documents`` of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark)
-    for i, (name, stage) in enumerate(STAGES):
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = scratch.keep(docs, f"stage-{name.replace(' ', '-')}")
+            docs = scratch.keep(docs, f"stage-{i}")
+            scratch.drop(f"stage-{i - 1}")  # nothing reads it any more
     return docs
