@@ -34,8 +34,9 @@ from pyspark.sql.window import Window
 from alertspark.llm.common import TABLE_BITS, Scratch, WordHasher, bit_table, in_table, mix, slices, text_buffers, tidied
 
 SHARDS = 3
-#: Bytes of text worked on at once; phrases counted together before they leave a task, rows that leave it at once.
-AT_ONCE, HELD, SPELLED = 1 << 20, 1 << 19, 1 << 15
+#: Bytes of text worked on at once, in the cyclic scans and in the last one; phrases counted together before they leave
+#: a task, rows that leave it at once.
+AT_ONCE, LAST_AT_ONCE, HELD, SPELLED = 1 << 20, 1 << 22, 1 << 19, 1 << 15
 #: Share of set bits above which the scan's choice is checked by joins.
 FULL = 0.25
 _BREAK = np.zeros(256, bool)
@@ -154,7 +155,7 @@ def step_counts(shard: DataFrame, words: bool, tables, longest: int, parts: bool
     """Hashes of the phrases of a shard (lang, text) that are counted in this step, with their counts within a part of a task.
 
     ``words``: whether single words are counted; ``tables``: broadcast (reached,
-    reached within the last cycle) or None; ``parts``: also the hashes of the
+    reached within the last cycle, lengths of the latter) or None; ``parts``: also the hashes of the
     phrase without its last and without its first word.
     """
 
@@ -165,14 +166,16 @@ def step_counts(shard: DataFrame, words: bool, tables, longest: int, parts: bool
         return pa.RecordBatch.from_arrays(cols, names=["h", "c", "first", "rest"][: len(cols)])
 
     def count(batches):
-        reached, recent = tables.value if tables is not None else (None, None)
+        reached, recent, lengths = tables.value if tables is not None else (None, None, ())
         held, n, hasher = [], 0, WordHasher(~_GAP)
         for span in (span for batch in batches for span, _ in _read(hasher, batch, at_once)):
             for k, before, hashes in span:
                 if k == 1:
                     last = np.arange(len(hashes)) if words else np.zeros(0, np.int64)
-                elif k > longest or reached is None:
+                elif k > longest or k - 1 > max(lengths, default=0):
                     break
+                elif k - 1 not in lengths:
+                    continue
                 else:
                     known = in_table(reached, before)
                     last = np.flatnonzero(known[1:] & known[:-1] & (span.place[1:] >= k - 1)) + 1
@@ -191,7 +194,7 @@ def step_counts(shard: DataFrame, words: bool, tables, longest: int, parts: bool
     return shard.select("lang", "text").mapInArrow(tidied(count), "h bigint, c bigint" + ", first bigint, rest bigint" * parts)
 
 
-def spelled_counts(docs: DataFrame, passed, longest: int, at_once: int = AT_ONCE) -> DataFrame:
+def spelled_counts(docs: DataFrame, passed, longest: int, at_once: int = LAST_AT_ONCE) -> DataFrame:
     """(lang, phrase, k, c): the phrases whose hashes are in the broadcast bit table, counted by their words; k = 0 counts a language's words."""
 
     def count(batches):
@@ -223,13 +226,14 @@ def passing(home: str, docs: DataFrame, least: int, longest: int, shards: int, s
     counts: list[list[str]] = []  # folders of the last steps' tables; big=1 holds what may reach the threshold
     reached: list[str] = []
     bits: list[np.ndarray] = []  # of what each step of the last cycle was the first to see reach the threshold
+    lengths: list[set[int]] = []  # and how many words it has
     known = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
     read = lambda folders, *cols: spark.read.schema("h bigint, c bigint, f bigint").parquet(*folders).select(*cols)
     step = 0
     while step < shards or any(b.any() for b in bits):
         shard = spark.read.schema("lang string, text string, shard int").parquet(home).filter(F.col("shard") == step % shards)
         recent = reduce(np.bitwise_or, bits) if bits else known
-        tables = spark.sparkContext.broadcast((known, recent)) if recent.any() else None
+        tables = spark.sparkContext.broadcast((known, recent, set().union(*lengths))) if recent.any() else None
         full = bool(np.bitwise_count(known).sum() > FULL * (1 << TABLE_BITS))
         rows = step_counts(shard, step < shards, tables, longest, full)
         if full:
@@ -238,7 +242,7 @@ def passing(home: str, docs: DataFrame, least: int, longest: int, shards: int, s
         counts = [*counts, [f for f in (f"{path}/big=0", f"{path}/big=1") if scratch.exists(f)]][-shards:]
         if tables is not None:
             tables.destroy()
-        big, new = [f for some in counts for f in some if f.endswith("1")], np.zeros_like(known)
+        big, new, sizes = [f for some in counts for f in some if f.endswith("1")], np.zeros_like(known), set()
         if big:
             followed = spark.sparkContext.broadcast(bit_table(read(big, "h"), "h"))
             window = _within(read([f for some in counts for f in some], "h", "c"), followed)
@@ -246,8 +250,9 @@ def passing(home: str, docs: DataFrame, least: int, longest: int, shards: int, s
             first = scratch.keep(sums.join(read(reached, "h"), "h", "left_anti") if reached else sums, "reached")
             reached.append(scratch.paths["reached"][-1])
             followed.destroy()
-            new = bit_table(first.filter(F.shiftright("h", 60) < longest), "h")
-        bits = [*bits, new][-shards:]
+            sizes = {r[0] for r in first.select(F.shiftright("h", 60)).distinct().collect()} - {longest}
+            new = bit_table(first.filter(F.shiftright("h", 60) < longest), "h") if sizes else new
+        bits, lengths = [*bits, new][-shards:], [*lengths, sizes][-shards:]
         known = known | new
         if step >= shards - 1:  # behind the next step's window
             scratch.drop(f"step{step - shards + 1}")
