@@ -1,7 +1,12 @@
 """Training-corpus pipeline: five stages over ``documents``, each written and read again before the next.
 
-Every stage but the last returns the columns it got; rows with a null doc_id
-pass the stages that remove documents by id.
+Every stage but the last returns the columns it got, whatever others the table
+has. A document is an id with a text: rows that share an id but not the text are
+judged one by one, rows equal in both stay or go together, also with a null id.
+A null text counts as an empty one. An empty or wordless text is near to nothing
+and holds no window; whether the classifier rejects it is learned. Ties between
+near duplicates go to the smallest id (null before all), then to the smallest
+hash of the text. An empty table passes every stage.
 """
 
 from __future__ import annotations
@@ -27,13 +32,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id."""
-    groups = near_duplicates(docs, words=4, percent=80)
+    groups = near_duplicates(_by_row(docs), words=4, percent=80, id_col="_row")
     return _without(docs, groups.filter("not kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10)
+    found = contamination(_by_row(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10, id_col="_row")
     return _without(docs, found.filter("contaminated"))
 
 
@@ -48,10 +53,17 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return round_trip(docs, TOKENIZER)
 
 
+def _by_row(docs: DataFrame) -> DataFrame:
+    """(_row, text): the id with two hashes of the text, which tell apart rows that share an id."""
+    row = F.struct("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    return docs.select(row.alias("_row"), "text")
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose id isn't among ``gone``; the ids are written first, so that Spark knows whether they are few enough to broadcast."""
-    ids = Scratch(docs.sparkSession).keep(gone.select("doc_id").distinct(), "gone")
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that aren't among the ``_row`` of ``gone``; these are written first, so that Spark knows whether they are few enough to broadcast."""
+    rows = Scratch(docs.sparkSession).keep(gone.select(F.col("_row.doc_id").alias("_id"), "_row.t1", "_row.t2").distinct(), "gone")
+    same = docs["doc_id"].eqNullSafe(rows["_id"]) & (F.xxhash64(docs["text"]) == rows["t1"]) & (F.xxhash64(F.lit(1), docs["text"]) == rows["t2"])
+    return docs.join(rows, same, "left_anti")
 
 
 STAGES = [

@@ -45,3 +45,18 @@ def test_null_ids_and_empty_table(spark):
         for _, stage in P.STAGES[1:]:
             assert stage(spark, df, SF_SMALL).count() == df.count()
         assert P.STAGES[0][1](spark, df, SF_SMALL).count() <= df.count()
+
+
+def test_one_id_on_two_texts(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    item = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").filter("size(split(text, ' ')) >= 12").first()["text"]
+    own = " ".join(f"other{i}" for i in range(60))
+    rows = [(1, long), (5, long), (5, own), (7, f"{own[:30]} {item} end"), (7, "a text of its own"), (None, long), (None, own + " more")]
+    docs = spark.createDataFrame([(i, t, "en", t) for i, t in rows], "doc_id long, text string, lang string, t1 string")
+    kept = P.near_dedup(spark, docs, SF_SMALL)
+    assert kept.columns == docs.columns
+    # of the three rows with the long text that with the null id stays, of the two with the own text (near to each other) too
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(0, long), (0, own + " more"), (7, rows[3][1]), (7, "a text of its own")])
+    clean = P.decontamination(spark, docs, SF_SMALL)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in clean.collect()) == sorted((i or 0, t) for i, t in rows if item not in t)
+
