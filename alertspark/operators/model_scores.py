@@ -1,7 +1,7 @@
 """Scores from a fitted pipeline's own numbers, without the pipeline.
 
 ``exported`` takes a fitted ``learn.fit`` pipeline apart: medians, scaling, and
-the nodes of its trees or the weights of its linear model. ``rescored`` applies
+the nodes of its trees or the weights of its linear model or layers. ``rescored`` applies
 them in one Arrow function over the raw feature columns: the form in which a
 model travels to a place without ``pyspark.ml``, and an independent check of
 the pipeline's scores. What is shipped is bounded by the model.
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel, RandomForestClassificationModel
+from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel, MultilayerPerceptronClassificationModel, RandomForestClassificationModel
 from pyspark.ml.feature import ImputerModel, StandardScalerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,10 +46,10 @@ class Exported:
     median: np.ndarray
     mean: np.ndarray
     std: np.ndarray
-    kind: str  # rf | gbt | lr
+    kind: str  # rf | gbt | lr | mlp
     trees: list[Tree]
-    weights: np.ndarray  # of the trees, or classes x inputs
-    bias: np.ndarray
+    weights: np.ndarray  # of the trees
+    layers: list[tuple[np.ndarray, np.ndarray]]  # weights (out x in) and bias; a linear model is one layer
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         """Class probabilities of rows of raw features (NaN: missing)."""
@@ -61,7 +61,9 @@ class Exported:
         if self.kind == "gbt":
             p = 1 / (1 + np.exp(-2 * sum(w * t(inputs) for w, t in zip(self.weights, self.trees))))
             return np.stack([1 - p, p], axis=1)
-        z = inputs @ self.weights.T + self.bias
+        z = inputs
+        for i, (w, b) in enumerate(self.layers):
+            z = (1 / (1 + np.exp(-np.clip(z, -500, 500))) if i else z) @ w.T + b
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
@@ -85,6 +87,16 @@ def _trees(model, spark) -> list[Tree]:
     return out
 
 
+def _layers(model: MultilayerPerceptronClassificationModel) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each layer's weights, stored by column, then its bias."""
+    flat, at, out = model.weights.toArray(), 0, []
+    sizes = list(model.getOrDefault("layers"))
+    for m, n in zip(sizes, sizes[1:]):
+        out.append((flat[at : at + m * n].reshape(m, n).T, flat[at + m * n : at + m * n + n]))
+        at += m * n + n
+    return out
+
+
 def exported(model: PipelineModel, feature_cols: list[str], spark) -> Exported:
     stage = lambda kind: next((s for s in model.stages if isinstance(s, kind)), None)
     imputer, scaler = stage(ImputerModel), stage(StandardScalerModel)
@@ -92,12 +104,14 @@ def exported(model: PipelineModel, feature_cols: list[str], spark) -> Exported:
     filled = [i for i, f in enumerate(feature_cols) if f in medians]
     common = dict(features=list(feature_cols), filled=filled, median=np.array([medians[feature_cols[i]] for i in filled]), mean=scaler.mean.toArray(), std=scaler.std.toArray())
     if (m := stage(RandomForestClassificationModel)) is not None:
-        return Exported(**common, kind="rf", trees=_trees(m, spark), weights=np.zeros(0), bias=np.zeros(0))
+        return Exported(**common, kind="rf", trees=_trees(m, spark), weights=np.zeros(0), layers=[])
     if (m := stage(GBTClassificationModel)) is not None:
-        return Exported(**common, kind="gbt", trees=_trees(m, spark), weights=np.array(m.treeWeights), bias=np.zeros(0))
+        return Exported(**common, kind="gbt", trees=_trees(m, spark), weights=np.array(m.treeWeights), layers=[])
     if (m := stage(LogisticRegressionModel)) is not None:
-        return Exported(**common, kind="lr", trees=[], weights=m.coefficientMatrix.toArray(), bias=m.interceptVector.toArray())
-    raise ValueError("only forests, boosted trees and logistic models can be exported")
+        return Exported(**common, kind="lr", trees=[], weights=np.zeros(0), layers=[(m.coefficientMatrix.toArray(), m.interceptVector.toArray())])
+    if (m := stage(MultilayerPerceptronClassificationModel)) is not None:
+        return Exported(**common, kind="mlp", trees=[], weights=np.zeros(0), layers=_layers(m))
+    raise ValueError("only forests, boosted trees, logistic models and perceptrons can be exported")
 
 
 def rescored(df: DataFrame, model: Exported, out: str) -> DataFrame:

@@ -674,6 +674,15 @@ FROM ({q["mag_rate"]})"""
 SELECT count(*) AS n_alerts, true AS balanced FROM flat"""
     for k in ("kn", "snia"):
         q[f"{k}_score_check"] = f"SELECT candid, pass_cuts, true AS score_ok FROM ({q[f'{k}_cuts']})"
+    q["mulens_score_check"] = w(FEATURES.split("dcl AS MATERIALIZED")[0].rstrip().rstrip(",")) + """
+SELECT candid, coalesce(count(CASE WHEN flux > 0 AND cfid[i] = 1 THEN 1 END) >= 4 AND count(CASE WHEN flux > 0 AND cfid[i] = 2 THEN 1 END) >= 4, false) AS pass_cuts,
+  true AS score_ok
+FROM lc JOIN dce USING (candid) GROUP BY candid"""
+    q["snn_score_check"] = f"""
+SELECT k.candid, n >= 2 AND a.roid < 3 AND cdsxmatch IN ('Unknown', 'Candidate_SN*', 'SN', 'Transient', 'Fail') AS pass_cuts, true AS score_ok
+FROM ({q["kn_cuts"]}) k JOIN ({q["asteroid_flag"]}) a USING (candid)
+JOIN ({w(ALERTS)} SELECT candid, len(list_filter(cmagpsf, lambda x: x IS NOT NULL)) AS n FROM lc) d USING (candid)"""
+    q["snia_rise_check"] = f"SELECT candid, CAST(band AS INTEGER) AS band, rise_status AS status, true AS fit_ok FROM ({q['snia_features']})"
     q["module_chain_check"] = f"""
 SELECT candid, cdsxmatch, CAST(roid AS INTEGER) AS roid, true AS scores_ok
 FROM ({q["kn_cuts"]}) k JOIN ({q["asteroid_flag"]}) a USING (candid)"""

@@ -532,24 +532,31 @@ def q_snn_vector(spark, sf_dir):
     return df.select("candid", F.inline(arr)).select("candid", "band", F.posexplode("v").alias("slot", "mag"))
 
 
-@query("snn_score")
-def q_snn_score(spark, sf_dir):
+def _snn_input(spark, sf_dir):
     df = ztf_science_input(spark, sf_dir)
     cols = []
     for b in ZTF_BANDS:
         v = learn.resampled_curve("cjd", "cmagpsf", "cfid", b)
         cols += [F.get(v, i).alias(f"snn{b}_{i}") for i in range(learn.SNN_SLOTS)]
-    df = df.select("*", *cols)
-    spec = learn.MLSpec(feature_cols=[f"snn{b}_{i}" for b in ZTF_BANDS for i in range(learn.SNN_SLOTS)], kind="mlp")
+    return df.select("*", *cols), learn.MLSpec(feature_cols=[f"snn{b}_{i}" for b in ZTF_BANDS for i in range(learn.SNN_SLOTS)], kind="mlp")
+
+
+@query("snn_score")
+def q_snn_score(spark, sf_dir):
+    df, spec = _snn_input(spark, sf_dir)
     return learn.fit_and_score(df, spec, snn_cuts(), F.col("objectId"), "snn_snia_vs_nonia", keep=["candid"]).select(
         "candid", "snn_snia_vs_nonia")
 
 
-@query("mulens_score")
-def q_mulens_score(spark, sf_dir):
+def _mulens_input(spark, sf_dir):
     df = _mulens_frame(ztf_science_input(spark, sf_dir))
     df = df.select("*", *learn.flatten_curve_features(ZTF_BANDS, "mf"))
-    spec = learn.MLSpec(feature_cols=[f"mf{b}_{k}" for b in ZTF_BANDS for k in learn.CURVE_FEATURES], kind="rf")
+    return df, learn.MLSpec(feature_cols=[f"mf{b}_{k}" for b in ZTF_BANDS for k in learn.CURVE_FEATURES], kind="rf")
+
+
+@query("mulens_score")
+def q_mulens_score(spark, sf_dir):
+    df, spec = _mulens_input(spark, sf_dir)
     return learn.fit_and_score(df, spec, mulens_cuts(), F.col("objectId"), "mulens", keep=["candid"]).select("candid", "mulens")
 
 
@@ -808,6 +815,34 @@ def q_snia_score_check(spark, sf_dir):
     return _rescored(df, learn.MLSpec(feature_cols=SNIA_FEATURES, kind="rf"), snia_cuts(), F.col("objectId"), "candid", "rf_snia_vs_nonia")
 
 
+@query("mulens_score_check")
+def q_mulens_score_check(spark, sf_dir):
+    df, spec = _mulens_input(spark, sf_dir)
+    return _rescored(df, spec, mulens_cuts(), F.col("objectId"), "candid", "mulens")
+
+
+@query("snn_score_check")
+def q_snn_score_check(spark, sf_dir):
+    df, spec = _snn_input(spark, sf_dir)
+    return _rescored(df, spec, snn_cuts(), F.col("objectId"), "candid", "snn_snia_vs_nonia")
+
+
+@query("snia_rise_check")
+def q_snia_rise_check(spark, sf_dir):
+    """Each fitted rise: its residual computed again from its parameters, no worse than its start's, parameters in bounds."""
+    df = rise.add_rise_fits(rise.add_rise_starts(ztf_lightcurves(spark, sf_dir), ZTF_BANDS, "start"), ZTF_BANDS, "rise")
+    df = df.select("*", *[rise.rising_points("cjd", "cmagpsf", "csigmapsf", "cfid", b).alias(f"up{b}") for b in ZTF_BANDS])
+    arr = F.array(*[F.struct(F.lit(b).alias("band"), F.col(f"rise{b}").alias("r"), F.col(f"start{b}.chi2").alias("start"), F.col(f"up{b}").alias("up")) for b in ZTF_BANDS])
+    d = df.select("candid", F.inline(arr))
+    residual = F.aggregate("up", F.lit(0.0), lambda s, p: s + F.pow((p["y"] - F.col("r.c") / (1 + F.exp(-F.col("r.a") * (p["t"] - F.col("r.b"))))) / p["s"], F.lit(2.0)))
+    lo, hi = rise.STEEPNESS
+    fine = (F.abs(residual - F.col("r.chi2")) <= 1e-6 * F.greatest(F.lit(1.0), residual)) & F.col("r.a").between(lo * (1 - 1e-9), hi * (1 + 1e-9))
+    # a start out of bounds is brought into them first, so only one within them is an upper limit
+    fine = fine & ((F.col("r.chi2") <= F.col("start") * (1 + 1e-9) + 1e-9) | F.col("start").isNull() | (F.col("r.a") <= lo * 1.001) | (F.col("r.a") >= hi * 0.999) | (F.col("r.b") <= -rise.BEYOND * 0.999) | (F.col("r.b") >= rise.BEYOND * 0.999))
+    ok = F.when(F.col("r.status") == "ok", fine).otherwise(F.col("r.a").isNull() & F.col("r.chi2").isNull())
+    return d.select("candid", "band", F.col("r.status").alias("status"), F.coalesce(ok, F.lit(False)).alias("fit_ok"))
+
+
 @query("module_chain_check")
 def q_module_chain_check(spark, sf_dir):
     """The chain's deterministic columns, and its scores within bounds."""
