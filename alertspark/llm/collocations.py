@@ -78,11 +78,14 @@ def _marked(h: np.ndarray, k: int) -> np.ndarray:
 class Span:
     """Words of a span: place in the piece, language, and hashes of the phrases that end there."""
 
-    def __init__(self, hasher: WordHasher, data: np.ndarray, ends: np.ndarray, lang: np.ndarray, lang_hash: np.ndarray):
-        self.low, self.start, self.end, self.own = hasher.piece(data, ends)
-        doc = np.searchsorted(ends, self.start, "right")
+    def __init__(self, hasher: WordHasher, data: np.ndarray, ends: np.ndarray, lang: np.ndarray, lang_hash: np.ndarray, named: bool = False):
+        if named:
+            start = self._name_words(hasher, data, ends)
+        else:
+            _, start, _, self.own = hasher.piece(data, ends)
+        doc = np.searchsorted(ends, start, "right")
         # a piece begins behind a break and with a document
-        part = np.cumsum(_BREAK[self.low], dtype=np.int32)[self.start] + doc
+        part = np.cumsum(_BREAK[data], dtype=np.int32)[start] + doc
         at = np.arange(len(part))
         first = np.ones(len(part), bool)
         first[1:] = part[1:] != part[:-1]
@@ -90,17 +93,28 @@ class Span:
         self.lang = lang[doc]
         self.hash = _marked(mix(self.own ^ lang_hash[self.lang]), 1)
 
-    def name_words(self) -> None:
-        """Number the distinct words, and lay them out again, each followed by one space."""
-        both = np.empty(2 * len(self.start), np.int64)
-        both[0::2], both[1::2] = self.start, self.end
-        pieces = pa.Array.from_buffers(pa.large_binary(), max(0, len(both) - 1), [None, pa.py_buffer(both), pa.py_buffer(self.low)])
+    def _name_words(self, hasher: WordHasher, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Number the distinct words, hash these alone, and lay them out again, each followed by one space; the words' starts."""
+        low = hasher.lower[data]
+        word = ~_GAP[low]
+        edge = np.diff(word, prepend=False)
+        cut = ends[(ends > 0) & (ends < len(low))]
+        edge[cut[word[cut]]] = True  # where a document begins with a word
+        start = np.flatnonzero(edge & word)
+        closed = np.append(edge | ~word, True)
+        closed[cut[word[cut - 1]]] = True
+        end = np.flatnonzero(closed[1:] & word) + 1
+        both = np.empty(2 * len(start), np.int64)
+        both[0::2], both[1::2] = start, end
+        pieces = pa.Array.from_buffers(pa.large_binary(), max(0, len(both) - 1), [None, pa.py_buffer(both), pa.py_buffer(low)])
         found = pieces.take(pa.array(np.arange(0, len(both), 2))).dictionary_encode()
         distinct = found.dictionary.to_pylist()
         self.code = found.indices.to_numpy()
         size = np.fromiter((len(w) + 1 for w in distinct), np.int64, len(distinct))
         self.flat = np.frombuffer(b"".join(w + b" " for w in distinct), np.uint8)
         self.at, self.size = (np.cumsum(size) - size)[self.code], size[self.code]
+        self.own = hasher.piece(self.flat, np.zeros(0, np.int64))[3][self.code] if distinct else np.zeros(0, np.uint64)
+        return start
 
     def grow(self, k: int, prefix: np.ndarray) -> np.ndarray:
         """Hashes of the phrases of k words by their last word; ``prefix`` are those of k - 1 words."""
@@ -143,12 +157,12 @@ class Span:
         return pa.Array.from_buffers(pa.large_string(), len(last), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat[keep])]).cast(pa.string())
 
 
-def _read(hasher: WordHasher, batch: pa.RecordBatch, at_once: int) -> Iterator[tuple[Span, list[str]]]:
+def _read(hasher: WordHasher, batch: pa.RecordBatch, at_once: int, named: bool = False) -> Iterator[tuple[Span, list[str]]]:
     langs = batch.column(0).dictionary_encode()
     names = langs.dictionary.to_pylist()
     code, lang_hash = langs.indices.to_numpy(), np.array([xxhash.xxh3_64_intdigest(x.encode(), 1) for x in names], np.uint64)
     for data, ends, docs in _spans(batch.column(1), at_once):
-        yield Span(hasher, data, ends, code[docs], lang_hash), names
+        yield Span(hasher, data, ends, code[docs], lang_hash, named), names
 
 
 def step_counts(shard: DataFrame, words: bool, tables, longest: int, parts: bool = False, at_once: int = AT_ONCE) -> DataFrame:
@@ -200,8 +214,7 @@ def spelled_counts(docs: DataFrame, passed, longest: int, at_once: int = LAST_AT
     def count(batches):
         table, hasher = passed.value, WordHasher(~_GAP)
         for batch in batches:
-            for span, names in _read(hasher, batch, at_once):
-                span.name_words()
+            for span, names in _read(hasher, batch, at_once, named=True):
                 lang_of = pa.array(names, pa.string())
                 per_lang = np.bincount(span.lang, minlength=len(names))
                 yield pa.RecordBatch.from_arrays([lang_of, pa.array([""] * len(names)), pa.array(np.zeros(len(names), np.int32)), pa.array(per_lang.astype(np.int64))], names=["lang", "phrase", "k", "c"])

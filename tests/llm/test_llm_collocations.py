@@ -61,8 +61,7 @@ def test_equals_brute_force(spark, rows, monkeypatch):
 
 def test_phrases_of_one_hash_are_kept_apart():
     text = b"a b a b c a b d a b"
-    span = C.Span(C.WordHasher(~C._GAP), np.frombuffer(text * 2, np.uint8), np.array([len(text), 2 * len(text)]), np.array([0, 1]), np.array([5, 6], np.uint64))
-    span.name_words()
+    span = C.Span(C.WordHasher(~C._GAP), np.frombuffer(text * 2, np.uint8), np.array([len(text), 2 * len(text)]), np.array([0, 1]), np.array([5, 6], np.uint64), named=True)
     last = np.flatnonzero(span.place >= 1)
     for hashes in (span.grow(2, span.hash)[last], np.zeros(len(last), np.uint64)):
         one, count = span.groups(2, last, hashes)
@@ -70,6 +69,14 @@ def test_phrases_of_one_hash_are_kept_apart():
         assert got == {(k, w): c for k in (0, 1) for w, c in {"a b": 4, "b a": 1, "b c": 1, "c a": 1, "b d": 1, "d a": 1}.items()}
 
 
+def test_both_ways_to_read_a_span_agree():
+    texts = ["a b. c", "d", "", "e  f,", "Ab\tC d;e", " x", "y "]
+    data, ends = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([len(t) for t in texts])
+    spans = [C.Span(C.WordHasher(~C._GAP), data, ends, np.arange(7), np.arange(7).astype(np.uint64), named) for named in (False, True)]
+    assert (spans[0].own == spans[1].own).all() and (spans[0].hash == spans[1].hash).all() and (spans[0].place == spans[1].place).all()
+    assert spans[1].spell(1, np.arange(len(spans[1].own))).to_pylist() == "a b c d e f ab c d e x y".split()
+
+
 def test_top_longest_and_percent(spark, rows):
     df = spark.createDataFrame(rows, "lang string, text string")
     got = set(map(tuple, collocations(df, least=20, longest=3, top=4, percent=60, shards=1).collect()))
