@@ -51,6 +51,9 @@ class Codec:
         self.decimal = _ragged_bytes([b"%d," % i for i in range(len(model.bytes_of))])
 
     def _make(self, stretch: str) -> tuple[int, ...]:
+        known = self.words.get(stretch)  # mostly a stretch is one pre-token
+        if known is not None:
+            return known
         if stretch in self.model.special:
             return (self.model.special[stretch],)
         return tuple([i for s in pre_tokens(stretch) for i in self.words[s]])

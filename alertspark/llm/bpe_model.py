@@ -26,9 +26,9 @@ import regex
 from alertspark.llm.common import text_buffers
 
 #: Strings of up to so many characters are remembered, twice so many of them at most.
-REMEMBERED_CHARS, REMEMBERED = 64, 40_000
+REMEMBERED_CHARS, REMEMBERED = 64, 80_000
 #: Bytes of text whose distinct stretches are found at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 21
 #: A rule is its rank << 32 | the token it makes.
 _NO_RULE, _ID = 1 << 62, (1 << 32) - 1
 
