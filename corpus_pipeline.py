@@ -32,14 +32,16 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id."""
-    groups = near_duplicates(_by_row(docs), words=4, percent=80, id_col="_row")
-    return _without(docs, groups.filter("not kept"))
+    rows, row = _rows(docs)
+    groups = near_duplicates(rows, words=4, percent=80, id_col=row)
+    return _without(rows, groups.filter("not kept"), row)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = contamination(_by_row(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10, id_col="_row")
-    return _without(docs, found.filter("contaminated"))
+    rows, row = _rows(docs)
+    found = contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10, id_col=row)
+    return _without(rows, found.filter("contaminated"), row)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,17 +55,21 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return round_trip(docs, TOKENIZER)
 
 
-def _by_row(docs: DataFrame) -> DataFrame:
-    """(_row, text): the id with two hashes of the text, which tell apart rows that share an id."""
-    row = F.struct("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
-    return docs.select(row.alias("_row"), "text")
+def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a column that names each, and the column: the id, or with two hashes of the text where some id stands for several texts."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b"))
+    if hashed.filter("doc_id is null or a <> b").isEmpty():
+        return docs.withColumn(name, F.col("doc_id")), name
+    return docs.withColumn(name, F.struct("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))), name
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents that aren't among the ``_row`` of ``gone``; these are written first, so that Spark knows whether they are few enough to broadcast."""
-    rows = Scratch(docs.sparkSession).keep(gone.select(F.col("_row.doc_id").alias("_id"), "_row.t1", "_row.t2").distinct(), "gone")
-    same = docs["doc_id"].eqNullSafe(rows["_id"]) & (F.xxhash64(docs["text"]) == rows["t1"]) & (F.xxhash64(F.lit(1), docs["text"]) == rows["t2"])
-    return docs.join(rows, same, "left_anti")
+def _without(rows: DataFrame, gone: DataFrame, row: str) -> DataFrame:
+    """The documents that aren't among ``gone``; these are written first, so that Spark knows whether they are few enough to broadcast."""
+    ids = Scratch(rows.sparkSession).keep(gone.select(F.col(row).alias("_gone")).distinct(), "gone")
+    return rows.join(ids, rows[row].eqNullSafe(ids["_gone"]), "left_anti").drop(row)
 
 
 STAGES = [
