@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from alertspark.llm.bpe_model import BpeModel, Remembered, pre_tokens, stretches
+from alertspark.llm.bpe_model import AT_ONCE, REMEMBERED, BpeModel, Remembered, pre_tokens, stretches
 from alertspark.llm.common import slices, tidied
 
 
@@ -44,9 +44,9 @@ def _ragged_bytes(rows: list[bytes]) -> Ragged:
 
 
 class Codec:
-    def __init__(self, model: BpeModel):
-        self.model = model
-        self.words = Remembered(lambda s: tuple(model.pre_token(s)))
+    def __init__(self, model: BpeModel, at_once: int = AT_ONCE, remembered: int = REMEMBERED):
+        self.model, self.at_once = model, at_once
+        self.words = Remembered(lambda s: tuple(model.pre_token(s)), remembered)
         self.bytes_of = _ragged_bytes(model.bytes_of)
         self.decimal = _ragged_bytes([b"%d," % i for i in range(len(model.bytes_of))])
 
@@ -60,7 +60,7 @@ class Codec:
 
     def encode_batch(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each whole text, in order."""
-        for some in stretches(texts, self.model.special):
+        for some in stretches(texts, self.model.special, self.at_once):
             made = list(map(self._make, some.texts))
             lengths = np.fromiter(map(len, made), np.int64, len(made))
             table = Ragged(np.fromiter(chain.from_iterable(made), np.int32, int(lengths.sum())), lengths)
@@ -119,13 +119,14 @@ def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id"
     return encoded.select(id_col, ids_col).mapInArrow(tidied(run), schema)
 
 
-def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", at_once: int = AT_ONCE, remembered: int = REMEMBERED) -> DataFrame:
     """Encode each whole text, decode it again, and return digests of both.
 
     One row per input row: id, n_tokens, ids_sha256, decoded_sha256. A null or
     empty text has 0 tokens and the digests of the empty string. Repeated rows
     give repeated results, a null id stays null, other columns are not read.
-    No shuffle; the model is broadcast (bounded by the vocabulary).
+    No shuffle; the model is broadcast (bounded by the vocabulary). A task works
+    on about ``at_once`` bytes at a time and remembers twice ``remembered`` strings.
     """
     shared = docs.sparkSession.sparkContext.broadcast(BpeModel(model_path))
     schema = T.StructType(
@@ -133,7 +134,7 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     )
 
     def run(batches):
-        codec = Codec(shared.value)  # with its table of known pre-tokens, until the task ends
+        codec = Codec(shared.value, at_once, remembered)  # with its table of known pre-tokens, until the task ends
         for batch in batches:
             rows = [codec.digest(ids) for ids in codec.encode_batch(batch.column(1))]
             n, ids, text = zip(*rows) if rows else ((), (), ())

@@ -52,7 +52,8 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's number of tokens and the digests of its ids and of the text decoded from them."""
-    return round_trip(docs, TOKENIZER)
+    # small pieces and a small memo: the executors still hold what the stages before grew to
+    return round_trip(docs, TOKENIZER, at_once=1 << 20, remembered=30_000)
 
 
 def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
