@@ -38,6 +38,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alertspark.functions.arrays import let
+from alertspark.session import cpu_count, reliable_checkpoint
+
 DEFAULT_BROADCAST_ROWS = 2_000_000
 #: Bytes of positions, ids and payload that may be broadcast.
 BROADCAST_BYTES = 256 << 20
@@ -162,9 +165,12 @@ def catalog_fits_broadcast(catalog: DataFrame, max_rows: int, max_bytes: int | N
 
 def _split_dense(catalog: DataFrame, grid: _Grid, fine: _Grid | None, payload: Sequence[str], ra: str, dec: str, source_id: str, dense: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """(cells of the grid without dense ones, cells of the finer grid with the dense ones' sources, keys of the dense cells)."""
-    cells = _catalog_cells(catalog, grid, payload, ra, dec, source_id)
+    # the keys take long expressions and are read up to four times: they are made once, by as many tasks as there are cores
+    # however few files the catalogue has
+    cells = _catalog_cells(catalog.repartition(cpu_count(catalog.sparkSession)), grid, payload, ra, dec, source_id)
     if fine is None:
         return cells, None, None
+    cells = reliable_checkpoint(cells)
     keys = cells.groupBy("_zone", "_bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > dense).select("_zone", "_bucket")
     inside = cells.join(keys, ["_zone", "_bucket"], "left_semi").drop("_zone", "_bucket")
     # a source stands in several cells, of which more than one may be dense
