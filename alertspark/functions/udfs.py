@@ -7,6 +7,7 @@ function stays importable (``.func``) and is unit-tested directly.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -29,21 +30,30 @@ def vectorised_udf(fn: Callable[..., pd.Series], return_type) -> Callable[..., C
     return u
 
 
+#: Rows of a key from which its rows are dealt over several sub-groups of about as many.
+PART_ROWS = 20_000
+
+
 def grouped_apply(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
-                  combine: dict[str, str], salt_col: str, salt_buckets: int = 16) -> DataFrame:
+                  combine: dict[str, str], salt_col: str, part_rows: int = PART_ROWS) -> DataFrame:
     """Grouped user function made safe for very large groups.
 
-    ``fn`` maps one sub-group (rows of a key sharing ``xxhash64(salt_col) %
-    salt_buckets``) to partial results with the columns named in
-    ``combine``; the partials of a key are then merged natively with the
-    given aggregate (``"sum"``, ``"min"``, ``"max"``). So one hot key is split
-    over ``salt_buckets`` tasks and no task ever holds a whole group.
+    ``fn`` maps one sub-group to partial results with the columns named in
+    ``combine``; the partials of a key are then merged natively with the given
+    aggregate (``"sum"``, ``"min"``, ``"max"``). A key of at most ``part_rows``
+    rows is one sub-group, since each costs a call; a larger one is dealt by
+    ``xxhash64(salt_col)`` over as many as its rows ask for, so no task ever
+    holds a whole large group. A NULL key is a key like any other.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(salt_col)), F.lit(salt_buckets)).cast("int"))
+    parts = F.ceil(F.count(F.lit(1)) / F.lit(part_rows)).cast("int")
+    busy = df.groupBy(*keys).agg(parts.alias("_parts")).where("_parts > 1").select(*[F.col(k).alias(f"_key_{k}") for k in keys], "_parts")
+    same = functools.reduce(lambda a, b: a & b, [df[k].eqNullSafe(busy[f"_key_{k}"]) for k in keys])
+    dealt = F.pmod(F.xxhash64(F.col(salt_col)), F.coalesce(F.col("_parts"), F.lit(1))).cast("int")
+    salted = df.join(busy, same, "left").select(*df.columns, dealt.alias("_salt"))
     full_schema = ", ".join([f"{k} {df.schema[k].dataType.simpleString()}" for k in keys] + [schema])
-    parts = salted.groupBy(*keys, "_salt").applyInPandas(fn, full_schema)
+    partial = salted.groupBy(*keys, "_salt").applyInPandas(fn, full_schema)
     aggs = [getattr(F, how)(c).alias(c) for c, how in combine.items()]
-    return parts.groupBy(*keys).agg(*aggs)
+    return partial.groupBy(*keys).agg(*aggs)
 
 
 # ------------------------------------------------------------------ example hooks used by the registered queries
