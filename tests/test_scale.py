@@ -36,6 +36,14 @@ def test_templates_are_fitted_in_batches(spark):
     assert r.kt1.flux_peak == pytest.approx(10 ** (0.4 * 8)) and r.kt1.snr_mean is None and r.kt1.snr_max is not None and r.kt2 is None
 
 
+def test_points_without_a_time_are_on_no_template(spark):
+    rows = [(1, [1.0, None, 2.0], [18.0, 17.0, 18.5], [0.1] * 3, [1, 1, 1]), (2, [None, 3.0], [18.0, 17.0], [0.1] * 2, [1, 2]), (3, [None], [18.0], [0.1], [None])]
+    df = spark.createDataFrame(rows, "candid long, cjd array<double>, cmagpsf array<double>, csigmapsf array<double>, cfid array<int>")
+    got = {r.candid: r for r in kn.add_kilonova_features(df).collect()}
+    assert got[1].kt1.flux_peak == pytest.approx(10 ** (0.4 * 8)) and got[1].kt1.tpl0_coef > 0
+    assert got[2].kt1.tpl0_coef is None and got[2].kt1.tpl0_shift == 0 and got[2].kt_colour.n_colour == 0 and got[3].kt1 is None
+
+
 def test_catalogue_cells_are_made_once(spark, tmp_path):
     spark.createDataFrame([(i, 0.01 * i, 0.0, "x") for i in range(50)], "source_id long, ra double, dec double, label string").write.parquet(f"{tmp_path}/cat")
     alerts = spark.createDataFrame([(1, 0.1, 0.0), (2, 5.0, 0.0), (None, None, None)], "candid long, ra double, dec double")
