@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from alertspark.functions import udfs
 from alertspark.operators import features as feats
 from alertspark.operators import kilonova as kn
+from alertspark.operators import learn
 from alertspark.operators import lightcurve as lcv
 from alertspark.operators import skymatch as sky
 from alertspark.plans import modules as mods
@@ -81,3 +82,20 @@ def test_modules_get_their_input_columns_only(spark):
     assert set(mods.module_inputs(df, ["Asteroid"]).columns) == {"objectId", "candid", "candidate", "label", "cjd", "cmagpsf"}
     every = mods.module_inputs(df).columns
     assert "prv_candidates" not in every and {"cdiffmaglim", "cisdiffpos", "cdistnr"} <= set(every)
+
+
+_CURVE = "candid long, cjd array<double>, cmagpsf array<double>, csigmapsf array<double>, cfid array<int>"
+
+
+def _in_batches(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return "ArrowEvalPython" in plan and "lambda" not in plan
+
+
+def test_curve_features_are_made_in_batches(spark):
+    rows = [(1, [1.0, 2.0, 4.0], [18.0, 17.0, 17.5], [0.1, 0.2], [1, 1, 1]), (2, [1.0], [None], [0.1], [1]), (3, None, [18.0], [0.1], [1]), (4, [1.0, 2.0], [18.0, 18.5], [0.1, 0.1], [2, 1])]
+    out = learn.add_curve_features(spark.createDataFrame(rows, _CURVE), [1, 2], "cf", "cjd", "cmagpsf", "csigmapsf", "cfid", "lower")
+    assert _in_batches(out)
+    got = {r.candid: r.cf1 for r in out.collect()}
+    assert got[1][:4] == (3, 17.0, 17.5, 17.5) and got[1].rise_frac == 0.5 and got[1].span == 3.0 and got[1].err_mean is None  # the shorter array ends in NULL
+    assert got[2][:] == (0, *[None] * 7) and got[3][:] == (None,) * 8 and got[4].n == 1 and got[4].slope is None and got[4].span == 0.0
