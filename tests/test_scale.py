@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from alertspark.functions import udfs
 from alertspark.operators import features as feats
 from alertspark.operators import kilonova as kn
-from alertspark.operators import learn
+from alertspark.operators import learn, rise
 from alertspark.operators import lightcurve as lcv
 from alertspark.operators import skymatch as sky
 from alertspark.plans import modules as mods
@@ -99,3 +99,13 @@ def test_curve_features_are_made_in_batches(spark):
     got = {r.candid: r.cf1 for r in out.collect()}
     assert got[1][:4] == (3, 17.0, 17.5, 17.5) and got[1].rise_frac == 0.5 and got[1].span == 3.0 and got[1].err_mean is None  # the shorter array ends in NULL
     assert got[2][:] == (0, *[None] * 7) and got[3][:] == (None,) * 8 and got[4].n == 1 and got[4].slope is None and got[4].span == 0.0
+
+
+def test_rises_are_fitted_from_points_made_in_batches(spark):
+    up = [20.0, 19.0, 18.0, 17.5, 17.2]
+    rows = [(1, [1.0, 2.0, 3.0, 4.0, 5.0], up, [0.1] * 5, [1] * 5), (2, [1.0, None, 3.0, 4.0, 5.0], up, [0.1] * 5, [1] * 5), (3, None, up, [0.1] * 5, [1] * 5), (4, [1.0, 2.0, 3.0, 4.0, 5.0], up, [0.1, None, 0.0, 0.1, 0.1], [1] * 5)]
+    out = rise.add_rise_fits(spark.createDataFrame(rows, _CURVE))
+    assert _in_batches(out)
+    got = {r.candid: r.rise1 for r in out.collect()}
+    assert got[1].status == "ok" and got[1].n_rise == 5 and got[1].chi2 >= 0 and got[4].n_rise == 3
+    assert got[2][:] == ("too_few", 5, None, None, None, None) and got[3][:] == ("too_few", 0, None, None, None, None)
