@@ -1,5 +1,6 @@
 """Steps that must not repeat work, or hold more at once, as tables grow."""
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +110,20 @@ def test_rises_are_fitted_from_points_made_in_batches(spark):
     got = {r.candid: r.rise1 for r in out.collect()}
     assert got[1].status == "ok" and got[1].n_rise == 5 and got[1].chi2 >= 0 and got[4].n_rise == 3
     assert got[2][:] == ("too_few", 5, None, None, None, None) and got[3][:] == ("too_few", 0, None, None, None, None)
+
+
+def test_trend_and_shape_features_are_made_in_batches(spark):
+    rows = [(1, [1.0, 2.0, 3.5, 5.0], [18.0, 17.5, 17.0, 17.4], [0.1, 0.1, 0.2, 0.1], [1] * 4, [0.1] * 4), (2, [1.0, None, 3.0], [18.0, 17.5, 17.0], [0.1, 0.0, 0.2], [1] * 3, [0.1] * 3),
+            (3, [1.0, 2.0], [18.0, 17.5], [0.1, 0.1], [1, 1], None)]
+    df = spark.createDataFrame(rows, _CURVE + ", cdistnr array<double>")
+    out = feats.lc_features_long(df, ["candid"], feats.FEATURES_TREND + feats.FEATURES_SHAPE, bands=(1,))
+    assert _in_batches(out)
+    got = {r.candid: r for r in out.collect()}
+    m, t = np.array(rows[0][2]), np.array(rows[0][1]) - 1.0
+    assert got[1].linear_trend == pytest.approx(np.polyfit(t, m, 1)[0]) and got[1].max_slope == pytest.approx(0.5) and got[1].stetson_K is not None
+    z = (m - m.mean()) / m.std(ddof=1)
+    assert got[1].skew == pytest.approx(4 / 6 * (z**3).sum())
+    assert got[2].linear_trend is None and got[2].eta is not None and got[2].stetson_K is None and got[2].max_slope is None
+    assert got[3].eta is None and got[3].skew is None
+    both = feats.lc_features_long(df, ["candid"], ["skew", "median", "n", "eta"], bands=(1,)).orderBy("candid").collect()
+    assert [(r.skew, r.eta) for r in both] == [(got[k].skew, got[k].eta) for k in (1, 2, 3)] and both[0].median == pytest.approx(17.45) and [r.n for r in both] == [4, 3, None]
