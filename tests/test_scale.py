@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from alertspark.functions import udfs
 from alertspark.operators import features as feats
 from alertspark.operators import kilonova as kn
-from alertspark.operators import learn, rise
+from alertspark.operators import learn, rise, sso_spin
 from alertspark.operators import lightcurve as lcv
 from alertspark.operators import skymatch as sky
 from alertspark.plans import modules as mods
@@ -127,3 +127,33 @@ def test_trend_and_shape_features_are_made_in_batches(spark):
     assert got[3].eta is None and got[3].skew is None
     both = feats.lc_features_long(df, ["candid"], ["skew", "median", "n", "eta"], bands=(1,)).orderBy("candid").collect()
     assert [(r.skew, r.eta) for r in both] == [(got[k].skew, got[k].eta) for k in (1, 2, 3)] and both[0].median == pytest.approx(17.45) and [r.n for r in both] == [4, 3, None]
+
+
+def _observed(objects, each):
+    rng = np.random.default_rng(4)
+    rows = [(f"o{k}", int(rng.integers(1, 3)), float(rng.uniform(1, 25)), float(rng.normal(15, 0.2)), 0.02, float(rng.uniform(0, 360)), float(rng.uniform(-60, 60))) for k in range(objects) for _ in range(each)]
+    return rows, "ssnamenr string, fid int, phase_deg double, mred double, sigmapsf double, ra double, dec double"
+
+
+def test_small_objects_shuffle_observations_only(spark, monkeypatch):
+    df = spark.createDataFrame(*_observed(3, 40))
+
+    def never(*_):
+        raise AssertionError("sums of a small object are shuffled")
+
+    monkeypatch.setattr(sso_spin, "_partial_sums", never)
+    assert sso_spin.grid_chi2(df).count() == 3 * len(sso_spin.coarse_grid())
+    assert sso_spin.joint_model(df).where("bands is not null").count() == 3
+
+
+def test_objects_searched_whole_equal_those_searched_in_parts(spark, monkeypatch):
+    df = spark.createDataFrame(*_observed(2, 60))
+    one = {r.ssnamenr: r for r in sso_spin.joint_model(df).collect()}
+    monkeypatch.setattr(sso_spin, "PART_ROWS", 13)
+    many = {r.ssnamenr: r for r in sso_spin.joint_model(df).collect()}
+    assert one.keys() == many.keys() == {"o0", "o1"}
+    for k, a in one.items():
+        b = many[k]
+        assert (a.n_obs, a.status, [x.fid for x in a.bands], [x.n_obs for x in a.bands]) == (b.n_obs, b.status, [x.fid for x in b.bands], [x.n_obs for x in b.bands])
+        assert (a.ra0, a.dec0, a.R, a.chi2, a.misfit) == pytest.approx((b.ra0, b.dec0, b.R, b.chi2, b.misfit), rel=1e-6)
+        assert [x.H for x in a.bands] == pytest.approx([x.H for x in b.bands], rel=1e-6)
