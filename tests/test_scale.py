@@ -157,3 +157,10 @@ def test_objects_searched_whole_equal_those_searched_in_parts(spark, monkeypatch
         assert (a.n_obs, a.status, [x.fid for x in a.bands], [x.n_obs for x in a.bands]) == (b.n_obs, b.status, [x.fid for x in b.bands], [x.n_obs for x in b.bands])
         assert (a.ra0, a.dec0, a.R, a.chi2, a.misfit) == pytest.approx((b.ra0, b.dec0, b.R, b.chi2, b.misfit), rel=1e-6)
         assert [x.H for x in a.bands] == pytest.approx([x.H for x in b.bands], rel=1e-6)
+
+
+def test_modules_that_read_apparent_magnitudes_are_evaluated_together(spark):
+    rows = [(i, f"o{i % 9}", [1.0 + k + 0.1 * (i % 7) for k in range(8)], [18.0 + 0.1 * k * (i % 3) for k in range(8)], [0.1] * 8, [1, 2] * 4 if i % 4 else [1] * 8, [17.0] * 8, [0.03] * 8, ["t", "f"] * 4, [0.1] * 8, None if i % 11 == 0 else float(i % 2), (3,)) for i in range(90)]
+    df = spark.createDataFrame(rows, _CURVE.replace("candid long,", "candid long, objectId string,") + ", cmagnr array<double>, csigmagnr array<double>, cisdiffpos array<string>, cdistnr array<double>, label double, candidate struct<ndethist: int>")
+    got = {r.candid: r for r in mods.apply_modules(df, ["Anomaly", "Microlensing"], {"n_trees": 5}).select("candid", "mulens", "anomaly_score").collect()}
+    assert len(got) == 90 and {k for k, r in got.items() if r.mulens == 0} == {i for i in range(90) if i % 4 == 0} and all(0 <= r.mulens <= 1 and 0 < r.anomaly_score < 1 for r in got.values())
