@@ -111,6 +111,7 @@ def build_history(
     following: Mapping[str, Column] | None = None,
     tie: str | None = None,
     chunk_rows: int = CHUNK_ROWS,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Attach history arrays and running aggregates to every flat row.
 
@@ -130,7 +131,9 @@ def build_history(
     chunks, so the running aggregates need no window over a whole object
     either; a chunk's last row takes its following row from the first one of
     the next chunk. With ``chunk_us`` all objects are cut into chunks of that
-    length instead, without a look at the data.
+    length instead, without a look at the data. ``tasks``: number of partitions
+    of the result, each with whole objects or chunks. Rows with a history aren't
+    sorted or shuffled.
     """
     if (chunk_us is not None and chunk_us <= 0) or chunk_rows <= 0 or window_us < 0:
         raise ValueError("chunks must be positive and window_us non-negative")
@@ -165,6 +168,12 @@ def build_history(
         )
         rows = rows.join(prior, [key, "_chunk"], "left")
 
+    if tasks:
+        rows = rows.repartition(tasks, key, *([] if dealt is None else ["_chunk"]))
+    if following:
+        # halo rows come before a chunk's own rows, so what follows an own row is its own too; first of the windows, so that its order serves the others and rows are sorted without a history
+        ahead = F.lead(F.struct(*order, *[e.alias(f"_f_{k}") for k, e in following.items()])).over(Window.partitionBy(key, "_chunk").orderBy(*order))
+        rows = rows.select("*", ahead.alias("_ahead"))
     w = Window.partitionBy(key, "_chunk").orderBy(time_us)
     hist_w = w.rangeBetween(-window_us, -1)
     upto_w = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -174,9 +183,7 @@ def build_history(
     out += [(n if dealt is None else n + F.coalesce(F.col(f"_pn_{k}"), F.lit(0))).cast("int").alias(k) for k, n in counts.items()]
     out += [(m if dealt is None else F.least(m, F.col(f"_pm_{k}"))).alias(k) for k, m in least.items()]
     if following:
-        # halo rows come before a chunk's own rows, so what follows an own row is its own too
-        ahead = F.lead(F.struct(*order, *[e.alias(f"_f_{k}") for k, e in following.items()])).over(Window.partitionBy(key, "_chunk").orderBy(*order))
-        out.append((ahead if dealt is None else F.coalesce(ahead, F.col("_next_chunk"))).alias("_following"))
+        out.append((F.col("_ahead") if dealt is None else F.coalesce("_ahead", "_next_chunk")).alias("_following"))
     given = rows.select(*flat.columns, "_own", *out).where(F.col("_own"))
     after = [F.col(f"_following._f_{k}").alias(k) for k in following]
     return given.select(*[c for c in given.columns if c not in ("_own", "_following")], *after)

@@ -33,16 +33,27 @@ def read_night(spark: SparkSession, root: str, night: str) -> DataFrame:
 
 #: Alerts of one file of an archive, whose histories one task sorts and writes.
 FILE_ROWS = 20_000
+#: Measurements in the histories of a task that makes those of whole objects and writes all their nights (about 0.4 GB); its alerts at least.
+TASK_POINTS, TASK_ROWS = 4_000_000, 10_000
 
 
-def write_archive(df: DataFrame, root: str, mode: str = "overwrite", file_rows: int = FILE_ROWS) -> None:
+def write_archive(df: DataFrame, root: str, mode: str = "overwrite", file_rows: int = FILE_ROWS, key: str | None = None) -> None:
     """Write alerts partitioned by night.
 
-    Nights are counted first (their columns only); a night's rows are dealt
+    With ``key``, ``df`` comes in partitions of whole objects and bounded rows,
+    and each is written as it is, sorted by night and object: histories are
+    never shuffled, and those of one object and night, which repeat each other,
+    are packed together.
+
+    Without, nights are counted first (their columns only); a night's rows are dealt
     over as many tasks as they ask for, each with one night's rows alone. Sizes
     of shuffled bytes don't serve: the repeated histories shrink to a fraction
     there and are unpacked in the task.
     """
+    if key is not None:
+        laid = df.sortWithinPartitions(*NIGHT_COLS, key)
+        laid.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", file_rows).partitionBy(*NIGHT_COLS).parquet(root)
+        return
     nights = [*df.groupBy(*NIGHT_COLS).agg(F.count(F.lit(1)).alias("_n")).orderBy(*NIGHT_COLS).collect()]  # one row per night
     cells = [-(-r["_n"] // file_rows) for r in nights]
     if not nights:

@@ -164,3 +164,21 @@ def test_modules_that_read_apparent_magnitudes_are_evaluated_together(spark):
     df = spark.createDataFrame(rows, _CURVE.replace("candid long,", "candid long, objectId string,") + ", cmagnr array<double>, csigmagnr array<double>, cisdiffpos array<string>, cdistnr array<double>, label double, candidate struct<ndethist: int>")
     got = {r.candid: r for r in mods.apply_modules(df, ["Anomaly", "Microlensing"], {"n_trees": 5}).select("candid", "mulens", "anomaly_score").collect()}
     assert len(got) == 90 and {k for k, r in got.items() if r.mulens == 0} == {i for i in range(90) if i % 4 == 0} and all(0 <= r.mulens <= 1 and 0 < r.anomaly_score < 1 for r in got.values())
+
+
+def test_rows_with_a_history_are_not_sorted_again(spark):
+    plan = fx.ztf_alerts(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 2 and plan.count("Sort [") == 1
+
+
+def test_archive_of_whole_objects_is_written_without_a_shuffle(spark, tmp_path):
+    rows = [(i, f"o{i % 7}", [float(i)] * 3, 2024, 1, 1 + i % 2) for i in range(300)] + [(9, None, None, None, None, None)] * 2
+    df = spark.createDataFrame(rows, "candid long, objectId string, h array<double>, year int, month int, day int").repartition(3, "objectId")
+    held = df.withColumn("p", F.spark_partition_id()).where("year is not null").select("objectId", "p").distinct().collect()
+    src.write_archive(df, f"{tmp_path}/a", file_rows=50, key="objectId")
+    back = spark.read.schema(df.schema).parquet(f"{tmp_path}/a")
+    assert back.exceptAll(df).isEmpty() and df.exceptAll(back).isEmpty()
+    files = {p: pq.read_table(p, columns=["objectId"], partitioning=None)["objectId"].to_pylist() for p in (tmp_path / "a").rglob("*.parquet")}
+    assert max(map(len, files.values())) <= 50 and all(sorted(x) == x for x in files.values() if None not in x)
+    for r in held:  # an object's rows are in the files of the task that had them
+        assert {int(p.name[5:10]) for p, x in files.items() if r.objectId in x} == {r.p}
