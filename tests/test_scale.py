@@ -182,3 +182,17 @@ def test_archive_of_whole_objects_is_written_without_a_shuffle(spark, tmp_path):
     assert max(map(len, files.values())) <= 50 and all(sorted(x) == x for x in files.values() if None not in x)
     for r in held:  # an object's rows are in the files of the task that had them
         assert {int(p.name[5:10]) for p, x in files.items() if r.objectId in x} == {r.p}
+
+
+def test_a_large_table_is_timed_in_parts(spark, monkeypatch):
+    from alertspark.plans import timing
+
+    seen = []
+    apply = timing.apply_modules
+    monkeypatch.setattr(timing, "FILE_ROWS", 60)
+    monkeypatch.setattr(timing, "apply_modules", lambda df, names, ctx: (seen.append((names[0], df.count())), apply(df, names, ctx))[1])
+    runs = timing.time_modules(spark, ztf_lightcurves(spark, SF_SMALL), ["Asteroid", "CDS xmatch (SIMBAD)"], loops=2,
+                               ctx={"max_gap_days": 1.0, "catalogs": {"simbad": fx.catalog(spark, SF_SMALL, "simbad")}}, n_cpu=2, part_bytes=200_000).collect()
+    assert [(r.module, r.loop, r.total_alerts) for r in runs] == [(m, k, 1000) for m in ("Asteroid", "CDS xmatch (SIMBAD)") for k in (0, 1)] and all(r.t_lapse > 0 for r in runs)
+    curves, narrow = ([n for m, n in seen if m == k] for k in ("Asteroid", "CDS xmatch (SIMBAD)"))
+    assert sum(curves) == sum(narrow) == 2000 and len(curves) > len(narrow) and max(curves) < 500
